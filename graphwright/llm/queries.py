@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphwright.llm import decontam, mixing, quality, sharding, substring
+from graphwright.llm import decontam, mixing, ngram_join, quality, sharding, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -35,8 +39,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op5_decontamination, op7_substring_dedup, op8_mixing, op9_quality)}
+    return {f.__name__: f for f in (op3_sharding, op5_decontamination, op6_ngram_join, op7_substring_dedup, op8_mixing, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.QUERY_SQL, "op5_decontamination": decontam.QUERY_SQL, "op7_substring_dedup": substring.QUERY_SQL, "op8_mixing": mixing.QUERY_SQL}
+    return {"op3_sharding": sharding.QUERY_SQL, "op5_decontamination": decontam.QUERY_SQL, "op6_ngram_join": ngram_join.QUERY_SQL, "op7_substring_dedup": substring.QUERY_SQL, "op8_mixing": mixing.QUERY_SQL}
