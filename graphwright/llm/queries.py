@@ -5,18 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphwright.llm import decontam, mixing, ngram_join, quality, sharding, substring
+from graphwright.llm import chat, decontam, licenses, mixing, ngram_join, quality, sharding, substring, tokens
+
+#: The public vocabulary that token counts use; the file stays where it is.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_matches", "licenses", "best", F.round("best_coverage", 6).alias("best_coverage"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.numbered(table(spark, sf_dir, "documents"))
 
 
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = chat.conversations(table(spark, sf_dir, "conversations"))
+    return chat.summary(chat.format_pairs(chat.replayed(talks)))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,9 +52,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.counts(table(spark, sf_dir, "documents"), tokens.read_ranks(VOCABULARY))
+    return found.select("doc_id", "n_bytes", "n_words", "n_tokens", F.round("log_prob", 3).alias("log_prob"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_sharding, op5_decontamination, op6_ngram_join, op7_substring_dedup, op8_mixing, op9_quality)}
+    return {f.__name__: f for f in (op2_license_scan, op3_sharding, op4_preference_formatting, op5_decontamination, op6_ngram_join, op7_substring_dedup, op8_mixing, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": sharding.QUERY_SQL, "op5_decontamination": decontam.QUERY_SQL, "op6_ngram_join": ngram_join.QUERY_SQL, "op7_substring_dedup": substring.QUERY_SQL, "op8_mixing": mixing.QUERY_SQL}
+    return {"op4_preference_formatting": chat.QUERY_SQL, "op3_sharding": sharding.QUERY_SQL, "op5_decontamination": decontam.QUERY_SQL, "op6_ngram_join": ngram_join.QUERY_SQL, "op7_substring_dedup": substring.QUERY_SQL, "op8_mixing": mixing.QUERY_SQL}
