@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphwright.llm import decontam, mixing, quality, sharding
+from graphwright.llm import decontam, mixing, ngram_join, quality, sharding
 from graphwright.llm.scratch import Settled
 
 
@@ -18,6 +18,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that n-gram similarity links, one stays."""
+    return ngram_join.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that contain passages of the benchmark."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -35,6 +40,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("mixing sources", mixture),
     ("sharding", shards),

@@ -167,6 +167,15 @@ class Library:
                     yield int(d), int(k), found[1] + a, found[2] + a, found[0]
 
 
+def _apart(spans: list[dict]) -> list[dict]:
+    """Of overlapping stretches, the one that is covered best (related licenses share most of their words)."""
+    out: list[dict] = []
+    for x in sorted(spans, key=lambda x: (-x["coverage"], -x["matched"], x["first_word"], x["license"])):
+        if all(x["last_word"] < y["first_word"] or y["last_word"] < x["first_word"] for y in out):
+            out.append(x)
+    return sorted(out, key=lambda x: x["first_word"])
+
+
 SPANS = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType())]))
 
 
@@ -182,6 +191,7 @@ def scan(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_id
             spans: list[list[dict]] = [[] for _ in range(p.n)]
             for d, k, first, last, n in lib.scan(p):
                 spans[d].append({"license": lib.names[k], "first_word": first, "last_word": last, "matched": n, "coverage": n / len(lib.words[k])})
+            spans = [_apart(s) for s in spans]
             best = [min(s, key=lambda x: (-x["coverage"], -x["matched"], x["first_word"], x["license"]), default=None) for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in keys), pa.array(p.counts.astype(np.int64)), pa.array([len(s) for s in spans], pa.int64()), pa.array([",".join(sorted({x["license"] for x in s})) for s in spans], pa.string())]

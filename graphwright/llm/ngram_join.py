@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from graphwright.llm.components import components
 from graphwright.llm.scratch import Settled
-from graphwright.llm.words import LOWER, SPACED, Piece, among, mix, pieces, rolling
+from graphwright.llm.words import LOWER, SPACED, Piece, among, fresh, mix, pieces, rolling
 
 #: Words in a shingle, and the similarity in percent.
 SHINGLE, PERCENT = 5, 80
@@ -307,8 +307,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("u", "v").agg(F.max("second").alias("second"), F.max("third").alias("third")).filter("second and third").select("u", "v")
 
 
-def join(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles and component_id, the smallest id that links reach."""
+def groups(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, key (a hash of the text), n, class and part, the component's smallest class.
+
+    Rows without shingles have neither class nor part.
+    """
     found, small = classes(docs, text_col, key_col)
     prefix = prefixes(small, found)
     leaders = prefix.df.groupBy("token").agg(F.min(F.struct("class", "n", "second", "third")).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -331,16 +334,35 @@ def join(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> Da
     more.drop()
 
     rows = found.df.filter("token is null")
-    of_class = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("low")).join(group.df, F.col("class") == F.col("node"), "left").select("class", "low", F.coalesce("component", "class").alias("part"))
-    named = of_class.join(of_class.groupBy("part").agg(F.min("low").alias("component_id")), "part").select("class", "component_id")
-    out = rows.join(named, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(group.df, F.col("class") == F.col("node"), "left").select("doc_id", "key", "n", "class", F.coalesce("component", "class").alias("part"))
+
+
+def join(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles and component_id, the smallest id that links reach."""
+    rows = groups(docs, text_col, key_col)
+    named = rows.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    out = rows.join(named, "part", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, one of each component (that of the smallest id, ids before nulls); rows without words stay."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    keep = groups(docs, text_col, key_col).filter("part is not null").groupBy("part").agg(first.alias("r"))
+    row = fresh(docs.columns, "row")[0]
+    keep = keep.select(F.xxhash64("r.doc_id", "r.key").alias(row))
+    text = F.col(f"`{text_col}`")
+    full = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.filter(full).withColumn(row, F.xxhash64(F.col(f"`{key_col}`"), F.xxhash64(text)))
+    one = rows.join(keep, row, "left_semi").dropDuplicates([row]).drop(row)  # dealt by the same column: one shuffle
+    return one.unionByName(docs.filter(~full))
 
 
 QUERY_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT row_number() OVER () AS r, doc_id,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents),
 grams AS (
   SELECT DISTINCT r, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS s

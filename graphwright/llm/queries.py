@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphwright.llm import chat, decontam, licenses, mixing, ngram_join, quality, sharding, substring, tokens
+from graphwright.llm import chat, decontam, licenses, lm_score, mixing, ngram_join, quality, sharding, substring, tokens
 
 #: The public vocabulary that token counts use; the file stays where it is.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    found = lm_score.score(docs, lm_score.train(docs, good))
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_matches", "licenses", "best", F.round("best_coverage", 6).alias("best_coverage"))
@@ -58,7 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op3_sharding, op4_preference_formatting, op5_decontamination, op6_ngram_join, op7_substring_dedup, op8_mixing, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_lm_score, op2_license_scan, op3_sharding, op4_preference_formatting, op5_decontamination, op6_ngram_join, op7_substring_dedup, op8_mixing, op9_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
