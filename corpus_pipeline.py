@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphwright.llm import decontam, mixing, ngram_join, quality, sharding
-from graphwright.llm.scratch import Settled
+from graphwright.plans.scratch import Settled
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphwright.llm.scratch import Settled
+from graphwright.plans.scratch import Settled
 
 
 def _large(e: DataFrame) -> DataFrame:

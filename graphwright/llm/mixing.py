@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from graphwright.llm.scratch import Settled
+from graphwright.plans.scratch import Settled
 from graphwright.llm.words import fresh
 
 #: Weights of the sources in order of their names' code points (null last), repeating.

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm.components import components
-from graphwright.llm.scratch import Settled
+from graphwright.plans.scratch import Settled
 from graphwright.llm.words import LOWER, SPACED, Piece, among, fresh, mix, pieces, rolling
 
 #: Words in a shingle, and the similarity in percent.

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphwright.llm.scratch import Settled
+from graphwright.plans.scratch import Settled
 from graphwright.llm.words import fresh
 
 #: Rows to be numbered in one bucket.

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwright.llm.scratch import Settled
+from graphwright.plans.scratch import Settled
 from graphwright.llm.words import _BASE, _INVERSE, SPACED, Piece, _power, cover, mix, pieces, rolling
 
 #: Words in a window, and in the n-grams from which its anchor is selected.
