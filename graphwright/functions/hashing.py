@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Parameters of 64-bit FNV-1a.
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -38,14 +39,15 @@ def fnv1a_many(words: list[str]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits."""
-    found = {w: f"{h:016x}" for w, h in zip(u := list(text.dropna().unique()), fnv1a_many(u).tolist(), strict=True)}
+    words = list(text.dropna().unique())
+    found = {w: f"{h:016x}" for w, h in zip(words, fnv1a_many(words).tolist(), strict=True)}
     return text.map(found)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repo_uuid(canonical_remote: pd.Series) -> pd.Series:
     """The UUID (version 5, URL namespace) of a canonical remote."""
     return canonical_remote.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))

@@ -5,6 +5,8 @@ Every view is one SQL text that Spark and DuckDB both run, so that queries and t
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -61,6 +63,14 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT concat('sym:', CAST(o_custkey AS STRING)) AS src, concat('tab:', CAST(l_partkey AS STRING)) AS dst,
                CASE WHEN l_returnflag = 'R' THEN 'reads' ELSE 'writes' END AS kind, 'inferred' AS confidence
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "raw_paths": """
+        SELECT page_id, CASE page_id % 7 WHEN 0 THEN url WHEN 1 THEN concat(path, '/:id?x=1') WHEN 2 THEN concat('/<int:uid>', path) WHEN 3 THEN concat('//{name:re}', path, '/')
+               WHEN 4 THEN concat('/[...slug]', path, '/*rest') WHEN 5 THEN concat(path, '/550e8400-e29b-41d4-a716-446655440000/$', '{x}') ELSE concat(path, '/*') END AS raw,
+               CASE page_id % 5 WHEN 0 THEN 'rest' WHEN 1 THEN 'grpc' WHEN 2 THEN 'graphql' WHEN 3 THEN 'websocket' ELSE 'rest' END AS protocol,
+               CASE WHEN page_id % 3 = 0 THEN 'GET' END AS method,
+               CASE page_id % 5 WHEN 1 THEN concat('pkg.v1.User_Service/Get_', CAST(page_id AS STRING)) WHEN 2 THEN concat(CASE WHEN page_id % 2 = 0 THEN 'Query.' ELSE '' END, 'get_User', CAST(page_id AS STRING))
+               WHEN 3 THEN CASE WHEN page_id % 2 = 0 THEN concat('event:Chat_Msg', CAST(page_id AS STRING)) ELSE path END ELSE path END AS op_path
+        FROM (SELECT page_id, url, concat('/', regexp_extract(url, '^https?://([^/.]+)', 1), regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)) AS path FROM pages) p""",
     "repos": """
         SELECT concat('repo', CAST(n_nationkey AS STRING)) AS repo, n_name AS label, r_name AS grp,
                CASE n_nationkey % 3 WHEN 0 THEN 'public' WHEN 1 THEN 'private' ELSE 'proprietary' END AS visibility,
@@ -92,8 +102,6 @@ EPOCH = {"spark": "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', o_o
 
 def needed(names: list[str]) -> list[str]:
     """The views that the named ones are made of, in order."""
-    import re
-
     out: set[str] = set()
     todo = list(names)
     while todo:
@@ -106,8 +114,6 @@ def needed(names: list[str]) -> list[str]:
 
 def with_views(sql: str, engine: str = "duckdb") -> str:
     """SQL over the views as one statement."""
-    import re
-
     names = needed(re.findall(r"\w+", sql))
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].replace('{epoch}', EPOCH[engine])})" for n in names)
     if not ctes:
@@ -130,6 +136,6 @@ class Tables:
         if name not in VIEWS:
             raise AttributeError(name)
         for t in TABLES:
-            if any(t in VIEWS[v].replace(",", " ").split() for v in needed([name])):
+            if any(t in re.findall(r"\w+", VIEWS[v]) for v in needed([name])):
                 self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         return self.spark.sql(with_views(f"SELECT * FROM {name}", "spark"))
