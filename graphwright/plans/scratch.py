@@ -8,6 +8,7 @@ nondeterministic expressions below it are evaluated once.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,12 @@ def delete(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs that are over, which else stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Settled:
     """A table written to the shared folder; ``df`` reads it again, and ``drop`` removes it when nothing needs it any more."""
 
