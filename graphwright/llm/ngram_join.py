@@ -5,22 +5,25 @@ least ``PERCENT`` percent.  Documents with equal sets are one class, and classes
 
 *First order (hash).*  With n shingles, at least ceil(0.8 n) must be shared, so the first p = n - ceil(0.8 n) + 1
 shingles of any global order hold a shared one, and the first p + l - 1 hold l.  The zone of a class is its
-p + l - 1 smallest hashes, l = n / 10: partners share l tokens of their zones.
-
-*Second and third order (rarity).*  Tokens are ordered by the number of classes whose zone has them, ties once by hash
-and once by another hash.  Among the tokens of a zone, all but the last l - 1 of either order must hold a shared one.
-Tokens of one class alone come first, so a class that shares less than a third of its zone has nothing to join and drops
-out, and boilerplate that many documents share comes last.  A pair is a candidate only if it meets in the prefixes of
-both orders.
-
-*Candidates without all pairs.*  Every prefix token has a leader, its smallest class; first, classes are verified against
-leaders only.  The components of what holds are the groups of near copies.  Then pairs that share a prefix token but
-aren't in one component are joined, so no link between components is lost, and links inside one need not be listed.
+p + l - 1 smallest hashes, l = n / 10: partners share l tokens of their zones.  In order of rarity among the zones,
+all but the last l - 1 tokens of a zone must hold a shared one; tokens of one class alone come first, so most documents
+drop out here, by a third of their tokens.
+
+*Second and third order (rarity).*  The whole sets of those that are left are ordered by the number of such classes that
+have a token, ties once by hash and once by another hash.  In either order the first p tokens must hold a shared one.
+Tokens that no other class has come first: a class with more than a fifth of them drops out, boilerplate that many
+documents share comes last, and a pair can share no more tokens than either has in common with anyone.  A pair is a
+candidate only if it meets in the prefixes of both orders and these bounds allow it.
+
+*Candidates without all pairs.*  Every prefix token has a leader, the class with the fewest tokens of its own (of a group of
+edited copies, the one nearest to the original); first, classes are verified against leaders only.  The components of what
+holds are the groups of near copies.  Then, in the group of each leader, the classes outside the group's largest component meet
+the others in blocks, which are bounded and checked inside a task; only links come out.  So no link between components is
+lost, links inside one need not be listed, and no pairs are dealt.
 
 *Verification* counts the intersection of the whole sets.
 
-Zone tokens travel as packed arrays, dealt by token.  Tokens in more than a few thousandths of all zone entries
-are found beforehand (mergeable Misra-Gries summaries of all documents, at most ``SUMMARY`` tokens) and aren't dealt
+Tokens travel as packed arrays, dealt by token.  Tokens in more than a few thousandths of all entries are found beforehand (mergeable Misra-Gries summaries of all documents, at most ``SUMMARY`` tokens) and aren't dealt
 at all: their rank is known everywhere.  Later joins on tokens have one row per token on one side, or are split by
 adaptive execution.
 
@@ -47,7 +50,9 @@ SHINGLE, PERCENT = 5, 80
 #: Tokens in a summary of frequent tokens.
 SUMMARY = 8192
 #: Zone entries that a task packs at a time.
-PACK = 4_000_000
+PACK = 1_000_000
+#: Classes on a side of a block.
+BLOCK = 500
 
 
 def sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -86,6 +91,31 @@ def prefix_size(n):
     return zone_size(n) - zone_need(need(n)) + 1
 
 
+def _whole(n):
+    return n
+
+
+def _merged(token: np.ndarray, count: np.ndarray, waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A summary of frequent tokens with more tokens, cut to SUMMARY (counts fall by what is cut)."""
+    t, back = np.unique(np.concatenate([token, *waiting]), return_inverse=True)
+    c = np.bincount(back, np.concatenate([count, *(np.ones(len(x), np.int64) for x in waiting)])).astype(np.int64)
+    if len(t) > SUMMARY:
+        c = c - np.partition(c, len(c) - SUMMARY - 1)[len(c) - SUMMARY - 1]
+    return t[c > 0], c[c > 0]
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text) to rows (token, n) of a summary of frequent tokens; each text is another class."""
+    token, count, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+    for b in pieces(batches, "text"):
+        waiting += sets(b.column("text"))
+        size += sum(map(len, waiting[-b.num_rows :]))
+        if size > PACK:
+            (token, count), waiting, size = _merged(token, count, waiting), [], 0
+    token, count = _merged(token, count, waiting)
+    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], names=["token", "n"])
+
+
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, key, text) to (doc_id, key, class, n), and rows (token, n) of a summary of frequent tokens."""
     names = ["doc_id", "key", "class", "n", "token"]
@@ -93,13 +123,6 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, count, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
     kind = None
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        t, back = np.unique(np.concatenate([token, *waiting]), return_inverse=True)
-        c = np.bincount(back, np.concatenate([count, *(np.ones(len(x), np.int64) for x in waiting)])).astype(np.int64)
-        if len(t) > SUMMARY:
-            c = c - np.partition(c, len(c) - SUMMARY - 1)[len(c) - SUMMARY - 1]
-        return t[c > 0], c[c > 0]
-
     for b in pieces(batches, "text"):
         kind = b.column("doc_id").type
         found = sets(b.column("text"))
@@ -110,11 +133,11 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(c)
                 waiting.append(s[: zone_size(len(s))])
                 size += len(waiting[-1])
-        if size > PACK // 4:
-            (token, count), waiting, size = merged(), [], 0
+        if size > PACK:
+            (token, count), waiting, size = _merged(token, count, waiting), [], 0
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.nulls(b.num_rows, pa.int64())], names=names)
     if waiting or len(token):
-        token, count = merged()
+        token, count = _merged(token, count, waiting)
         none = pa.nulls(len(token))
         yield pa.RecordBatch.from_arrays([none.cast(kind), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(count), pa.array(token.view(np.int64))], names=names)
 
@@ -148,8 +171,8 @@ def _by_class(ids: np.ndarray, parts: int) -> np.ndarray:
     return mix(ids.view(np.uint64)) % np.uint64(parts)
 
 
-def _deal(parts: int, token: np.ndarray, df: np.ndarray):
-    """(text) to packed rows: zone tokens by token; sizes, and the frequent tokens (token, df) with their rank, by class."""
+def _deal(parts: int, token: np.ndarray, df: np.ndarray, part_of):
+    """(text) to packed rows: the first part_of(n) tokens by token; sizes, and the frequent tokens (token, df) with their rank, by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -174,7 +197,7 @@ def _deal(parts: int, token: np.ndarray, df: np.ndarray):
                 seen.add(c)
                 ids.append(c)
                 sizes.append(len(s))
-                zones.append(s[: zone_size(len(s))].copy())
+                zones.append(s[: part_of(len(s))].copy())
                 held += len(zones[-1])
             if held > PACK:
                 yield from packed()
@@ -218,8 +241,8 @@ def _rank(parts: int):
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a part's classes to (token, class, n, and whether the token is in the second and third orders' prefix)."""
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """A part's classes and sizes, the repeated tokens by class and rarity, and where each class's begin and end."""
     held = list(batches)
     c, n = _unpack(held, SIZE, "class", np.int64), _unpack(held, SIZE, "token", np.int64)
     owner, t, df = _unpack(held, RANKED, "class", np.int64), _unpack(held, RANKED, "token", np.uint64), _unpack(held, RANKED, "value", np.int64)
@@ -230,13 +253,25 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     owner, t, df = owner[order], t[order], df[order]
     new = np.append(True, (owner[1:] != owner[:-1]) | (t[1:] != t[:-1]))[: len(owner)]  # frequent tokens come from several tasks
     owner, t, df = owner[new], t[new], df[new]
-    edge = np.searchsorted(owner, c), np.searchsorted(owner, c, "right")
-    left = prefix_size(n) - (zone_size(n) - (edge[1] - edge[0]))  # places in the prefix after the tokens of one class alone
+    return c, n, t, df, np.searchsorted(owner, c), np.searchsorted(owner, c, "right")
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All zone rows of a part's classes to the classes whose zone prefix has a repeated token."""
+    c, n, _, _, a, b = _gathered(batches)
+    yield pa.RecordBatch.from_arrays([pa.array(c[prefix_size(n) > zone_size(n) - (b - a)])], names=["class"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a part's classes to (token, class, n, common, and whether the token is in the second and third orders' prefix)."""
+    c, n, t, df, a, b = _gathered(batches)
+    common = b - a
+    left = n - need(n) + 1 - (n - common)  # places in the prefix after the tokens of one class alone
     k = np.flatnonzero(left > 0)
     if not len(k):
         return
-    many = (edge[1] - edge[0])[k]
-    row = np.repeat(edge[0][k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    many = common[k]
+    row = np.repeat(a[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
     which = np.repeat(np.arange(len(k)), many)
     place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
     second = place < left[k][which]
@@ -244,8 +279,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     third = np.zeros(len(row), bool)
     third[order] = second
     keep = second | third
-    row, which = row[keep], which[keep]
-    yield pa.RecordBatch.from_arrays([pa.array(t[row].view(np.int64)), pa.array(owner[row]), pa.array(n[k][which]), pa.array(second[keep]), pa.array(third[keep])], names=["token", "class", "n", "second", "third"])
+    row, which = row[keep], k[which[keep]]
+    yield pa.RecordBatch.from_arrays([pa.array(t[row].view(np.int64)), pa.array(c[which]), pa.array(n[which]), pa.array(common[which]), pa.array(second[keep]), pa.array(third[keep])], names=["token", "class", "n", "common", "second", "third"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +300,10 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield c.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
-def _fits(a: str, b: str) -> str:
-    """Length bound: the smaller set must be large enough for the larger one."""
-    return f"100 * least({a}, {b}) >= {PERCENT} * greatest({a}, {b})"
+def _fits(x: str, y: str) -> str:
+    """Length bound, and that each has enough tokens in common with anyone."""
+    size = f"100 * least({x}.n, {y}.n) >= {PERCENT} * greatest({x}.n, {y}.n)"
+    return f"{size} and {100 + PERCENT} * least({x}.common, {y}.common) >= {PERCENT} * ({x}.n + {y}.n)"
 
 
 def classes(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> tuple[Settled, DataFrame]:
@@ -277,26 +313,36 @@ def classes(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") ->
     return Settled(small.mapInArrow(_classes, f"doc_id {kind}, key long, class long, n long, token long")), small
 
 
-def prefixes(small: DataFrame, found: Settled) -> Settled:
-    """The settled prefix tokens (token, class, n, second, third) of the classes that may have partners."""
-    spark = small.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = found.df.filter("token is not null").groupBy("token").agg(F.sum("n").alias("df"))
-    all_ = found.df.filter("class is not null").agg(F.sum(F.expr(f"n div {100 // (100 - PERCENT)} + n div 10 + 1"))).first()[0] or 0
-    hot = frequent.filter(F.col("df") * (SUMMARY // 2) > all_).orderBy(F.desc("df"), "token").limit(SUMMARY).toArrow()  # at most SUMMARY rows reach so much
+def _ranked(rows: DataFrame, frequent: DataFrame, entries: int, part_of) -> DataFrame:
+    """Packed rows by class, from rows(text), a summary(token, n), and how many tokens there are."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = frequent.groupBy("token").agg(F.sum("n").alias("df")).filter(F.col("df") * (SUMMARY // 2) > entries)
+    hot = hot.orderBy(F.desc("df"), "token").limit(SUMMARY).toArrow()  # no more than SUMMARY tokens reach so much
     token, df = hot.column("token").to_numpy().view(np.uint64), hot.column("df").to_numpy()
     order = np.argsort(token)
-    dealt = small.select("text").mapInArrow(_deal(parts, token[order], df[order]), PACKED).repartitionById(parts, "part")
-    ranked = dealt.mapInArrow(_rank(parts), PACKED).repartitionById(parts, "part")
-    return Settled(ranked.mapInArrow(_prefixes, "token long, class long, n long, second boolean, third boolean"))
+    dealt = rows.select("text").mapInArrow(_deal(parts, token[order], df[order], part_of), PACKED).repartitionById(parts, "part")
+    return dealt.mapInArrow(_rank(parts), PACKED).repartitionById(parts, "part")
+
 
+def survivors(small: DataFrame, found: Settled) -> Settled:
+    """The settled texts (class, text) of the classes that may have partners by the first order."""
+    entries = found.df.filter("class is not null").agg(F.sum(F.expr(f"n div {100 // (100 - PERCENT)} + n div 10 + 1"))).first()[0] or 0
+    left = _ranked(small, found.df.filter("token is not null").select("token", "n"), entries, zone_size).mapInArrow(_survivors, "class long").distinct()
+    one = found.df.filter("class is not null").groupBy("class").agg(F.min(F.struct("key", "doc_id")).alias("r")).join(left, "class").select("class", F.col("r.key").alias("key"), F.col("r.doc_id").alias("id"))
+    texts = small.join(one, (small["key"] == one["key"]) & small["doc_id"].eqNullSafe(one["id"]))
+    return Settled(texts.groupBy("class").agg(F.first("text").alias("text")))
 
-def verified(pairs: DataFrame, small: DataFrame, found: Settled) -> DataFrame:
+
+def prefixes(texts: Settled, found: Settled) -> Settled:
+    """The settled prefix tokens (token, class, n, common, second, third) of the classes that may have partners."""
+    sizes = found.df.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"))
+    entries = sizes.join(texts.df.select("class"), "class").agg(F.sum("n")).first()[0] or 0
+    ranked = _ranked(texts.df, texts.df.select("text").mapInArrow(_frequent, "token long, n long"), entries, _whole)
+    return Settled(ranked.mapInArrow(_prefixes, "token long, class long, n long, common long, second boolean, third boolean"))
+
+
+def verified(pairs: DataFrame, texts: Settled) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("class")).unionByName(pairs.select(F.col("v").alias("class"))).distinct()
-    one = found.df.filter("class is not null").groupBy("class").agg(F.min(F.struct("key", "doc_id")).alias("r")).join(wanted, "class").select("class", F.col("r.key").alias("key"), F.col("r.doc_id").alias("id"))
-    texts = small.join(one, (small["key"] == one["key"]) & small["doc_id"].eqNullSafe(one["id"])).groupBy("class").agg(F.first("text").alias("text"))
-    texts = Settled(texts)
     with_u = pairs.join(texts.df.select(F.col("class").alias("u"), F.col("text").alias("text_u")), "u")
     both = with_u.join(texts.df.select(F.col("class").alias("v"), F.col("text").alias("text_v")), "v")
     return both.select("u", "v", "text_u", "text_v").mapInArrow(_similar, "u long, v long")
@@ -307,28 +353,79 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.groupBy("u", "v").agg(F.max("second").alias("second"), F.max("third").alias("third")).filter("second and third").select("u", "v")
 
 
+def _block(table: pa.Table) -> pa.Table:
+    """Links between the rows of a block's sides a and b that are in different parts."""
+    table = table.combine_chunks()
+    own = table.column("side").to_numpy(zero_copy_only=False) == "a"
+    rows = {side: table.filter(pa.array(own == (side == "a"))) for side in "ab"}
+    column = {side: {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("class", "part", "n", "common")} for side, t in rows.items()}
+    whole = {side: sets(pa.concat_arrays(t.column("text").chunks or [pa.array([], pa.string())])) for side, t in rows.items()}
+    first = {side: {o: [np.sort(np.array(x, np.int64)) for x in t.column(o).to_pylist()] for o in ("second", "third")} for side, t in rows.items()}
+
+    def flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([*found, found[0][:0] if found else np.zeros(0, np.int64)]), np.repeat(np.arange(len(found)), [len(x) for x in found])
+
+    def shared(x: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+        at = np.minimum(np.searchsorted(x, tokens), max(len(x) - 1, 0))
+        return np.bincount(owner[x[at] == tokens], minlength=n) if len(x) else np.zeros(n, np.int64)
+
+    b, size = column["b"], len(whole["b"])
+    tokens = flat(whole["b"])
+    heads = {o: flat(first["b"][o]) for o in ("second", "third")}
+    u, v = [], []
+    for i in range(len(whole["a"])):
+        n, common = column["a"]["n"][i], column["a"]["common"][i]
+        ok = (b["part"] != column["a"]["part"][i]) & (100 * np.minimum(n, b["n"]) >= PERCENT * np.maximum(n, b["n"]))
+        ok &= (100 + PERCENT) * np.minimum(common, b["common"]) >= PERCENT * (n + b["n"])
+        for o in ("second", "third"):
+            ok &= shared(first["a"][o][i], *heads[o], size) > 0
+        if ok.any():
+            both = shared(whole["a"][i], *tokens, size)
+            good = np.flatnonzero(ok & (100 * both >= PERCENT * (n + b["n"] - both)))
+            u += [column["a"]["class"][i]] * len(good)
+            v += b["class"][good].tolist()
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _across(labelled: DataFrame, leaders: DataFrame, texts: Settled) -> DataFrame:
+    """Links between classes that share a prefix token, and so its leader's group, but aren't in one part.
+
+    In each group the classes outside its largest part (side a) meet all (side b), in blocks of about BLOCK classes a side.
+    """
+    rows = labelled.join(leaders, "token")
+    lists = [F.collect_list(F.when(F.col(o), F.col("token"))).alias(o) for o in ("second", "third")]
+    members = Settled(rows.groupBy("leader", "class", "part", "n", "common").agg(*lists))
+    parts = members.df.groupBy("leader", "part").agg(F.count(F.lit(1)).alias("c"))
+    torn = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "part")).alias("most")).filter("parts > 1")
+    torn = torn.select("leader", F.col("most.part").alias("largest"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).alias("na"), F.ceil(F.col("all") / BLOCK).alias("nb"))
+    member = members.df.join(torn, "leader").join(texts.df, "class")
+    place = F.xxhash64("class")
+    keep = ["class", "part", "n", "common", "second", "third", "text"]
+    a = member.filter("part <> largest").select("leader", F.pmod(place, F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"), F.lit("a").alias("side"), *keep)
+    b = member.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(place, F.col("nb")).alias("j"), F.lit("b").alias("side"), *keep)
+    return a.unionByName(b).groupBy("leader", "i", "j").applyInArrow(_block, "u long, v long")
+
+
 def groups(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, key (a hash of the text), n, class and part, the component's smallest class.
 
     Rows without shingles have neither class nor part.
     """
     found, small = classes(docs, text_col, key_col)
-    prefix = prefixes(small, found)
-    leaders = prefix.df.groupBy("token").agg(F.min(F.struct("class", "n", "second", "third")).alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    star = prefix.df.join(leaders, "token").filter(F.col("class") != F.col("l.class")).filter(_fits("n", "l.n"))
-    star = Settled(_pairs(star.select(F.col("class").alias("u"), F.col("l.class").alias("v"), (F.col("second") & F.col("l.second")).alias("second"), (F.col("third") & F.col("l.third")).alias("third"))))
-    links = Settled(verified(star.df, small, found))
+    texts = survivors(small, found)
+    prefix = prefixes(texts, found)
+    nearest = F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "class", "n", "common", "second", "third"))
+    leaders = prefix.df.groupBy("token").agg(nearest.alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    star = prefix.df.join(leaders, "token").filter(F.col("class") != F.col("l.class"))
+    star = star.select(F.struct(*prefix.df.columns[1:]).alias("x"), F.col("l").alias("y")).filter(_fits("x", "y"))
+    both = [F.expr(f"x.{o} and y.{o}").alias(o) for o in ("second", "third")]
+    star = Settled(_pairs(star.select(F.greatest("x.class", "y.class").alias("u"), F.least("x.class", "y.class").alias("v"), *both)))
+    links = Settled(verified(star.df, texts))
     group = components(links.df)
 
-    labelled = prefix.df.join(group.df, F.col("class") == F.col("node"), "left").select("token", "class", "n", "second", "third", F.coalesce("component", "class").alias("part"))
-    torn = labelled.groupBy("token").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("token")
-    open_ = Settled(labelled.join(torn, "token"))
-    x, y = open_.df.alias("x"), open_.df.alias("y")
-    across = x.join(y, F.col("x.token") == F.col("y.token")).filter("x.class > y.class and x.part <> y.part").filter(_fits("x.n", "y.n"))
-    rest = _pairs(across.select(F.col("x.class").alias("u"), F.col("y.class").alias("v"), F.expr("x.second and y.second").alias("second"), F.expr("x.third and y.third").alias("third")))
-    rest = Settled(rest.join(star.df, ["u", "v"], "left_anti"))
-    more = Settled(links.df.unionByName(verified(rest.df, small, found)))
-    for t in (star, links, group, open_, rest, prefix):
+    labelled = prefix.df.join(group.df, F.col("class") == F.col("node"), "left").select("token", "class", "n", "common", "second", "third", F.coalesce("component", "class").alias("part"))
+    more = Settled(links.df.unionByName(_across(labelled, leaders.select("token", F.col("l.class").alias("leader")), texts)))
+    for t in (star, links, group, prefix, texts):
         t.drop()
     group = components(more.df)
     more.drop()

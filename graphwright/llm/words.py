@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
 #: Bytes of text that are handled at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
