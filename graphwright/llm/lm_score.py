@@ -144,7 +144,9 @@ def train(docs: DataFrame, target: DataFrame, text_col: str = "text", key_col: s
     bigrams = Bigrams(vocabulary(docs, text_col, size), slots)
     shared = spark.sparkContext.broadcast(bigrams)
     flags = target.select(F.col(f"`{key_col}`").alias("id")).filter("id is not null").distinct().withColumn("target", F.lit(True))
-    rows = docs.select(F.col(f"`{key_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(flags, "id", "left").select("text", "target")
+    rows = docs.select(F.col(f"`{key_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # labels grow with the documents: the same plan at every size, and no broadcast
+    rows = rows.join(flags.hint("merge"), "id", "left").select("text", "target")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     partial = rows.mapInArrow(_sum_up(shared, ROW), "model int, row int, counts binary")
     packed = partial.repartition(parts, "model", "row").mapInArrow(_add_rows, "model int, row int, counts binary").toArrow()
