@@ -171,3 +171,26 @@ def test_sinks(spark, tmp_path):
 def test_staleness(spark):
     rows = spark.createDataFrame([("a", "a", False, True), ("a", "b", True, True), ("a", None, False, True), (None, "b", False, True), ("a", "a", True, True)], "indexed_head string, head string, dirty boolean, schema_ok boolean")
     assert [r.state for r in atlas.staleness(rows).collect()] == ["fresh", "stale", "unknown", "stale", "stale"]
+
+
+def test_engine_verbs(spark):
+    from graphwright.engine import GATE_EXIT, Engine
+
+    n = nodes(spark, [*NODES, ("e1", "endpoint", "GET /x", "/x", "api.yaml", 1, 1)])
+    e = spark.createDataFrame([("3", "1", "calls", "extracted"), ("1", "e1", "handles", "extracted")], "src string, dst string, kind string, confidence string")
+    o = ops(spark, [("e1", "r", "endpoint", "rest", "GET", "/x"), ("c1", "r", "client_call", "rest", "GET", "/x")])
+    repos = spark.createDataFrame([("r", "public")], "repo string, visibility string")
+    commits = spark.createDataFrame([("k1", "r", "a@x", 5, "Add parser"), ("k2", "r", "a@x", 6, "Fix vector search")], "node_id string, repo string, author_email string, committed_at long, subject string")
+    touched = spark.createDataFrame([("k1", "src/parse/a.rs"), ("k2", "src/vec/b.rs")], "node_id string, path string")
+    g = Engine(n, e, o, repos, commits, touched)
+    assert {r.id for r in g.callers("parse").collect()} == {"3"}
+    items = g.impact("parse")
+    assert {(r.id, r["class"]) for r in items.collect()} == {("3", "internal"), ("e1", "api")}
+    assert g.gate(items) == GATE_EXIT
+    assert [r.handler for r in g.serves("/x").collect()] == ["p::parse"]
+    assert g.who_calls("/x").count() == 1 and g.clients(unmatched=True).count() == 0
+    assert [r.node_id for r in g.timeline().collect()] == ["k2", "k1"]
+    assert [r.id for r in g.similar_commits("parser parse", 1, 64).collect()] == ["k1"]
+    assert g.cypher("MATCH (a)-[:calls]->(b) RETURN a.id AS x").first().x == "3"
+    assert g.reachable("parse").first().id == "3"
+    assert g.view(n.select("id")).count() == 7
