@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.operators.graph import rank, unrank
-from graphwright.plans.scratch import Settled
+from graphwright.plans.scratch import Settled, stable
 
 #: What each set of edges follows: (kind, from the edge's destination to its source).
 RULES = {
@@ -55,6 +55,7 @@ def impact(edges: DataFrame, seeds: DataFrame, tokens: list[str] | None = None,
     step = steps(edges, rules(tokens or IN_PROCESS))
     if min_confidence == "extracted":
         step = step.filter("r >= 2")
+    step = stable(step)
     first = seeds.select("id").distinct()
     level = first.select("id", F.lit(2).alias("r"), F.array().cast("array<string>").alias("path"), F.array("id").alias("pos"), F.lit(0).alias("distance"))
     found = [Settled(level)]
@@ -64,8 +65,8 @@ def impact(edges: DataFrame, seeds: DataFrame, tokens: list[str] | None = None,
         ahead = ahead.select(F.col("to").alias("id"), F.least("r", "er").alias("r"), "pos", "ek", F.concat("path", F.array("ek")).alias("path"))
         best = ahead.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct((-F.col("r")).alias("r"), "pos", "ek", "path")).alias("b"), F.min("pos").alias("first"))
         level = best.select("id", (-F.col("b.r")).alias("r"), F.col("b.path").alias("path"), F.concat("first", F.array("id")).alias("pos"), F.lit(depth).alias("distance"))
-        found.append(Settled(level))
-        if found[-1].df.isEmpty():
+        found.append(Settled(level, counted=True))
+        if not found[-1].rows:
             break
     items = reduce(DataFrame.unionByName, [x.df for x in found[1:]]) if len(found) > 1 else found[0].df.limit(0)
     return items.select("id", "distance", unrank(F.col("r")).alias("min_confidence"), "path")
@@ -75,12 +76,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, kind: str, outgoing: bool = Tr
     """Nodes within max_depth edges of a kind from seeds(id), without the seeds: (id, distance)."""
     near, far = ("src", "dst") if outgoing else ("dst", "src")
     step = edges.filter(F.col("kind") == kind).select(F.col(near).alias("at"), F.col(far).alias("to")).distinct()
+    step = stable(step)
     found = [Settled(seeds.select("id").distinct().withColumn("distance", F.lit(0)))]
     for depth in range(1, max_depth + 1):
         seen = reduce(DataFrame.unionByName, [x.df.select("id") for x in found])
         ahead = found[-1].df.join(step, F.col("id") == F.col("at")).select(F.col("to").alias("id")).distinct()
-        found.append(Settled(ahead.join(seen, "id", "left_anti").withColumn("distance", F.lit(depth))))
-        if found[-1].df.isEmpty():
+        found.append(Settled(ahead.join(seen, "id", "left_anti").withColumn("distance", F.lit(depth)), counted=True))
+        if not found[-1].rows:
             break
     return reduce(DataFrame.unionByName, [x.df for x in found]).filter("distance > 0")
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -44,10 +46,14 @@ def release(spark: SparkSession) -> None:
 class Settled:
     """A table written to the shared folder; ``df`` reads it again, and ``drop`` removes it when nothing needs it any more."""
 
-    def __init__(self, df: DataFrame, spark: SparkSession | None = None):
+    def __init__(self, df: DataFrame, spark: SparkSession | None = None, counted: bool = False):
         self.spark = spark or df.sparkSession
         self.path = f"{shared_dir(self.spark)}/graphwright-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        seen = Observation() if counted else None
+        rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df
+        rows.write.option("compression", "zstd").parquet(self.path)
+        #: The number of rows, counted as they were written.
+        self.rows = seen.get["n"] if counted else None
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         _paths.append(self)
 
@@ -57,6 +63,12 @@ class Settled:
             delete(self.spark, self.path)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """The frame itself if it only reads, filters and projects; else settled, for loops that read it again and again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return Settled(df).df if re.search(r"\b(Join|Aggregate|Window|Generate|Distinct|Sort|MapIn\w+|\w*EvalPython)\b", plan) else df
+
+
 _paths: list[Settled] = []
 
 
