@@ -725,12 +725,12 @@ def c18_node_id(t):
     return t.symbols.select("id", hashing.node_id(F.col("kind"), F.col("file"), F.col("name")).alias("node"))
 
 
-@query()
+@query(f"SELECT id, lpad(lower(hex(({Q.fnv1a('qualified_name')})::UBIGINT)), 16, '0') AS fnv FROM symbols")
 def c19_fnv1a(t):
     return t.symbols.select("id", hashing.fnv1a(F.col("qualified_name")).alias("fnv"))
 
 
-@query()
+@query(f"SELECT repo, {Q.uuid5("concat('forge.example/', label)")} AS uuid FROM repos")
 def c20_repo_uuid(t):
     return t.repos.select("repo", hashing.repo_uuid(F.concat(F.lit("forge.example/"), F.col("label"))).alias("uuid"))
 
@@ -741,15 +741,27 @@ def c21_c22_dates(t):
     return t.commits.select("node_id", day.alias("day"), dates.day_start(day).alias("start"), dates.day_end(day).alias("stop"))
 
 
-@query()
+def _cells(rows, key):
+    """The cells of vectors that aren't zero."""
+    return rows.select(key, F.posexplode("vector").alias("bucket", "x")).filter("x <> 0").select(key, "bucket", F.round(F.col("x").cast("double"), 4).alias("x"))
+
+
+@query(f"""
+  WITH w AS (SELECT node_id, unnest({Q.tokens('subject')}) AS t FROM commits),
+  f AS (SELECT node_id, (({Q.fnv1a('t')}) % 64)::INT AS bucket, count(*) AS n FROM w GROUP BY ALL),
+  v AS (SELECT node_id, bucket, 1 + ln(n) AS x FROM f)
+  SELECT node_id, bucket, round(x / sqrt(sum(x * x) OVER (PARTITION BY node_id)), 4) AS x FROM v""")
 def c24_hashing_embedder(t):
-    return t.commits.select("node_id", vectors.hashing_embedder(64)(F.col("subject")).alias("vector"))
+    return _cells(t.commits.select("node_id", vectors.hashing_embedder(64)(F.col("subject")).alias("vector")), "node_id")
 
 
-@query()
+@query(f"""
+  WITH p AS (SELECT repo AS key, concat('nk:', kind) AS f, count(*) AS n FROM nodes GROUP BY ALL),
+  c AS (SELECT key, (({Q.fnv1a('f')}) % 64)::INT AS bucket, sum(sqrt(n)) AS x FROM p GROUP BY ALL)
+  SELECT key, bucket, round(x / sqrt(sum(x * x) OVER (PARTITION BY key)), 4) AS x FROM c""")
 def c25_structural_embedder(t):
     profile = t.nodes.groupBy(F.col("repo").alias("key"), F.lit("nk").alias("facet"), F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return vectors.structural_vectors(profile, 64)
+    return _cells(vectors.structural_vectors(profile, 64), "key")
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 1")

@@ -51,7 +51,7 @@ class Settled:
         self.path = f"{shared_dir(self.spark)}/graphwright-{uuid.uuid4().hex}"
         seen = Observation() if counted else None
         rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df
-        rows.write.option("compression", "zstd").parquet(self.path)
+        rows.write.parquet(self.path)
         #: The number of rows, counted as they were written.
         self.rows = seen.get["n"] if counted else None
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
@@ -63,6 +63,17 @@ class Settled:
             delete(self.spark, self.path)
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, so that rows with long texts don't add up in a worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """The frame itself if it only reads, filters and projects; else settled, for loops that read it again and again."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -88,3 +88,16 @@ IS_TEST = """(contains('/' || lower(file), '/tests/') OR contains('/' || lower(f
 
 def classified() -> str:
     return f"CASE WHEN {IS_TEST} THEN 'test' WHEN kind IN ('endpoint', 'schema_op') THEN 'api' WHEN kind IN ('function', 'method') AND (qualified_name = 'main' OR ends_with(qualified_name, '::main')) THEN 'entrypoint' ELSE 'internal' END"
+
+
+def fnv1a(text: str) -> str:
+    """FNV-1a of a text's UTF-8 bytes as a HUGEINT."""
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::HUGEINT)"
+    return f"list_reduce(list_prepend(14695981039346656037::HUGEINT, {data}), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+def uuid5(text: str) -> str:
+    """The URL-namespace UUID of a text."""
+    h = f"sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode({text}))"
+    variant = f"['8', '9', 'a', 'b'][(('0x' || substr({h}, 17, 1))::INT & 3) + 1]"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
