@@ -10,21 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphwright.llm import decontam, mixing, ngram_join, quality, sharding
-from graphwright.plans.scratch import Settled
+from graphwright.plans.scratch import Settled, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rule or repeat too much of themselves."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that n-gram similarity links, one stays."""
+    small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that contain passages of the benchmark."""
+    small_batches(spark)
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -145,10 +145,10 @@ def _rarity(docs: DataFrame, text_col: str, wanted: dict[int, np.ndarray]) -> di
     return {(n, int(wanted[n][k])): c for n, k, c in zip(*(rows.column(x).to_pylist() for x in "nkc"), strict=True)}
 
 
-def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", finish=None, final: T.StructType | None = None) -> DataFrame:
     """docs with three more columns at the end: n_words, hits (ranges of words) and items (ids of items with occurring windows).
 
-    Their names get underscores where docs has such columns.
+    Their names get underscores where docs has such columns.  finish turns the last pass's batches into rows of final.
     """
     names = fresh(docs.columns, "n_words", "hits", "items")
     items = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("text is not null")
@@ -163,7 +163,9 @@ def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
         wanted = windows.shingles()
         index = docs.sparkSession.sparkContext.broadcast(Prefixes(windows, _rarity(source, text_col, wanted) if wanted else {}))
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+        last = finish if block == n_blocks - 1 else None
+
+        def run(batches: Iterator[pa.RecordBatch], index=index, last=last) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, text_col):
                 p = _words(b.column(text_col))
                 start, k = index.value.find(p)
@@ -177,9 +179,10 @@ def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
                     hits[d] = (hits[d] or []) + [{"at": int(s - p.first[d]), "n": int(index.value.length[x])} for s, x in zip(start[own], k[own], strict=True)]
                     ids[d] = sorted({*(ids[d] or []), *(o for x in np.unique(k[own]) for o in index.value.owners[x])})
                 added = [pa.array(x, b.schema.field(i - 3).type) for i, x in enumerate((p.counts, hits, ids))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-3], *added], schema=b.schema)
+                found = pa.RecordBatch.from_arrays([*b.columns[:-3], *added], schema=b.schema)
+                yield last(found) if last else found
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, final if last else schema)
     return out
 
 
@@ -193,29 +196,26 @@ def _judged(b: pa.RecordBatch) -> tuple[list[int], list[int], list[bool]]:
 
 def verdicts(docs: DataFrame, items: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text", **names: str) -> DataFrame:
     """One row per document: the keys, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    found = occurrences(docs.select(*dict.fromkeys([*keys, text_col])), items, text_col, **names)
+    small = docs.select(*dict.fromkeys([*keys, text_col]))
     schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in ("n_words", "n_hit", "n_items")] + [T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, hit, bad = _judged(b)
-            ids = b.columns[-1].to_pylist()
-            digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_())], names=schema.names)
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, hit, bad = _judged(b)
+        ids = b.columns[-1].to_pylist()
+        digest = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in ids]
+        return pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(digest, pa.string()), pa.array(bad, pa.bool_())], names=schema.names)
 
-    return found.select(*[found[c] for c in dict.fromkeys([*keys, *found.columns[-3:]])]).mapInArrow(run, schema)
+    return occurrences(small, items, text_col, finish=finish, final=schema, **names)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **names: str) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    found = occurrences(docs, items, text_col, **names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = b.filter(pa.array([not x for x in _judged(b)[2]], pa.bool_()))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-3], names=kept.schema.names[:-3])
+    def finish(b: pa.RecordBatch) -> pa.RecordBatch:
+        kept = b.filter(pa.array([not x for x in _judged(b)[2]], pa.bool_()))
+        return pa.RecordBatch.from_arrays(kept.columns[:-3], names=kept.schema.names[:-3])
 
-    return found.mapInArrow(run, docs.schema)
+    return occurrences(docs, items, text_col, finish=finish, final=docs.schema, **names)
 
 
 QUERY_SQL = r"""

@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphwright.llm import chat, decontam, licenses, lm_score, mixing, ngram_join, quality, sharding, substring, tokens
+from graphwright.plans.scratch import small_batches
 
 #: The public vocabulary that token counts use; the file stays where it is.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
