@@ -437,7 +437,8 @@ def groups(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") ->
 def join(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles and component_id, the smallest id that links reach."""
     rows = groups(docs, text_col, key_col)
-    named = rows.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))
+    # settled, so that the join has the dealt rows alone on its sides and the partition of a large component can be split
+    named = Settled(rows.filter("part is not null").groupBy("part").agg(F.min("doc_id").alias("component_id"))).df
     out = rows.join(named, "part", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
