@@ -13,7 +13,7 @@ the anchor may have to be extended, left and right.
 its windows are repeats.
 
 *Extend.*  What is left are anchors that occur again, but in different spans: there a match ends inside the span.
-One occurrence of each such span lists its windows, the anchor extended to the left and right by every split of the
+One text with each such span lists its windows, the anchor extended to the left and right by every split of the
 remaining words, and windows that two spans share are repeats.  So the work is linear in the occurrences, however many
 share an anchor; the join back to occurrences has one row on the other side and is split by adaptive execution.
 
@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwright.plans.scratch import Settled
+from graphwright.plans.scratch import Settled, release
 from graphwright.llm.words import _BASE, _INVERSE, SPACED, Piece, _power, cover, mix, pieces, rolling
 
 #: Words in a window, and in the n-grams from which its anchor is selected.
-WINDOW, ANCHOR = 35, 12
+WINDOW, ANCHOR = 35, 8
 
 
 class Sums:
@@ -108,22 +108,28 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> tuple[DataFrame, Settled]:
     """From docs(key, text, ...): rows (key, ranges), ranges of windows that are repeats; and a table to drop after use."""
     seeds = Settled(docs.select("key", "text").filter("text is not null").mapInArrow(_seeds, "anchor long, span long, key long, low int, n int"))
-    spans = seeds.df.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "low")).alias("first"))
-    shared = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("all")).filter("kinds > 1")
+    spans = seeds.df.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("first"))
+    shared = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # a span that occurs twice is a repeat; one that shares its anchor with another kind of span is to be extended
-    known = spans.join(shared.select("anchor", "kinds"), "anchor", "left").filter("c > 1 or kinds > 1").select("anchor", "span", (F.col("c") > 1).alias("whole"), F.col("kinds").isNotNull().alias("mixed"), "first")
-    found = Settled(seeds.df.join(known, ["anchor", "span"]).select("key", "low", "n", "whole", (F.col("mixed") & (F.col("first.key") == F.col("key")) & (F.col("first.low") == F.col("low"))).alias("extend")))
+    known = spans.join(shared.select("anchor", "kinds"), "anchor", "left").filter("c > 1 or kinds > 1").select("span", (F.col("c") > 1).alias("whole"), F.col("kinds").isNotNull().alias("mixed"), "first")
+    # the span tells the anchor; the text with the smallest key extends it for all that have it
+    found = Settled(seeds.df.select("span", "key", "low", "n").join(known, "span").select("key", "low", "n", "whole", (F.col("mixed") & (F.col("first") == F.col("key"))).alias("extend")))
     seeds.drop()
+    release(docs.sparkSession)
     # rows with equal texts have equal spans: one of each is enough from here on
-    todo = found.df.filter("extend").groupBy("key").agg(F.collect_set(F.struct("low", "n", (~F.col("whole")).alias("once"))).alias("spans"))
-    windows = docs.join(todo, "key").select("key", "text", "spans").mapInArrow(_extended, "window long, key long, low int, once boolean")
+    # settled, so that the join has the dealt rows alone on its sides and the partition of many copies can be split
+    todo = Settled(found.df.filter("extend").groupBy("key").agg(F.collect_set(F.struct("low", "n", (~F.col("whole")).alias("once"))).alias("spans")))
+    windows = docs.join(todo.df, "key").select("key", "text", "spans").mapInArrow(_extended, "window long, key long, low int, once boolean")
     windows = Settled(windows.distinct())
+    todo.drop()
+    release(docs.sparkSession)
     twice = windows.df.groupBy("window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("window")
     extended = windows.df.filter("once").join(twice, "window").select("key", "low", F.lit(1).alias("n"))
     ranges = found.df.filter("whole").select("key", "low", "n").unionByName(extended)
     out = Settled(ranges.groupBy("key").agg(F.collect_set(F.struct("low", "n")).alias("ranges")))
     found.drop()
     windows.drop()
+    release(docs.sparkSession)
     return out.df, out
 
 
