@@ -18,8 +18,9 @@ candidate only if it meets in the prefixes of both orders and these bounds allow
 *Candidates without all pairs.*  Every prefix token has a leader, the class with the fewest tokens of its own (of a group of
 edited copies, the one nearest to the original); first, classes are verified against leaders only.  The components of what
 holds are the groups of near copies.  Then, in the group of each leader, the classes outside the group's largest component meet
-the others in blocks, which are bounded and checked inside a task; only links come out.  So no link between components is
-lost, links inside one need not be listed, and no pairs are dealt.
+the others in blocks, which are bounded and checked inside a task; only links come out.  A group has the classes that share a
+second-order token of its leader; a pair's shared third-order token may have another leader, so that order is tested on
+whole prefixes.  So no link between components is lost, links inside one need not be listed, and no pairs are dealt.
 
 *Verification* counts the intersection of the whole sets.
 
@@ -388,17 +389,18 @@ def _block(table: pa.Table) -> pa.Table:
 
 
 def _across(labelled: DataFrame, leaders: DataFrame, texts: Settled) -> DataFrame:
-    """Links between classes that share a prefix token, and so its leader's group, but aren't in one part.
+    """Links between classes that share a second-order token, and so its leader's group, but aren't in one part.
 
     In each group the classes outside its largest part (side a) meet all (side b), in blocks of about BLOCK classes a side.
+    The second order's tokens are those of the group's leader; the third order's are the whole prefix.
     """
-    rows = labelled.join(leaders, "token")
-    lists = [F.collect_list(F.when(F.col(o), F.col("token"))).alias(o) for o in ("second", "third")]
-    members = Settled(rows.groupBy("leader", "class", "part", "n", "common").agg(*lists))
+    rows = labelled.filter("second").join(leaders, "token")
+    members = Settled(rows.groupBy("leader", "class", "part", "n", "common").agg(F.collect_list("token").alias("second")))
+    thirds = labelled.filter("third").groupBy("class").agg(F.collect_list("token").alias("third"))
     parts = members.df.groupBy("leader", "part").agg(F.count(F.lit(1)).alias("c"))
     torn = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "part")).alias("most")).filter("parts > 1")
     torn = torn.select("leader", F.col("most.part").alias("largest"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).alias("na"), F.ceil(F.col("all") / BLOCK).alias("nb"))
-    member = members.df.join(torn, "leader").join(texts.df, "class")
+    member = members.df.join(torn, "leader").join(texts.df, "class").join(thirds, "class")
     place = F.xxhash64("class")
     keep = ["class", "part", "n", "common", "second", "third", "text"]
     a = member.filter("part <> largest").select("leader", F.pmod(place, F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"), F.lit("a").alias("side"), *keep)

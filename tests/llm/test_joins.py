@@ -67,6 +67,15 @@ def test_ngram_chain(spark):
     assert order([(r.doc_id, r.n_shingles, r.component_id) for r in got]) == order(want) and len({x[2] for x in want}) == 1
 
 
+@pytest.mark.parametrize("size", [14, 18])
+def test_ngram_join_of_overlapping_crops(spark, size):
+    """A pair's shared tokens of the two orders may have different leaders."""
+    text = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(text[i : i + size]), None, None, None) for i in range(400 - size + 1)]
+    got = ngram_join.join(frame(spark, rows)).collect()
+    assert order([(r.doc_id, r.n_shingles, r.component_id) for r in got]) == order(brute_components(rows))
+
+
 def test_keep_one(spark):
     rows = corpus()
     kept = ngram_join.keep_one(with_clashes(frame(spark, rows)))
