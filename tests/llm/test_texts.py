@@ -202,6 +202,28 @@ def test_lm_scores(spark):
     assert all(r.score is None or r.score == pytest.approx(r.target_loss - r.background_loss) for r in got)
 
 
+def test_lm_counts_are_exact(spark):
+    """As many words and bigrams as no fixed table holds: all are counted by themselves."""
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(700))) for i in range(110)]
+    rows += [(1000 + i, "u1x0 u1x1 u1x0") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm_score.score(df, lm_score.train(df, df.filter("doc_id = 3").select("doc_id"))).collect()
+    toks = {r[0]: item_words(r[1]) for r in rows}
+    models = []
+    for own in ([3], list(toks)):
+        big = Counter(p for d in own for p in zip(["", *toks[d]], toks[d], strict=False))
+        models.append((Counter(w for d in own for w in toks[d]), Counter(a for d in own for a in ["", *toks[d]][:-1]), big))
+    v = len(models[1][0]) + 2
+    assert v > 1 << 16 and len(got) == len(rows)
+    for r in got:
+        for (uni, con, big), have in zip(models, (r.target_loss, r.background_loss), strict=True):
+            n, loss = sum(uni.values()), 0.0
+            for a, b in zip(["", *toks[r.doc_id]], toks[r.doc_id], strict=False):
+                o = lm_score.ORDER if con[a] else 0.0
+                loss -= np.log(o * big[a, b] / max(con[a], 1) + (1 - o) * (uni[b] + lm_score.SMOOTH * n / v) / (n + lm_score.SMOOTH * n))
+            assert have == pytest.approx(loss / r.n_tokens, abs=1e-9)
+
+
 def test_lm_separates(spark):
     import random
 
