@@ -8,8 +8,10 @@ than a few times their length in the template.
 
 Where to align: a template can be covered to ``COVERAGE`` only by a stretch of text with as many of its words close
 together, so the positions of its words are grouped into regions that are dense enough (an upper bound on coverage, so
-nothing is missed within the slack), and every region is aligned.  A region that holds the notice several times has
-no unique words; it is aligned window by window then.
+nothing is missed within the slack), and every region is aligned.  A region may hold the notice several times, and then has
+no unique words or loose alignments: the best alignment, the tightest of those with as many words, is taken, and what is left
+of the region is aligned again until nothing is covered.  Of overlapping stretches of several licenses one stays, and the
+others' templates are aligned once more with what it leaves.
 
 Words are runs of letters (ASCII lower-cased), digits and non-ASCII characters, compared by 64-bit hashes.  One pass, no
 shuffle; whole texts of any length.  Null and empty texts match nothing.  Repeated rows match alike.  Empty tables
@@ -119,17 +121,55 @@ def regions(places: np.ndarray, wanted: int, length: int) -> list[tuple[int, int
     return [(a, b) for a, b in out]
 
 
-def best_match(text: list[int], template: list[int]) -> tuple[int, int, int] | None:
-    """Matched words, first and last position of the best alignment of a template in a region."""
-    size, n = len(template), len(text)
-    windows = [(0, n)]
-    found = align(text, template)
-    if len(found) < COVERAGE * size and n > size:  # the notice may be there more than once
-        step = max(1, size // 4)
-        windows = [(a, min(n, a + size + size // 2)) for a in range(0, n, step)]
-        found, base = max(((align(text[a:b], template), a) for a, b in windows), key=lambda x: len(x[0]))
-        found = [(p, t + base) for p, t in found]
-    return (len(found), min(t for _, t in found), max(t for _, t in found)) if found else None
+def _best(text: list[int], known: np.ndarray, template: list[int], least: int, a: int, b: int) -> list[int] | None:
+    """Matched words, first and last position of the best covered alignment from a to b: most words, then the shortest stretch.
+
+    An alignment that is hardly longer than the template is taken as it is; else others are tried from every word on.
+    known: the template's words before each position.
+    """
+    size = len(template)
+
+    def tried(c: int, d: int) -> tuple[int, int, int]:
+        found = align(text[c:d], template)
+        return (len(found), found[0][1] + c, found[-1][1] + c) if found else (0, c, c)
+
+    best = tried(a, b)
+    if best[0] < least or best[2] - best[1] >= size + size // 4:
+        for c in range(a, b):
+            if text[c] >= 0:
+                for d in (min(b, c + size), min(b, c + size + size // 2)):
+                    if known[d] - known[c] >= max(least, best[0]):
+                        best = max(best, tried(c, d), key=lambda x: (x[0], x[1] - x[2]))
+    return list(best) if best[0] >= least else None
+
+
+def matches(text: list[int], template: list[int], least: int) -> list[list[int]]:
+    """Matched words, first and last position of disjoint covered alignments, until nothing between them is covered.
+
+    A long stretch is first cut at covered windows, from left to right, so that the time follows its length.
+    """
+    size, out = len(template), []
+    known = np.concatenate([[0], np.cumsum(np.array(text) >= 0)])
+    todo = []
+    at = rest = 0
+    step, wide = max(1, size // 4), size + size // 2
+    while len(text) - rest > 2 * SLACK * max(size, 2) and at < len(text):
+        end = min(len(text), at + wide)
+        if known[end] - known[at] >= least and len(align(text[at:end], template)) >= least:
+            found = _best(text, known, template, least, at, min(len(text), at + SLACK * size))
+            if found:
+                out.append(found)
+                todo.append((rest, found[1]))
+                at = rest = found[2] + 1
+                continue
+        at += step
+    todo.append((rest, len(text)))
+    while todo:
+        a, b = todo.pop()
+        if known[b] - known[a] >= least and (found := _best(text, known, template, least, a, b)):
+            out.append(found)
+            todo += [(a, found[1]), (found[2] + 1, b)]
+    return sorted(out, key=lambda x: x[1])
 
 
 class Library:
@@ -145,14 +185,18 @@ class Library:
         np.add.at(self.times, (ids, p.doc), 1)
         self.least = np.array([max(1, int(np.ceil(COVERAGE * len(w)))) for w in self.words])
 
-    def scan(self, p: Piece) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, template, first word, last word, matched words) of every covered stretch."""
+    def _found(self, k: int, text: list[int], base: int) -> list[dict]:
+        return [{"license": self.names[k], "first_word": a + base, "last_word": b + base, "matched": n, "coverage": n / len(self.words[k])} for n, a, b in matches(text, self.words[k], int(self.least[k]))]
+
+    def scan(self, p: Piece) -> list[list[dict]]:
+        """The covered stretches of each text, those of other licenses apart."""
         at = among(p.hash, self.vocabulary)
         word, doc = np.searchsorted(self.vocabulary, p.hash[at]), p.doc[at]
         have = np.zeros((p.n, len(self.vocabulary)), bool)
         have[doc, word] = True
         possible = have.astype(np.int64) @ self.times >= self.least
         edge = np.searchsorted(doc, np.arange(p.n + 1))
+        stretches: dict[int, list[tuple[int, int, list[int]]]] = {}
         for d, k in zip(*np.nonzero(possible), strict=True):
             own = slice(edge[d], edge[d + 1])
             mine = self.times[word[own], k] > 0
@@ -163,17 +207,35 @@ class Library:
                 text = np.full(b - a, -1, np.int64)
                 inside = slice(*np.searchsorted(place, [a, b]))
                 text[place[inside] - a] = which[inside]
-                if (found := best_match(text.tolist(), self.words[k])) and found[0] >= self.least[k]:
-                    yield int(d), int(k), found[1] + a, found[2] + a, found[0]
+                stretches.setdefault(int(d), []).append((int(k), a, text.tolist()))
+        out: list[list[dict]] = [[] for _ in range(p.n)]
+        for d, parts in stretches.items():
+            found = [(x, self._found(k, text, a)) for x in parts for k, a, text in [x]]
+            while found:
+                spans = [s for _, more in found for s in more]
+                out[d] = _apart(out[d] + spans)
+                kept = {(s["license"], s["first_word"]) for s in out[d]}
+                # a template whose stretch went to another license may be covered between those that stay
+                again = [x for x, more in found if any((s["license"], s["first_word"]) not in kept for s in more)]
+                found = []
+                for k, a, text in again:
+                    ends = [a, *(e for s in out[d] for e in (min(max(s["first_word"], a), a + len(text)), min(max(s["last_word"] + 1, a), a + len(text)))), a + len(text)]
+                    for c, e in zip(ends[::2], ends[1::2], strict=True):
+                        part = text[c - a : e - a]
+                        if sum(w >= 0 for w in part) >= self.least[k]:
+                            found.append(((k, c, part), self._found(k, part, c)))
+                found = [x for x in found if x[1]]
+        return out
 
 
 def _apart(spans: list[dict]) -> list[dict]:
     """Of overlapping stretches, the one that is covered best (related licenses share most of their words)."""
     out: list[dict] = []
     for x in sorted(spans, key=lambda x: (-x["coverage"], -x["matched"], x["first_word"], x["license"])):
-        if all(x["last_word"] < y["first_word"] or y["last_word"] < x["first_word"] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x["first_word"])
+        at = bisect_left(out, x["first_word"], key=lambda y: y["last_word"])
+        if at == len(out) or x["last_word"] < out[at]["first_word"]:
+            out.insert(at, x)
+    return out
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType())]))
@@ -188,10 +250,7 @@ def scan(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_id
         lib = library.value
         for b in pieces(batches, text_col):
             p = Piece(b.column(text_col), ALNUM, LOWER)
-            spans: list[list[dict]] = [[] for _ in range(p.n)]
-            for d, k, first, last, n in lib.scan(p):
-                spans[d].append({"license": lib.names[k], "first_word": first, "last_word": last, "matched": n, "coverage": n / len(lib.words[k])})
-            spans = [_apart(s) for s in spans]
+            spans = lib.scan(p)
             best = [min(s, key=lambda x: (-x["coverage"], -x["matched"], x["first_word"], x["license"]), default=None) for s in spans]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(k) for k in keys), pa.array(p.counts.astype(np.int64)), pa.array([len(s) for s in spans], pa.int64()), pa.array([",".join(sorted({x["license"] for x in s})) for s in spans], pa.string())]

@@ -152,6 +152,19 @@ def test_license_scan(spark):
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_license_scan_finds_every_notice(spark):
+    t = licenses.TEMPLATES
+    mit, cc, gpl, lgpl = t["MIT"], t["CC-BY-4.0"], t["GPL-3.0"], t["LGPL-3.0"]
+    rows = [(1, f"{mit} {mit}"), (2, "\n".join([cc] * 100)), (3, f"{lgpl} {gpl}"), (4, f"{gpl} {lgpl} {gpl}"), (5, f"{t['MIT-text']}\n{t['MIT-text']} x {t['ISC-text']} {mit}"), (6, "by " + " y ".join([mit] * 40))]
+    got = {r.doc_id: [(s.license, s.first_word, s.last_word) for s in r.spans] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = {k: len(item_words(x)) for k, x in t.items()}
+    ends = lambda *names: [(k, sum(n[x] for x in names[:i]), sum(n[x] for x in names[: i + 1]) - 1) for i, k in enumerate(names)]
+    assert got[1] == ends("MIT", "MIT") and got[2] == ends(*["CC-BY-4.0"] * 100)
+    assert got[3] == ends("LGPL-3.0", "GPL-3.0") and got[4] == ends("GPL-3.0", "LGPL-3.0", "GPL-3.0")
+    assert [x[0] for x in got[5]] == ["MIT-text", "MIT-text", "ISC-text", "MIT"]
+    assert got[6] == [("MIT", 1 + 6 * i, 5 + 6 * i) for i in range(40)]
+
+
 def brute_lm(rows, target, size, bigrams):
     """The models again, with counters; bigrams that share a slot are counted together, as documented."""
     ids = {w: i for i, w in enumerate(bigrams.vocabulary.tolist())}
