@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,25 @@ def test_vectors(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 2.0]), ([1.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
     assert [r[0] for r in rows.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0]
     assert vectors.vector_table("repo", "x:m") != vectors.vector_table("repo", "x-m")
+
+
+def test_similarity_graph_in_blocks(spark, monkeypatch):
+    """Blocks smaller than the table, equal vectors, zero vectors and another length; against all pairs."""
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    rnd = np.random.default_rng(5)
+    rows = [(f"r{i}", rnd.normal(size=6).round(2).tolist()) for i in range(40)] + [(f"s{i}", [1.0, 2.0, 0.0, 0.0, 1.0, 0.0]) for i in range(9)]
+    rows += [("zero", [0.0] * 6), ("short", [1.0, 1.0]), ("short2", [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "id string, vector array<float>")
+    got = {(r.a, r.b): r.score for r in vectors.similarity_graph(df, 3).collect()}
+    want = {}
+    for a, x in rows:
+        x = np.array(x, np.float32).astype(float)
+        near = []
+        for b, y in rows:
+            y = np.array(y, np.float32).astype(float)
+            if a != b and len(x) == len(y) and x.any() and y.any():
+                s = sum((p * q for p, q in zip(x, y, strict=True)), 0.0) / (np.sqrt(sum(p * p for p in x)) * np.sqrt(sum(p * p for p in y)))
+                near += [(-s, b)] if s > 0 else []
+        for s, b in sorted(near)[:3]:
+            want[min(a, b), max(a, b)] = -s
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
