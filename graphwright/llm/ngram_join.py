@@ -3,34 +3,39 @@
 A document's set is its distinct shingles of ``SHINGLE`` words; documents link when the sets' Jaccard similarity is at
 least ``PERCENT`` percent.  Documents with equal sets are one class, and classes are joined.
 
-*First order (hash).*  With n shingles, at least ceil(0.8 n) must be shared, so the first p = n - ceil(0.8 n) + 1
-shingles of any global order hold a shared one, and the first p + l - 1 hold l.  The zone of a class is its
-p + l - 1 smallest hashes, l = n / 10: partners share l tokens of their zones.  In order of rarity among the zones,
-all but the last l - 1 tokens of a zone must hold a shared one; tokens of one class alone come first, so most documents
-drop out here, by a third of their tokens.
-
-*Second and third order (rarity).*  The whole sets of those that are left are ordered by the number of such classes that
-have a token, ties once by hash and once by another hash.  In either order the first p tokens must hold a shared one.
-Tokens that no other class has come first: a class with more than a fifth of them drops out, boilerplate that many
-documents share comes last, and a pair can share no more tokens than either has in common with anyone.  A pair is a
-candidate only if it meets in the prefixes of both orders and these bounds allow it.
+*Orders.*  With n shingles, at least ceil(0.8 n) must be shared, so the first p = n - ceil(0.8 n) + 1 shingles of any global
+order hold a shared one.  Three orders are used, which have nothing to do with each other: a hash, the rarity (the number
+of classes that have a token), and another hash.  A pair is verified only if it shares a token of the whole prefixes under
+all three.
 
-*Candidates without all pairs.*  Every prefix token has a leader, the class with the fewest tokens of its own (of a group of
-edited copies, the one nearest to the original); first, classes are verified against leaders only.  The components of what
-holds are the groups of near copies.  Then, in the group of each leader, the classes outside the group's largest component meet
-the others in blocks, which are bounded and checked inside a task; only links come out.  A group has the classes that share a
-second-order token of its leader; a pair's shared third-order token may have another leader, so that order is tested on
-whole prefixes.  So no link between components is lost, links inside one need not be listed, and no pairs are dealt.
+*First order (hash), class by class.*  The first p + l - 1 shingles of any order hold l shared ones.  The zone of a class is
+its p + l - 1 smallest hashes, l = n / 10: partners share l tokens of their zones.  In order of rarity among the zones, all
+but the last l - 1 tokens of a zone must hold a shared one; tokens of one class alone come first, so most documents drop
+out here, by a third of their tokens.
 
-*Verification* counts the intersection of the whole sets.
+*Second order (rarity), candidates.*  The whole sets of those that are left are ordered by the number of such classes that
+have a token.  Tokens that no other class has come first: a class with more than a fifth of them drops out, boilerplate
+that many documents share comes last, and a pair can share no more tokens than either has in common with anyone.
 
-Tokens travel as packed arrays, dealt by token.  Tokens in more than a few thousandths of all entries are found beforehand (mergeable Misra-Gries summaries of all documents, at most ``SUMMARY`` tokens) and aren't dealt
-at all: their rank is known everywhere.  Later joins on tokens have one row per token on one side, or are split by
-adaptive execution.
-
-Shingles are compared by 64-bit hashes.  Null texts and texts without words have empty sets, link with nothing and are
-their own component.  Fewer words than a shingle are one shingle.  Equal rows are in one class.  Rows with a null id
-link as others do, and don't name a component.  Empty tables give no rows.
+*Candidates without all pairs.*  Every prefix token has a leader, the class with the fewest tokens of its own (of a group of
+edited copies, the one nearest to the original); first, classes are verified against leaders only.  The components of what
+holds are the groups of near copies.  Then, in the group of each leader, the classes outside the group's largest component
+meet those of lengths that allow a link, in blocks, which are bounded and checked inside a task; of a block's links, one
+comes out for every two components that it joins.  A pair that shares a prefix token is in the group of that token's leader,
+so no link between components is lost; links inside one need not be listed, and no pairs are dealt.
+
+*Verification* counts the intersection of the whole sets, of pairs that pass the first and third orders' prefixes too.
+
+Tokens travel as packed arrays, dealt by token to as many parts as the counted tokens call for.  Tokens in more than a few
+thousandths of all entries, and in ``HOT`` classes at least, are found beforehand (mergeable Misra-Gries summaries of all
+documents, at most ``SUMMARY`` tokens) and aren't dealt at all: their rank is known everywhere.  Later joins on tokens have
+one row per token on one side, or are split by adaptive execution.  Sets are computed twice for all documents, once more
+for those with possible partners, and settled from there on.
+
+Shingles and sets are compared by 64-bit hashes.  Null texts and texts without words have empty sets, link with nothing and
+are their own component.  Fewer words than a shingle are one shingle.  Whole texts count, however long: the classes of a
+block are fewer where their sets are larger.  Equal rows are in one class.  Rows with a null id link as others do, and
+don't name a component.  Empty tables give no rows.  Extra columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.llm.components import components
@@ -50,10 +55,12 @@ from graphwright.llm.words import LOWER, SPACED, Piece, among, fresh, mix, piece
 SHINGLE, PERCENT = 5, 80
 #: Tokens in a summary of frequent tokens.
 SUMMARY = 8192
-#: Zone entries that a task packs at a time.
-PACK = 1_000_000
-#: Classes on a side of a block.
-BLOCK = 500
+#: Classes that have a token which isn't dealt, at least.
+HOT = 1000
+#: Entries that a task packs at a time, and that a part holds on average.
+PACK, PART = 500_000, 1_000_000
+#: Classes on a side of a block, and tokens of their sets.
+BLOCK, BLOCK_TOKENS = 500, 1_000_000
 
 
 def sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -96,6 +103,11 @@ def _whole(n):
     return n
 
 
+def prefix(n):
+    """Tokens of a whole set that must hold a shared one, in any order."""
+    return n - need(n) + 1
+
+
 def _merged(token: np.ndarray, count: np.ndarray, waiting: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """A summary of frequent tokens with more tokens, cut to SUMMARY (counts fall by what is cut)."""
     t, back = np.unique(np.concatenate([token, *waiting]), return_inverse=True)
@@ -105,11 +117,22 @@ def _merged(token: np.ndarray, count: np.ndarray, waiting: list[np.ndarray]) ->
     return t[c > 0], c[c > 0]
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, text) to (class, n, bag), the set's sorted tokens as bytes."""
+    for b in pieces(batches, "text"):
+        found = sets(b.column("text"))
+        yield pa.RecordBatch.from_arrays([b.column("class"), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["class", "n", "bag"])
+
+
+def _opened(bags: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in bags]
+
+
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text) to rows (token, n) of a summary of frequent tokens; each text is another class."""
+    """(bag) to rows (token, n) of a summary of frequent tokens; each bag is another class."""
     token, count, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-    for b in pieces(batches, "text"):
-        waiting += sets(b.column("text"))
+    for b in pieces(batches, "bag"):
+        waiting += [s.copy() for s in _opened(b.column("bag"))]
         size += sum(map(len, waiting[-b.num_rows :]))
         if size > PACK:
             (token, count), waiting, size = _merged(token, count, waiting), [], 0
@@ -172,8 +195,18 @@ def _by_class(ids: np.ndarray, parts: int) -> np.ndarray:
     return mix(ids.view(np.uint64)) % np.uint64(parts)
 
 
-def _deal(parts: int, token: np.ndarray, df: np.ndarray, part_of):
-    """(text) to packed rows: the first part_of(n) tokens by token; sizes, and the frequent tokens (token, df) with their rank, by class."""
+def _own(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """The class and set of each row (text) or (class, bag)."""
+    if "bag" in b.schema.names:
+        yield from zip(b.column("class").to_pylist(), _opened(b.column("bag")), strict=True)
+    else:
+        for s in sets(b.column("text")):
+            if len(s):
+                yield class_id(s), s
+
+
+def _deal(parts: int, token: np.ndarray, df: np.ndarray, part_of, column: str):
+    """(text) or (class, bag) to packed rows: the first part_of(n) tokens by token; sizes, and the frequent tokens (token, df) with their rank, by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -191,9 +224,9 @@ def _deal(parts: int, token: np.ndarray, df: np.ndarray, part_of):
             yield _pack(POSTING, parts, _by_token(t, parts), owner, t)
 
         held = 0
-        for b in pieces(batches, "text"):
-            for s in sets(b.column("text")):
-                if not len(s) or (c := class_id(s)) in seen:
+        for b in pieces(batches, column):
+            for c, s in _own(b):
+                if c in seen:
                     continue
                 seen.add(c)
                 ids.append(c)
@@ -264,41 +297,48 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a part's classes to (token, class, n, common, and whether the token is in the second and third orders' prefix)."""
-    c, n, t, df, a, b = _gathered(batches)
+    """All rows of a part's classes to (token, class, n, common) of the tokens in the second order's prefix that several classes have."""
+    c, n, t, _, a, b = _gathered(batches)
     common = b - a
-    left = n - need(n) + 1 - (n - common)  # places in the prefix after the tokens of one class alone
+    left = np.minimum(prefix(n) - (n - common), common)  # places in the prefix after the tokens of one class alone
     k = np.flatnonzero(left > 0)
     if not len(k):
         return
-    many = common[k]
+    many = left[k]
     row = np.repeat(a[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    which = np.repeat(np.arange(len(k)), many)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    second = place < left[k][which]
-    order = np.lexsort((mix(t[row]), df[row], which))
-    third = np.zeros(len(row), bool)
-    third[order] = second
-    keep = second | third
-    row, which = row[keep], k[which[keep]]
-    yield pa.RecordBatch.from_arrays([pa.array(t[row].view(np.int64)), pa.array(c[which]), pa.array(n[which]), pa.array(common[which]), pa.array(second[keep]), pa.array(third[keep])], names=["token", "class", "n", "common", "second", "third"])
+    which = np.repeat(k, many)
+    yield pa.RecordBatch.from_arrays([pa.array(t[row].view(np.int64)), pa.array(c[which]), pa.array(n[which]), pa.array(common[which])], names=["token", "class", "n", "common"])
+
+
+def _third(s: np.ndarray) -> np.ndarray:
+    """The prefix under the third order: another hash of the tokens (which is one to one)."""
+    x = mix(s ^ np.uint64(0x9E6C63D0876A9A47))
+    k = prefix(len(s))
+    return np.sort(np.partition(x, k - 1)[:k])
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of x are in y; both sorted and distinct."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int((y[at] == x).sum()) if len(y) else 0
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets are similar enough; most pairs that aren't fall by the first and third orders' prefixes."""
+    if not len(x) or not len(y) or not _meet(x[: prefix(len(x))], y[: prefix(len(y))]) or not _meet(_third(x), _third(y)):
+        return False
+    both = _meet(x, y)
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, text_u, text_v) to the pairs (u, v) whose whole sets are similar enough."""
-    last, held = None, np.zeros(0, np.uint64)
-    for b in pieces(batches, "text_v"):
-        for c in pieces(iter([b]), "text_u"):
-            v = c.column("v").to_pylist()
-            new = [i for i, x in enumerate(v) if x != (v[i - 1] if i else last)]
-            found = dict(zip(new, sets(c.column("text_v").take(pa.array(new, pa.int64()))), strict=True))
-            good = []
-            for i, s in enumerate(sets(c.column("text_u"))):
-                held = found.get(i, held)
-                both = len(np.intersect1d(s, held, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(s) + len(held) - both))
-            last = v[-1]
-            yield c.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+    """(u, v, bag_u, bag_v) to the pairs (u, v) whose sets are similar enough."""
+    for b in batches:
+        good = [alike(x, y) for x, y in zip(_opened(b.column("bag_u")), _opened(b.column("bag_v")), strict=True)]
+        yield b.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
 
 def _fits(x: str, y: str) -> str:
@@ -315,97 +355,134 @@ def classes(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") ->
 
 
 def _ranked(rows: DataFrame, frequent: DataFrame, entries: int, part_of) -> DataFrame:
-    """Packed rows by class, from rows(text), a summary(token, n), and how many tokens there are."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = frequent.groupBy("token").agg(F.sum("n").alias("df")).filter(F.col("df") * (SUMMARY // 2) > entries)
+    """Packed rows by class, from rows(text) or (class, bag), a summary(token, n), and how many tokens there are."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-entries // PART))
+    hot = frequent.groupBy("token").agg(F.sum("n").alias("df")).filter((F.col("df") >= HOT) & (F.col("df") * (SUMMARY // 2) > entries))
     hot = hot.orderBy(F.desc("df"), "token").limit(SUMMARY).toArrow()  # no more than SUMMARY tokens reach so much
     token, df = hot.column("token").to_numpy().view(np.uint64), hot.column("df").to_numpy()
     order = np.argsort(token)
-    dealt = rows.select("text").mapInArrow(_deal(parts, token[order], df[order], part_of), PACKED).repartitionById(parts, "part")
+    dealt = rows.mapInArrow(_deal(parts, token[order], df[order], part_of, rows.columns[-1]), PACKED).repartitionById(parts, "part")
     return dealt.mapInArrow(_rank(parts), PACKED).repartitionById(parts, "part")
 
 
 def survivors(small: DataFrame, found: Settled) -> Settled:
-    """The settled texts (class, text) of the classes that may have partners by the first order."""
+    """The settled sets (class, n, bag) of the classes that may have partners by the first order."""
     entries = found.df.filter("class is not null").agg(F.sum(F.expr(f"n div {100 // (100 - PERCENT)} + n div 10 + 1"))).first()[0] or 0
-    left = _ranked(small, found.df.filter("token is not null").select("token", "n"), entries, zone_size).mapInArrow(_survivors, "class long").distinct()
+    left = _ranked(small.select("text"), found.df.filter("token is not null").select("token", "n"), entries, zone_size).mapInArrow(_survivors, "class long").distinct()
     one = found.df.filter("class is not null").groupBy("class").agg(F.min(F.struct("key", "doc_id")).alias("r")).join(left, "class").select("class", F.col("r.key").alias("key"), F.col("r.doc_id").alias("id"))
-    texts = small.join(one, (small["key"] == one["key"]) & small["doc_id"].eqNullSafe(one["id"]))
-    return Settled(texts.groupBy("class").agg(F.first("text").alias("text")))
+    texts = small.join(one, (small["key"] == one["key"]) & small["doc_id"].eqNullSafe(one["id"])).select("class", "text")
+    bags = texts.mapInArrow(_bags, "class long, n long, bag binary")
+    return Settled(bags.groupBy("class").agg(F.first("n").alias("n"), F.first("bag").alias("bag")))
 
 
-def prefixes(texts: Settled, found: Settled) -> Settled:
-    """The settled prefix tokens (token, class, n, common, second, third) of the classes that may have partners."""
-    sizes = found.df.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"))
-    entries = sizes.join(texts.df.select("class"), "class").agg(F.sum("n")).first()[0] or 0
-    ranked = _ranked(texts.df, texts.df.select("text").mapInArrow(_frequent, "token long, n long"), entries, _whole)
-    return Settled(ranked.mapInArrow(_prefixes, "token long, class long, n long, common long, second boolean, third boolean"))
+def prefixes(bags: Settled) -> Settled:
+    """The settled prefix tokens (token, class, n, common) of the classes that may have partners."""
+    entries = bags.df.agg(F.sum("n")).first()[0] or 0
+    ranked = _ranked(bags.df.select("class", "bag"), bags.df.select("bag").mapInArrow(_frequent, "token long, n long"), entries, _whole)
+    return Settled(ranked.mapInArrow(_prefixes, "token long, class long, n long, common long"))
 
 
-def verified(pairs: DataFrame, texts: Settled) -> DataFrame:
+def verified(pairs: DataFrame, bags: Settled) -> DataFrame:
     """The pairs (u, v) of classes whose sets are similar enough."""
-    with_u = pairs.join(texts.df.select(F.col("class").alias("u"), F.col("text").alias("text_u")), "u")
-    both = with_u.join(texts.df.select(F.col("class").alias("v"), F.col("text").alias("text_v")), "v")
-    return both.select("u", "v", "text_u", "text_v").mapInArrow(_similar, "u long, v long")
-
-
-def _pairs(rows: DataFrame) -> DataFrame:
-    """Of rows (u, v, second, third), the pairs that meet in the prefixes of both orders."""
-    return rows.groupBy("u", "v").agg(F.max("second").alias("second"), F.max("third").alias("third")).filter("second and third").select("u", "v")
+    with_u = pairs.join(bags.df.select(F.col("class").alias("u"), F.col("bag").alias("bag_u")), "u")
+    both = with_u.join(bags.df.select(F.col("class").alias("v"), F.col("bag").alias("bag_v")), "v")
+    return both.select("u", "v", "bag_u", "bag_v").mapInArrow(_similar, "u long, v long")
+
+
+def _shared(x: list[np.ndarray], y: list[np.ndarray], ok: np.ndarray) -> np.ndarray:
+    """ok, without the pairs of x and y that share no token: products of 0-1 matrices, some tokens at a time."""
+    flat = [np.concatenate([*z, np.zeros(0, np.uint64)]) for z in (x, y)]
+    owner = [np.repeat(np.arange(len(z)), [len(s) for s in z]) for z in (x, y)]
+    both = np.intersect1d(*flat)
+    hit = np.zeros(ok.shape, bool)
+    found = []
+    for t, o in zip(flat, owner, strict=True):
+        at = among(t, both)
+        place = np.searchsorted(both, t[at])
+        order = np.argsort(place, kind="stable")
+        found.append((place[order], o[at][order]))
+    step = 2048
+    for a in range(0, len(both), step):
+        m = []
+        for (place, o), n in zip(found, ok.shape, strict=True):
+            own = slice(*np.searchsorted(place, [a, a + step]))
+            z = np.zeros((n, min(step, len(both) - a)), np.float32)
+            z[o[own], place[own] - a] = 1
+            m.append(z)
+        hit |= (m[0] @ m[1].T) > 0
+    return ok & hit
 
 
 def _block(table: pa.Table) -> pa.Table:
-    """Links between the rows of a block's sides a and b that are in different parts."""
+    """Links between the rows of a block's sides a and b: one for every two parts that they join."""
     table = table.combine_chunks()
     own = table.column("side").to_numpy(zero_copy_only=False) == "a"
-    rows = {side: table.filter(pa.array(own == (side == "a"))) for side in "ab"}
-    column = {side: {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("class", "part", "n", "common")} for side, t in rows.items()}
-    whole = {side: sets(pa.concat_arrays(t.column("text").chunks or [pa.array([], pa.string())])) for side, t in rows.items()}
-    first = {side: {o: [np.sort(np.array(x, np.int64)) for x in t.column(o).to_pylist()] for o in ("second", "third")} for side, t in rows.items()}
-
-    def flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.concatenate([*found, found[0][:0] if found else np.zeros(0, np.int64)]), np.repeat(np.arange(len(found)), [len(x) for x in found])
-
-    def shared(x: np.ndarray, tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        at = np.minimum(np.searchsorted(x, tokens), max(len(x) - 1, 0))
-        return np.bincount(owner[x[at] == tokens], minlength=n) if len(x) else np.zeros(n, np.int64)
-
-    b, size = column["b"], len(whole["b"])
-    tokens = flat(whole["b"])
-    heads = {o: flat(first["b"][o]) for o in ("second", "third")}
+    rows = [table.filter(pa.array(x)) for x in (own, ~own)]
+    a, b = ({c: t.column(c).to_numpy(zero_copy_only=False) for c in ("class", "part", "n", "common")} for t in rows)
+    low, high = np.minimum, np.maximum
+    x, y, cx, cy = a["n"][:, None], b["n"][None, :], a["common"][:, None], b["common"][None, :]
+    ok = (a["part"][:, None] != b["part"][None, :]) & (100 * low(x, y) >= PERCENT * high(x, y)) & ((100 + PERCENT) * low(cx, cy) >= PERCENT * (x + y))
     u, v = [], []
-    for i in range(len(whole["a"])):
-        n, common = column["a"]["n"][i], column["a"]["common"][i]
-        ok = (b["part"] != column["a"]["part"][i]) & (100 * np.minimum(n, b["n"]) >= PERCENT * np.maximum(n, b["n"]))
-        ok &= (100 + PERCENT) * np.minimum(common, b["common"]) >= PERCENT * (n + b["n"])
-        for o in ("second", "third"):
-            ok &= shared(first["a"][o][i], *heads[o], size) > 0
+    if ok.any():
+        ok = _shared(*([np.array(z, np.int64).view(np.uint64) for z in t.column("tokens").to_pylist()] for t in rows), ok)
+    if ok.any():
+        p, q = (_opened(pa.concat_arrays(t.column("bag").chunks)) for t in rows)
+        ok = _shared([s[: prefix(len(s))] for s in p], [s[: prefix(len(s))] for s in q], ok)
         if ok.any():
-            both = shared(whole["a"][i], *tokens, size)
-            good = np.flatnonzero(ok & (100 * both >= PERCENT * (n + b["n"] - both)))
-            u += [column["a"]["class"][i]] * len(good)
-            v += b["class"][good].tolist()
+            ok = _shared([_third(s) for s in p], [_third(s) for s in q], ok)
+        root: dict[int, int] = {}
+
+        def find(z: int) -> int:
+            while (up := root.get(z, z)) != z:
+                root[z] = root.get(up, up)
+                z = up
+            return z
+
+        for i, j in np.argwhere(ok):
+            f, g = find(int(a["part"][i])), find(int(b["part"][j]))
+            if f != g and 100 * (both := _meet(p[i], q[j])) >= PERCENT * (len(p[i]) + len(q[j]) - both):
+                root[f] = g
+                u.append(int(a["class"][i]))
+                v.append(int(b["class"][j]))
     return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
 
-def _across(labelled: DataFrame, leaders: DataFrame, texts: Settled) -> DataFrame:
+#: Lengths that may link are at most one step apart.
+STEP = 1.05 * 100 / PERCENT
+
+
+def _across(labelled: DataFrame, leaders: DataFrame, bags: Settled) -> DataFrame:
     """Links between classes that share a second-order token, and so its leader's group, but aren't in one part.
 
-    In each group the classes outside its largest part (side a) meet all (side b), in blocks of about BLOCK classes a side.
-    The second order's tokens are those of the group's leader; the third order's are the whole prefix.
+    In each group the classes outside its largest part (side a) meet all of similar length (side b), in blocks.
     """
-    rows = labelled.filter("second").join(leaders, "token")
-    members = Settled(rows.groupBy("leader", "class", "part", "n", "common").agg(F.collect_list("token").alias("second")))
-    thirds = labelled.filter("third").groupBy("class").agg(F.collect_list("token").alias("third"))
+    rows = labelled.join(leaders, "token").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP))))
+    members = Settled(rows.groupBy("leader", "class", "part", "n", "common", "step").agg(F.collect_list("token").alias("tokens")))
     parts = members.df.groupBy("leader", "part").agg(F.count(F.lit(1)).alias("c"))
-    torn = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("all"), F.max(F.struct("c", "part")).alias("most")).filter("parts > 1")
-    torn = torn.select("leader", F.col("most.part").alias("largest"), F.ceil((F.col("all") - F.col("most.c")) / BLOCK).alias("na"), F.ceil(F.col("all") / BLOCK).alias("nb"))
-    member = members.df.join(torn, "leader").join(texts.df, "class").join(thirds, "class")
+    torn = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "part")).alias("most")).filter("parts > 1").select("leader", F.col("most.part").alias("largest"))
+    member = members.df.join(torn, "leader")
+    outer = F.col("part") != F.col("largest")
+
+    def blocks(n: Column, tokens: Column) -> Column:
+        return F.ceil(F.greatest(n / BLOCK, tokens / BLOCK_TOKENS))
+
+    count = F.count(F.lit(1))
+    sizes = member.groupBy("leader", "step").agg(blocks(F.count(F.when(outer, 1)), F.sum(F.when(outer, F.col("n")).otherwise(0))).alias("na"), blocks(count, F.sum("n")).alias("nb"))
+    sizes = Settled(sizes)
+    member = member.join(bags.df.select("class", "bag"), "class").join(sizes.df, ["leader", "step"])
+    near = F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)]))
     place = F.xxhash64("class")
-    keep = ["class", "part", "n", "common", "second", "third", "text"]
-    a = member.filter("part <> largest").select("leader", F.pmod(place, F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"), F.lit("a").alias("side"), *keep)
-    b = member.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(place, F.col("nb")).alias("j"), F.lit("b").alias("side"), *keep)
-    return a.unionByName(b).groupBy("leader", "i", "j").applyInArrow(_block, "u long, v long")
+    keep = ["class", "part", "n", "common", "tokens", "bag"]
+    other = sizes.df.select("leader", F.col("step").alias("with"), F.col("na").alias("other_a"), F.col("nb").alias("other_b"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = member.filter(outer).withColumn("with", near).join(other, ["leader", "with"])
+    a = a.select("leader", F.col("step").alias("of_a"), F.col("with").alias("of_b"), F.pmod(place, F.col("na")).alias("i"), each("other_b").alias("j"), F.lit("a").alias("side"), *keep)
+    b = member.withColumn("with", near).join(other.filter("other_a > 0"), ["leader", "with"])
+    b = b.select("leader", F.col("with").alias("of_a"), F.col("step").alias("of_b"), each("other_a").alias("i"), F.pmod(place, F.col("nb")).alias("j"), F.lit("b").alias("side"), *keep)
+    out = Settled(a.unionByName(b).groupBy("leader", "of_a", "of_b", "i", "j").applyInArrow(_block, "u long, v long"))
+    members.drop()
+    sizes.drop()
+    return out
 
 
 def groups(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
@@ -414,23 +491,23 @@ def groups(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") ->
     Rows without shingles have neither class nor part.
     """
     found, small = classes(docs, text_col, key_col)
-    texts = survivors(small, found)
-    prefix = prefixes(texts, found)
-    nearest = F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "class", "n", "common", "second", "third"))
-    leaders = prefix.df.groupBy("token").agg(nearest.alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    star = prefix.df.join(leaders, "token").filter(F.col("class") != F.col("l.class"))
-    star = star.select(F.struct(*prefix.df.columns[1:]).alias("x"), F.col("l").alias("y")).filter(_fits("x", "y"))
-    both = [F.expr(f"x.{o} and y.{o}").alias(o) for o in ("second", "third")]
-    star = Settled(_pairs(star.select(F.greatest("x.class", "y.class").alias("u"), F.least("x.class", "y.class").alias("v"), *both)))
-    links = Settled(verified(star.df, texts))
+    bags = survivors(small, found)
+    heads = prefixes(bags)
+    nearest = F.min(F.struct((F.col("n") - F.col("common")).alias("own"), "class", "n", "common"))
+    leaders = heads.df.groupBy("token").agg(nearest.alias("l"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    star = heads.df.join(leaders, "token").filter(F.col("class") != F.col("l.class"))
+    star = star.select(F.struct(*heads.df.columns[1:]).alias("x"), F.col("l").alias("y")).filter(_fits("x", "y"))
+    star = star.select(F.greatest("x.class", "y.class").alias("u"), F.least("x.class", "y.class").alias("v")).distinct()
+    links = Settled(verified(star, bags))
     group = components(links.df)
 
-    labelled = prefix.df.join(group.df, F.col("class") == F.col("node"), "left").select("token", "class", "n", "common", "second", "third", F.coalesce("component", "class").alias("part"))
-    more = Settled(links.df.unionByName(_across(labelled, leaders.select("token", F.col("l.class").alias("leader")), texts)))
-    for t in (star, links, group, prefix, texts):
+    labelled = heads.df.join(group.df, F.col("class") == F.col("node"), "left").select("token", "class", "n", "common", F.coalesce("component", "class").alias("part"))
+    across = _across(labelled, leaders.select("token", F.col("l.class").alias("leader")), bags)
+    for t in (group, heads, bags):
         t.drop()
-    group = components(more.df)
-    more.drop()
+    group = components(links.df.unionByName(across.df))
+    links.drop()
+    across.drop()
 
     rows = found.df.filter("token is null")
     return rows.join(group.df, F.col("class") == F.col("node"), "left").select("doc_id", "key", "n", "class", F.coalesce("component", "class").alias("part"))

@@ -76,6 +76,70 @@ def test_ngram_join_of_overlapping_crops(spark, size):
     assert order([(r.doc_id, r.n_shingles, r.component_id) for r in got]) == order(brute_components(rows))
 
 
+@pytest.mark.parametrize(("hot", "summary", "block"), [(1, 8192, 3), (1, 64, 500), (10**9, 8192, 500), (10**9, 8192, 2)])
+def test_ngram_join_of_many_small_corpora(spark, hot, summary, block, monkeypatch):
+    """Sets by hand, words of each corpus apart; tokens that many classes have take either way."""
+    import random
+
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "SUMMARY", summary)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rnd = random.Random(hot + block)
+    rows, want = [], []
+    for k in range(400):
+        text = [f"c{k}w{i}" for i in range(40)]
+        own = []
+        for _ in range(rnd.randrange(2, 14)):
+            way, a = rnd.randrange(5), rnd.randrange(25)
+            n = rnd.randrange(9, 26)
+            if way == 0:
+                t = text[a : a + n]
+            elif way == 1 and own:
+                t = [*rnd.choice(own)[1].split()]
+                t[rnd.randrange(len(t))] = f"c{k}x{rnd.randrange(50)}"
+            elif way == 2 and own:
+                t = rnd.choice(own)[1].split()[rnd.randrange(2) :] + [f"c{k}x{rnd.randrange(50)}"] * rnd.randrange(2)
+            elif way == 3:
+                t = [f"c{k}y{rnd.randrange(50)}"] + text[a : a + rnd.randrange(4, 9)]  # short ones that share a shingle or two
+            else:
+                t = text[a : a + 6] + text[rnd.randrange(20) :][:12]
+            own.append((len(rows) + len(own), " ".join(t), "", "", 0))
+        rows += own
+        want += brute_components(own)
+    ballast = [f"b{i}" for i in range(20_000)]
+    own = [(len(rows) + i, " ".join([*ballast, f"last{i}"]), "", "", 0) for i in range(2)]
+    got = ngram_join.join(frame(spark, rows + own)).collect()
+    assert order([(r.doc_id, r.n_shingles, r.component_id) for r in got]) == order(want + brute_components(own))
+
+
+def test_ngram_join_near_the_limit(spark, monkeypatch):
+    """Two sets at 80 percent whose shared prefix tokens have other leaders, beside long texts that outnumber all tokens."""
+    monkeypatch.setattr(ngram_join, "HOT", 10**9)
+    u = [f"u{i}" for i in range(13)]
+    texts = [u, ["other", *u[1:]]]
+    texts += [u[i : i + 5] for i in range(1, 9)] + [[f"z{i}", *u[i : i + 5]] for i in range(1, 9)]
+    ballast = [f"b{i}" for i in range(30_000)]
+    texts += [[*ballast, "one"], [*ballast, "two"]]
+    rows = [(i, " ".join(t), "", "", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in ngram_join.join(frame(spark, rows)).collect()}
+    assert got == {d: c for d, _, c in brute_components(rows)} and got[1] == 0
+
+
+def test_ngram_join_keeps_links_between_length_steps(spark, monkeypatch):
+    """Chains of sets that grow by a quarter at a time: the farthest lengths that link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    rows = []
+    for k in range(30):
+        n = 8 + k
+        while n < 300:
+            rows.append((len(rows), " ".join(f"k{k}t{i}" for i in range(n + 4)), "", "", 0))
+            n = n * 5 // 4
+    rnd = __import__("random").Random(3)
+    rnd.shuffle(rows)
+    got = ngram_join.join(frame(spark, rows)).collect()
+    assert order([(r.doc_id, r.n_shingles, r.component_id) for r in got]) == order(brute_components(rows))
+
+
 def test_keep_one(spark):
     rows = corpus()
     kept = ngram_join.keep_one(with_clashes(frame(spark, rows)))
