@@ -1,7 +1,7 @@
 """Substring deduplication by seed and extend.
 
 A window is ``WINDOW`` consecutive words of a document; one whose words start anywhere else too is a repeat, and every
-word inside a repeat is removed.  Overlapping repeats join to maximal repeats over the threshold.
+word inside a repeat is removed.  Overlapping repeats join to maximal repeats over the threshold, which are an output too.
 
 *Seeds.*  Of the ``WINDOW - ANCHOR + 1`` n-grams of ``ANCHOR`` words in a window, the leftmost smallest hash is selected
 (winnowing).  The choice depends on the window's words alone, so equal windows have equal anchors at equal offsets, and
@@ -16,10 +16,13 @@ its windows are repeats.
 One text with each such span lists its windows, the anchor extended to the left and right by every split of the
 remaining words, and windows that two spans share are repeats.  So the work is linear in the occurrences, however many
 share an anchor; the join back to occurrences has one row on the other side and is split by adaptive execution.
+Extending pairs of occurrences word by word gives the same windows, but there are as many pairs as the square of a group.
 
-Texts are compared by 64-bit hashes.  Rows are known by a hash of their text (equal texts fare equally), which stays the
-same if a lost executor's scan is repeated under other splits.  Null and empty texts, and texts of fewer words than a
-window, lose nothing.  Repeated rows are repeats of each other.  Empty tables give no rows.
+Texts are compared by hashes: spans by 128 bits (their own and their anchor's), windows by 128 bits (a polynomial and a
+sum).  Rows are known by a hash of their text (equal texts fare equally), which stays the same if a lost executor's scan
+is repeated under other splits.  Null and empty texts, and texts of fewer words than a window, lose nothing.  Whole texts
+are read, however long; a task holds one at a time.  Repeated rows are repeats of each other.  Empty tables give no rows.
+Only the named columns are read, so extra ones don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,31 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphwright.plans.scratch import Settled, release
-from graphwright.llm.words import _BASE, _INVERSE, SPACED, Piece, _power, cover, mix, pieces, rolling
+from graphwright.llm.words import SPACED, Piece, Sums, cover, mix, pieces
+from graphwright.plans.scratch import Settled
 
 #: Words in a window, and in the n-grams from which its anchor is selected.
 WINDOW, ANCHOR = 35, 8
 
 
-class Sums:
-    """Hashes of any ranges of words."""
-
-    def __init__(self, p: Piece):
-        self.sums = np.zeros(len(p.hash) + 1, np.uint64)
-        np.cumsum(p.hash * _power(_BASE, len(p.hash)), out=self.sums[1:])
-        self.inverse = _power(_INVERSE, len(p.hash) + 1)
-
-    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
-        return mix((self.sums[start + length] - self.sums[start]) * self.inverse[start])
-
-
-def anchors(p: Piece, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(p: Piece, sums: Sums, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, span hash, first window and number of windows of each anchor occurrence."""
     none = np.zeros(0, np.uint64)
     if len(p.hash) < window:
         return none, none, none.astype(np.int64), none.astype(np.int64)
-    gram = mix(rolling(p.hash, anchor))
+    gram = sums.gram
     best, width, choose = np.arange(len(gram)), 1, window - anchor + 1
 
     def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -73,7 +64,7 @@ def anchors(p: Piece, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.nd
     new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1))) if len(start) else np.zeros(0, np.int64)
     count = np.diff(np.append(new, len(start)))
     low, owner = start[new], owner[new]
-    span = mix(Sums(p).of(low, count + window - 1) + mix((owner - low).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)))
+    span = mix(sums.of(low, count + window - 1) + mix((owner - low).astype(np.uint64) << np.uint64(32) | count.astype(np.uint64)))
     return gram[owner], span, low, count
 
 
@@ -85,52 +76,54 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) to a row per anchor occurrence."""
     for b in pieces(batches, "text"):
         p = Piece(b.column("text"), SPACED)
-        anchor, span, low, count = anchors(p)
+        anchor, span, low, count = anchors(p, Sums(p.hash, ANCHOR))
         doc = p.doc[low]
         yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(span), b.column("key").take(pa.array(doc)), pa.array((low - p.first[doc]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["anchor", "span", "key", "low", "n"])
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, spans to extend) to a row per window of those spans."""
-    for b in pieces(batches, "text"):
-        p = Piece(b.column("text"), SPACED)
-        spans = b.column("spans")
-        doc = np.repeat(np.arange(p.n), pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False))
-        flat = pa.compute.list_flatten(spans)
-        low, n = (pa.compute.struct_field(flat, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("low", "n"))
-        once = pa.compute.struct_field(flat, "once").to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(low)), n)
-        start = low[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
-        window = Sums(p).of(start + p.first[doc[row]], WINDOW)
-        yield pa.RecordBatch.from_arrays([_signed(window), b.column("key").take(pa.array(doc[row])), pa.array(start.astype(np.int32)), pa.array(once[row].astype(bool))], names=["window", "key", "low", "once"])
-
-
-def repeats(docs: DataFrame) -> tuple[DataFrame, Settled]:
-    """From docs(key, text, ...): rows (key, ranges), ranges of windows that are repeats; and a table to drop after use."""
+    """(key, text, spans to extend) to a row per window of those spans; a task extends one of several equal texts."""
+    seen: set[int] = set()
+    for batch in batches:
+        first = [k not in seen and not seen.add(k) for k in batch.column("key").to_pylist()]
+        for b in pieces(iter([batch.filter(pa.array(first, pa.bool_()))]), "text"):
+            p = Piece(b.column("text"), SPACED)
+            spans = b.column("spans")
+            doc = np.repeat(np.arange(p.n), pa.compute.list_value_length(spans).to_numpy(zero_copy_only=False))
+            flat = pa.compute.list_flatten(spans)
+            low, n = (pa.compute.struct_field(flat, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("low", "n"))
+            once = pa.compute.struct_field(flat, "once").to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(low)), n)
+            low = low[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            start = low + p.first[doc[row]]
+            total = np.concatenate([[np.uint64(0)], np.cumsum(p.hash, dtype=np.uint64)])
+            window, check = Sums(p.hash, ANCHOR).of(start, WINDOW), total[start + WINDOW] - total[start]
+            yield pa.RecordBatch.from_arrays([_signed(window), _signed(check), b.column("key").take(pa.array(doc[row])), pa.array(low.astype(np.int32)), pa.array(once[row].astype(bool))], names=["window", "check", "key", "low", "once"])
+
+
+def repeats(docs: DataFrame) -> Settled:
+    """From docs(key, text, ...): the settled table (key, ranges), ranges of windows that are repeats."""
     seeds = Settled(docs.select("key", "text").filter("text is not null").mapInArrow(_seeds, "anchor long, span long, key long, low int, n int"))
     spans = seeds.df.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("first"))
     shared = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     # a span that occurs twice is a repeat; one that shares its anchor with another kind of span is to be extended
-    known = spans.join(shared.select("anchor", "kinds"), "anchor", "left").filter("c > 1 or kinds > 1").select("span", (F.col("c") > 1).alias("whole"), F.col("kinds").isNotNull().alias("mixed"), "first")
-    # the span tells the anchor; the text with the smallest key extends it for all that have it
-    found = Settled(seeds.df.select("span", "key", "low", "n").join(known, "span").select("key", "low", "n", "whole", (F.col("mixed") & (F.col("first") == F.col("key"))).alias("extend")))
+    known = spans.join(shared.select("anchor", "kinds"), "anchor", "left").filter("c > 1 or kinds > 1").select("anchor", "span", (F.col("c") > 1).alias("whole"), F.col("kinds").isNotNull().alias("mixed"), "first")
+    # the text with the smallest key extends a span for all that have it
+    found = Settled(seeds.df.join(known, ["anchor", "span"]).select("key", "low", "n", "whole", (F.col("mixed") & (F.col("first") == F.col("key"))).alias("extend")))
     seeds.drop()
-    release(docs.sparkSession)
-    # rows with equal texts have equal spans: one of each is enough from here on
+    # rows with equal texts have equal spans, which are listed once
     # settled, so that the join has the dealt rows alone on its sides and the partition of many copies can be split
     todo = Settled(found.df.filter("extend").groupBy("key").agg(F.collect_set(F.struct("low", "n", (~F.col("whole")).alias("once"))).alias("spans")))
-    windows = docs.join(todo.df, "key").select("key", "text", "spans").mapInArrow(_extended, "window long, key long, low int, once boolean")
+    windows = docs.join(todo.df, "key").select("key", "text", "spans").mapInArrow(_extended, "window long, check long, key long, low int, once boolean")
     windows = Settled(windows.distinct())
     todo.drop()
-    release(docs.sparkSession)
-    twice = windows.df.groupBy("window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("window")
-    extended = windows.df.filter("once").join(twice, "window").select("key", "low", F.lit(1).alias("n"))
+    twice = windows.df.groupBy("window", "check").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("window", "check")
+    extended = windows.df.filter("once").join(twice, ["window", "check"]).select("key", "low", F.lit(1).alias("n"))
     ranges = found.df.filter("whole").select("key", "low", "n").unionByName(extended)
     out = Settled(ranges.groupBy("key").agg(F.collect_set(F.struct("low", "n")).alias("ranges")))
     found.drop()
     windows.drop()
-    release(docs.sparkSession)
-    return out.df, out
+    return out
 
 
 def _flags(p: Piece, ranges: pa.Array) -> np.ndarray:
@@ -156,12 +149,26 @@ def kept_text(p: Piece, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], total[p.at]
 
 
+def maximal(p: Piece, gone: np.ndarray) -> pa.Array:
+    """The maximal repeats of each text, (first word, words)."""
+    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
+    inner = p.first[1:-1][(p.first[1:-1] > 0) & (p.first[1:-1] < len(gone))]
+    inner = np.unique(inner[gone[inner] & gone[inner - 1]])  # texts meet inside a run
+    first = np.sort(np.concatenate([np.flatnonzero(edge > 0), inner]))
+    last = np.sort(np.concatenate([np.flatnonzero(edge < 0), inner]))
+    rows = pa.StructArray.from_arrays([pa.array(first - p.first[p.doc[first]]), pa.array(last - first)], names=["first", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, p.first).astype(np.int32)), rows)
+
+
+_REPEATS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("n", T.LongType())]))
+
+
 def dedup(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",), texts: bool = False) -> DataFrame:
-    """One row per row of docs: the keys, n_words, n_removed, kept_sha256, and with texts the kept words as kept_text."""
+    """One row per row of docs: the keys, n_words, n_removed, kept_sha256, and with texts the kept words as kept_text and the maximal repeats."""
     text = F.col(f"`{text_col}`")
     small = docs.select(*[F.col(f"`{k}`").alias(f"id{i}") for i, k in enumerate(keys)], F.xxhash64(text).alias("key"), text.alias("text"))
-    ranges, _ = repeats(small)
-    schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType())] * texts)
+    ranges = repeats(small)
+    schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] + [T.StructField("kept_text", T.StringType()), T.StructField("repeats", _REPEATS)] * texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
@@ -171,9 +178,9 @@ def dedup(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc
             data = data.tobytes()
             parts = [data[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
             columns = [*(b.column(f"id{i}") for i in range(len(keys))), pa.array(p.counts.astype(np.int64)), pa.array(p.per_doc(gone).astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array([x.decode() for x in parts], pa.string())] * texts, names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns + [pa.array([x.decode() for x in parts], pa.string()), maximal(p, gone)][: 2 * texts], names=schema.names)
 
-    return small.join(ranges, "key", "left").mapInArrow(run, schema)
+    return small.join(ranges.df, "key", "left").mapInArrow(run, schema)
 
 
 QUERY_SQL = r"""

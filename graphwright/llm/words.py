@@ -12,11 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import xxhash
 
 #: Bytes of text that are handled at once.
 PIECE = 1 << 19
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -41,20 +43,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Ranges of more bytes are hashed one by one.
+LONG = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes at a time for all ranges, mixed after each step; XXH3 for long ranges."""
+    size = end - start
+    out = mix(size.astype(np.uint64) + _BASE)
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    own, at, left = np.flatnonzero(size <= LONG), start, size
+    if len(own) < len(size):
+        view = memoryview(np.ascontiguousarray(data))
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(view[start[i] : end[i]])
+    at, left = start[own], size[own]
+    while len(own):
+        more = left > 0
+        if not more.all():
+            own, at, left = own[more], at[more], left[more]
+            if not len(own):
+                break
+        out[own] = mix(out[own] ^ (eights[at] & _LOW[np.minimum(left, 8)]))
+        at, left = at + 8, left - 8
+    return out
+
+
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
+def power(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of a base, modulo 2 ** 64."""
     key = str(base)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, PIECE + 1)
+        size = max(n, PIECE // 2 + 2)  # words of a piece, of one byte each
         have = np.full(size, base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= PIECE + 1:
+        if size == PIECE // 2 + 2:
             _powers[key] = have
     return have[:n]
 
@@ -90,13 +118,8 @@ class Piece:
             self.hash = self.spans(self.start, self.end)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte ranges: differences of one running sum, brought to a common power."""
-        if not hasattr(self, "_sums"):
-            sums = np.zeros(len(self.bytes) + 1, np.uint64)
-            np.cumsum(_BYTE[self.bytes] * _power(_BASE, len(self.bytes)), out=sums[1:])
-            self._sums = sums
-        inverse = _power(_INVERSE, len(self.bytes) + 1)
-        return mix((self._sums[end] - self._sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+        """64-bit hashes of byte ranges."""
+        return hash_spans(self.bytes, start, end)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all windows of n words that stay in one text."""
@@ -124,6 +147,24 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Sums:
+    """Hashes of ranges of words, by running sums of their n-grams' hashes.
+
+    The sums are polynomials; the n-grams are mixed before, so that words which repeat in a pattern don't cancel out.
+    """
+
+    def __init__(self, hashes: np.ndarray, n: int):
+        self.n = n
+        self.gram = mix(rolling(hashes, n)) if len(hashes) >= n else np.zeros(0, np.uint64)
+        self.sums = np.zeros(len(self.gram) + 1, np.uint64)
+        np.cumsum(self.gram * power(_BASE, len(self.gram)), out=self.sums[1:])
+        self.inverse = power(_INVERSE, len(self.gram) + 1)
+
+    def of(self, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Of the ranges of length words, n at least, from start on."""
+        return mix((self.sums[start + length - self.n + 1] - self.sums[start]) * self.inverse[start])
+
+
 def cover(at: np.ndarray, length: np.ndarray | int, size: int) -> np.ndarray:
     """Flags of the positions inside any [at, at + length)."""
     edge = np.zeros(size + 1, np.int64)
