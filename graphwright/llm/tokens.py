@@ -12,8 +12,14 @@ a few bytes, and those that go on are handled together.
 The model is a parameter: pieces with scores.  ``read_ranks`` makes one from a public vocabulary file of ranked byte
 pieces, with probabilities that fall with the rank (Zipf).  Bytes that are no piece cost ``UNKNOWN`` and one token.
 
-One pass, no shuffle; memory follows a batch of PIECE bytes of text.  Null texts have no pre-tokens.  Whole texts
-are counted, pre-tokens of any length too.  Repeated rows count alike.  Empty tables give no rows.
+Pre-tokens of more than ``LONG`` bytes (texts without spaces) aren't inserted in the trie, which would have a level for
+each byte: they are cut one by one, by the same recurrence along their bytes.  The pieces that end at any of ``STRETCH``
+bytes are found for all of them at once, and only the scores of as many bytes as the longest piece has are carried on.
+
+One pass, no shuffle; memory follows a batch of PIECE bytes of text, or a longer text.  Null and empty texts have no
+pre-tokens.  Whole texts are counted, pre-tokens of any length too.  Repeated rows count alike.  Equally probable
+segmentations count as the one with the fewest tokens.  Empty tables give no rows.  Only the named columns are read, so
+extra ones don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ from graphwright.llm.words import SPACED, Piece, pieces
 
 #: The log probability of a byte that is no piece.
 UNKNOWN = -30.0
+#: Longer pre-tokens are cut alone, and so many of their bytes at a time.
+LONG, STRETCH = 256, 1 << 16
 
 
 @dataclass
@@ -40,6 +48,7 @@ class Model:
     scores: dict[bytes, float]
 
     def __post_init__(self):
+        self.longest = max(map(len, self.scores), default=1)
         children: dict[tuple[int, int], int] = {}
         score = [-np.inf]
         for piece, s in self.scores.items():
@@ -89,6 +98,44 @@ def read_ranks(path: str) -> Model:
     return Model({p: -float(np.log(r + 1.0)) - total for p, r in rank.items()})
 
 
+def count_long(word: bytes, model: Model) -> tuple[int, float]:
+    """Tokens and log probability of one word, along its bytes."""
+    data = np.frombuffer(word, np.uint8).astype(np.int64)
+    reach = model.longest
+    score, count = [0.0], [0]  # of the ends from base on
+    base = 0
+    for low in range(0, len(data), STRETCH):
+        ends = np.arange(low, min(low + STRETCH, len(data)))
+        state, at, found = np.zeros(len(ends), np.int64), ends, []
+        for back in range(reach):
+            own = at >= back
+            if back and not own.all():
+                at, state = at[own], state[own]
+            state = model.one[data[at]] if back == 0 else model.step(state, data[at - back])
+            on = state > 0
+            at, state = at[on], state[on]
+            if not len(at):
+                break
+            final = model.score[state] > -np.inf
+            found.append((at[final], np.full(final.sum(), back + 1), model.score[state[final]]))
+        end, size, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(end, kind="stable")
+        first = np.searchsorted(end[order], np.append(ends, ends[-1] + 1)).tolist()
+        size, value = size[order].tolist(), value[order].tolist()
+        for i in range(len(ends)):
+            top, few, here = -np.inf, 0, low + i + 1 - base
+            for k in range(first[i], first[i + 1]):
+                j = here - size[k]
+                s, c = score[j] + value[k], count[j] + 1
+                if s > top or (s == top and c < few):
+                    top, few = s, c
+            score.append(top)
+            count.append(few)
+        cut = max(0, len(score) - reach - 1)
+        base, score, count = base + cut, score[cut:], count[cut:]
+    return count[-1], score[-1]
+
+
 def count_tokens(words: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and log probabilities of sorted, distinct, nonempty words, and so of the trie that they make."""
     if not words:
@@ -155,7 +202,12 @@ def counts(df: DataFrame, model: Model, text_col: str = "text", keys: tuple[str,
             order = sorted(range(len(words)), key=words.__getitem__)
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            tokens, best = count_tokens([words[i] for i in order], shared.value)
+            ranked = [words[i] for i in order]
+            short = np.array([len(w) <= LONG for w in ranked], bool)
+            tokens, best = np.zeros(len(ranked), np.int64), np.zeros(len(ranked))
+            tokens[short], best[short] = count_tokens([w for w in ranked if len(w) <= LONG], shared.value)
+            for i in np.flatnonzero(~short):
+                tokens[i], best[i] = count_long(ranked[i], shared.value)
             per = place[which]
             sums = [np.bincount(p.doc, x[per], p.n) if len(per) else np.zeros(p.n) for x in (tokens, best)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(np.diff(p.at)), pa.array(p.counts.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=schema.names)
