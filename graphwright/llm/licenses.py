@@ -13,9 +13,15 @@ no unique words or loose alignments: the best alignment, the tightest of those w
 of the region is aligned again until nothing is covered.  Of overlapping stretches of several licenses one stays, and the
 others' templates are aligned once more with what it leaves.
 
+*Which license.*  Licenses of one family differ in a word or two, so coverage alone doesn't tell them apart.  The words that
+name a template's license and version (``DECIDING``) must be matched, and no word that turns it into another one
+(``VARIANTS``, and numbers where a number decides) may stand among the matched ones unmatched.  Notices of up to ``SHORT``
+words must be there word for word.
+
 Words are runs of letters (ASCII lower-cased), digits and non-ASCII characters, compared by 64-bit hashes.  One pass, no
-shuffle; whole texts of any length.  Null and empty texts match nothing.  Repeated rows match alike.  Empty tables
-give no rows.
+shuffle; whole texts of any length.  Null and empty texts match nothing.  Repeated rows match alike.  Of equally covered
+templates the one with more words is the best, then the first in the text, then by name.  Empty tables give no rows.
+Only the named columns are read, so extra ones don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +40,11 @@ from graphwright.llm.words import ALNUM, LOWER, Piece, among, pieces
 #: Share of a template's words that must be matched, and how many times a template's length its match may be stretched.
 COVERAGE, SLACK = 0.75, 2
 
+#: Templates of so few words must be matched whole and without gaps.
+SHORT = 7
+#: Words of a text that make another license of a template that they stand in.
+VARIANTS = ["lesser", "library", "affero", "nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike", "not", "no", "never", "without"]
+
 #: Notices and opening passages of public licenses, by SPDX identifier.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
@@ -53,6 +64,18 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "All-rights-reserved": "All rights reserved.",
 }
+#: The words of templates that name the license, its variant and its version.
+DECIDING = {
+    "MIT": ["mit"],
+    "Apache-2.0": ["apache", "2", "0"],
+    "Apache-2.0-text": ["apache", "2", "0"],
+    "GPL-3.0": ["gnu", "general", "3"],
+    "GPL-3.0-text": ["gnu", "general", "3"],
+    "LGPL-3.0": ["gnu", "lesser", "3"],
+    "MPL-2.0": ["mozilla", "2", "0"],
+    "CC0-1.0": ["waived", "copyright"],
+    "Unlicense": ["unencumbered", "public", "domain"],
+}
 
 
 def _increasing(places: list[int]) -> list[int]:
@@ -121,42 +144,61 @@ def regions(places: np.ndarray, wanted: int, length: int) -> list[tuple[int, int
     return [(a, b) for a, b in out]
 
 
-def _best(text: list[int], known: np.ndarray, template: list[int], least: int, a: int, b: int) -> list[int] | None:
+#: Words that aren't the template's: others, and those that turn it into another license.
+OTHER, VARIANT = -1, -2
+
+
+class Template:
+    """A template's words, how many of them a match needs, and which of them."""
+
+    def __init__(self, words: list[int], deciding: set[int] = frozenset()):
+        self.words, self.size = words, len(words)
+        self.whole = self.size <= SHORT
+        self.least = self.size if self.whole else max(1, -(-int(COVERAGE * 100) * self.size // 100))
+        self.deciding = {i for i, w in enumerate(words) if w in deciding}
+
+    def match(self, text: list[int], a: int, b: int) -> tuple[int, int, int]:
+        """Matched words, first and last position of the alignment from a to b; no words if it isn't this license."""
+        found = align(text[a:b], self.words)
+        if len(found) < self.least:
+            return 0, a, a
+        (p, first), (q, last) = ((p, t + a) for p, t in (found[0], found[-1]))
+        place = text[max(0, first - p) : last + self.size - q]  # where all of it would be
+        if self.whole and last - first + 1 != self.size or not self.deciding <= {p for p, _ in found} or VARIANT in place:
+            return 0, a, a
+        return len(found), first, last
+
+
+def _best(text: list[int], known: np.ndarray, t: Template, a: int, b: int) -> list[int] | None:
     """Matched words, first and last position of the best covered alignment from a to b: most words, then the shortest stretch.
 
     An alignment that is hardly longer than the template is taken as it is; else others are tried from every word on.
     known: the template's words before each position.
     """
-    size = len(template)
-
-    def tried(c: int, d: int) -> tuple[int, int, int]:
-        found = align(text[c:d], template)
-        return (len(found), found[0][1] + c, found[-1][1] + c) if found else (0, c, c)
-
-    best = tried(a, b)
-    if best[0] < least or best[2] - best[1] >= size + size // 4:
+    best = t.match(text, a, b)
+    if best[0] < t.least or best[2] - best[1] >= t.size + t.size // 4:
         for c in range(a, b):
             if text[c] >= 0:
-                for d in (min(b, c + size), min(b, c + size + size // 2)):
-                    if known[d] - known[c] >= max(least, best[0]):
-                        best = max(best, tried(c, d), key=lambda x: (x[0], x[1] - x[2]))
-    return list(best) if best[0] >= least else None
+                for d in (min(b, c + t.size), min(b, c + t.size + t.size // 2)):
+                    if known[d] - known[c] >= max(t.least, best[0]):
+                        best = max(best, t.match(text, c, d), key=lambda x: (x[0], x[1] - x[2]))
+    return list(best) if best[0] >= t.least else None
 
 
-def matches(text: list[int], template: list[int], least: int) -> list[list[int]]:
+def matches(text: list[int], t: Template) -> list[list[int]]:
     """Matched words, first and last position of disjoint covered alignments, until nothing between them is covered.
 
     A long stretch is first cut at covered windows, from left to right, so that the time follows its length.
     """
-    size, out = len(template), []
+    out = []
     known = np.concatenate([[0], np.cumsum(np.array(text) >= 0)])
     todo = []
     at = rest = 0
-    step, wide = max(1, size // 4), size + size // 2
-    while len(text) - rest > 2 * SLACK * max(size, 2) and at < len(text):
+    step, wide = max(1, t.size // 4), t.size + t.size // 2
+    while len(text) - rest > 2 * SLACK * max(t.size, 2) and at < len(text):
         end = min(len(text), at + wide)
-        if known[end] - known[at] >= least and len(align(text[at:end], template)) >= least:
-            found = _best(text, known, template, least, at, min(len(text), at + SLACK * size))
+        if known[end] - known[at] >= t.least and len(align(text[at:end], t.words)) >= t.least:
+            found = _best(text, known, t, at, min(len(text), at + SLACK * t.size))
             if found:
                 out.append(found)
                 todo.append((rest, found[1]))
@@ -166,7 +208,7 @@ def matches(text: list[int], template: list[int], least: int) -> list[list[int]]
     todo.append((rest, len(text)))
     while todo:
         a, b = todo.pop()
-        if known[b] - known[a] >= least and (found := _best(text, known, template, least, a, b)):
+        if known[b] - known[a] >= t.least and (found := _best(text, known, t, a, b)):
             out.append(found)
             todo += [(a, found[1]), (found[2] + 1, b)]
     return sorted(out, key=lambda x: x[1])
@@ -175,18 +217,31 @@ def matches(text: list[int], template: list[int], least: int) -> list[list[int]]
 class Library:
     """Templates as word hashes, and which words they have."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], deciding: dict[str, list[str]] | None = None, variants: list[str] = VARIANTS):
         self.names = list(templates)
+        deciding = {k: x for k, x in (deciding or {}).items() if k in templates}
         p = Piece(pa.array(list(templates.values())), ALNUM, LOWER)
-        self.vocabulary = np.unique(p.hash)
+        q = Piece(pa.array([" ".join(deciding.get(k, [])) for k in self.names]), ALNUM, LOWER)
+        turns = Piece(pa.array(variants or [""]), ALNUM, LOWER).hash
+        numbers = Piece(pa.array([str(i) for i in range(10)]), ALNUM, LOWER).hash
+        self.vocabulary = np.unique(np.concatenate([p.hash, turns, numbers]))
         ids = np.searchsorted(self.vocabulary, p.hash)
-        self.words = [ids[a:b].tolist() for a, b in zip(p.first[:-1], p.first[1:], strict=True)]
         self.times = np.zeros((len(self.vocabulary), len(self.names)), np.int64)
         np.add.at(self.times, (ids, p.doc), 1)
-        self.least = np.array([max(1, int(np.ceil(COVERAGE * len(w)))) for w in self.words])
+        place = lambda x: set(np.searchsorted(self.vocabulary, x).tolist())
+        self.templates = [Template(ids[a:b].tolist(), place(q.hash[c:d])) for a, b, c, d in zip(p.first[:-1], p.first[1:], q.first[:-1], q.first[1:], strict=True)]
+        self.least = np.array([t.least for t in self.templates])
+        #: By template, the words that turn it into another license.
+        self.turning = np.zeros(self.times.shape, bool)
+        self.turning[list(place(turns))] = True
+        for k, t in enumerate(self.templates):
+            if {t.words[i] for i in t.deciding} & place(numbers):
+                self.turning[list(place(numbers)), k] = True
+        self.turning &= self.times == 0
 
     def _found(self, k: int, text: list[int], base: int) -> list[dict]:
-        return [{"license": self.names[k], "first_word": a + base, "last_word": b + base, "matched": n, "coverage": n / len(self.words[k])} for n, a, b in matches(text, self.words[k], int(self.least[k]))]
+        t = self.templates[k]
+        return [{"license": self.names[k], "first_word": a + base, "last_word": b + base, "matched": n, "coverage": n / t.size} for n, a, b in matches(text, t)]
 
     def scan(self, p: Piece) -> list[list[dict]]:
         """The covered stretches of each text, those of other licenses apart."""
@@ -201,10 +256,12 @@ class Library:
             own = slice(edge[d], edge[d + 1])
             mine = self.times[word[own], k] > 0
             place, which = at[own][mine] - p.first[d], word[own][mine]
-            size = len(self.words[k])
+            turns = at[own][self.turning[word[own], k]] - p.first[d]
+            size = self.templates[k].size
             for a, b in regions(place, int(self.least[k]), size):
                 a, b = max(0, a - size), min(int(p.counts[d]), b + size)
-                text = np.full(b - a, -1, np.int64)
+                text = np.full(b - a, OTHER, np.int64)
+                text[turns[slice(*np.searchsorted(turns, [a, b]))] - a] = VARIANT
                 inside = slice(*np.searchsorted(place, [a, b]))
                 text[place[inside] - a] = which[inside]
                 stretches.setdefault(int(d), []).append((int(k), a, text.tolist()))
@@ -229,9 +286,9 @@ class Library:
 
 
 def _apart(spans: list[dict]) -> list[dict]:
-    """Of overlapping stretches, the one that is covered best (related licenses share most of their words)."""
+    """Of overlapping stretches, the one with most matched words (a long notice may begin with a short one), then the one that is covered best."""
     out: list[dict] = []
-    for x in sorted(spans, key=lambda x: (-x["coverage"], -x["matched"], x["first_word"], x["license"])):
+    for x in sorted(spans, key=lambda x: (-x["matched"], -x["coverage"], x["first_word"], x["license"])):
         at = bisect_left(out, x["first_word"], key=lambda y: y["last_word"])
         if at == len(out) or x["last_word"] < out[at]["first_word"]:
             out.insert(at, x)
@@ -241,9 +298,9 @@ def _apart(spans: list[dict]) -> list[dict]:
 SPANS = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("last_word", T.LongType()), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType())]))
 
 
-def scan(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",), templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(df: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc_id",), templates: dict[str, str] = TEMPLATES, deciding: dict[str, list[str]] = DECIDING) -> DataFrame:
     """One row per row of df: the keys, n_words, n_matches, the licenses found (sorted, comma-joined), the best one, its coverage, and the spans."""
-    library = df.sparkSession.sparkContext.broadcast(Library(templates))  # as large as the templates
+    library = df.sparkSession.sparkContext.broadcast(Library(templates, deciding))  # as large as the templates
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("n_words", T.LongType()), T.StructField("n_matches", T.LongType()), T.StructField("licenses", T.StringType()), T.StructField("best", T.StringType()), T.StructField("best_coverage", T.DoubleType()), T.StructField("spans", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
