@@ -8,12 +8,14 @@ so where a weight rises, keys move only into that child's subtree, and nothing m
 ``grow`` adds one shard as a region of its own.  The other regions' draws stay as they are; so the new shard takes
 rows only into itself, and the key and the number of shards decide the place (the law ``key``).
 
-All of it is expressions on the row: no Python, no shuffle.  ``numbered`` adds gapless slots: rows are numbered
-within (shard, bucket), with as many buckets as the counted rows call for, and the buckets' offsets come from
-summed counts; so no task holds a shard, whatever its size.  Texts are not shuffled.
-
-Null keys are one key.  Repeated rows go to the same shard and get slots of their own.  Null texts have no bytes.
-Empty tables give no rows.
+All of it is expressions on the row: no Python, no shuffle.  ``numbered`` adds gapless slots: rows that agree in key, size
+and checksum are counted first, the counted ones are numbered within (shard, bucket), with as many buckets as the rows call
+for, and the buckets' offsets come from summed counts; so no task holds a shard, whatever its size.  Counted rows are then
+repeated, ``REPEATS`` of one at a time, which are dealt out.  Texts are not shuffled.
+
+Null keys are one key.  Repeated rows (ties) go to the same shard and get slots of their own.  Null texts have no bytes.
+Texts count whole, however long.  Empty tables give no rows.  Extra columns pass through ``assign``, and new names get
+underscores where they clash; ``numbered`` doesn't read them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from graphwright.llm.words import fresh
 
 #: Rows to be numbered in one bucket.
 BUCKET_ROWS = 10_000
+#: Equal rows that are repeated at a time.
+REPEATS = 10_000
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
 #: Hexadecimal digits of the hashes.
@@ -108,12 +112,22 @@ def numbered(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", tre
     rows = Settled(assign(small, "doc_id", tree).withColumn("order", order)).df
     buckets = max(1, math.ceil(rows.count() / tree.shards / BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.floor(F.col("order") * (buckets / 16**HASH_DIGITS)).cast("long"))
-    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("order", "doc_id", "text_crc32", "size"))
-    slot = (F.col("offset") + within - 1).cast("long").alias("slot")
-    return rows.join(offsets, ["shard", "bucket"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", slot, "grown_shard")
+    alike = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("in_bucket"))
+    ahead = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("in_bucket").over(ahead), F.lit(0)).alias("offset"))
+    within = W.partitionBy("shard", "bucket").orderBy("order", "doc_id", "text_crc32", "size").rowsBetween(W.unboundedPreceding, -1)
+    first = alike.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, ["shard", "bucket"])
+    first = first.withColumn("first", F.col("offset") + F.col("before"))
+
+    def placed(some: DataFrame, start: Column, stop: Column) -> DataFrame:
+        slots = some.withColumn("slot", F.explode(F.sequence(start, stop)))
+        return slots.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+    few = placed(first.filter(F.col("n") <= REPEATS), F.col("first"), F.col("first") + F.col("n") - 1)
+    many = first.filter(F.col("n") > REPEATS).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / REPEATS))))
+    start = F.col("first") + F.col("step") * REPEATS
+    return few.unionByName(placed(many.repartition("doc_id", "step"), start, F.least(start + REPEATS - 1, F.col("first") + F.col("n") - 1)))
 
 
 QUERY_SQL = r"""
