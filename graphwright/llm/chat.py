@@ -6,11 +6,13 @@ of assistant turns, with the mark that ends them, and none of the other turns' o
 Masks are spans (start, length) in code points.
 
 All of it is array expressions on the row that holds the pair.  ``conversations`` gathers turns into rows: one shuffle
-of the turns by conversation, as large as the longest conversation in memory.
+of the turns by conversation.  A conversation is one row and its rendered text one cell, so the longest must fit in memory.
 
 Null roles and texts are rendered as empty and compare as themselves.  Null or empty conversations have no turns.
-Turns are in order of their numbers, then role and text; repeated turn rows are repeated turns.  Equal
-conversations have an empty completion each.  Empty tables give no rows.
+Turns without a conversation's key are a conversation with a null key.  Turns are in order of their numbers, then role
+and text; repeated turn rows are repeated turns.  Texts are rendered whole, however long.  Equal conversations have an
+empty completion each.  Empty tables give no rows.  Extra columns of pairs pass through ``format_pairs``, and its own
+get underscores where they clash; ``conversations`` doesn't read them.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphwright.llm.words import fresh
+
 #: How a turn is rendered: open, role, mid, text, close.
 OPEN, MID, CLOSE = "<|", "|>\n", "<|end|>\n"
 #: The role whose turns are trained on.
@@ -64,18 +68,20 @@ def conversations(turns: DataFrame, key: str = "conv_id", turn: str = "turn", ro
     return turns.groupBy(F.col(f"`{key}`").alias(key)).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
 
+#: What format_pairs adds.
+ADDED = ["n_common", "prompt", "chosen_completion", "chosen_mask", "rejected_completion", "rejected_mask"]
+
+
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
-    """pairs, with n_common, prompt, and each side's completion and mask, instead of the two arrays."""
+    """pairs with the ADDED columns at the end instead of the two arrays; names get underscores where pairs has them."""
     none = F.array().cast(pairs.schema[chosen].dataType)
-    a, b = F.coalesce(F.col(chosen), none), F.coalesce(F.col(rejected), none)
-    n = F.col("n_common")
-    out = pairs.withColumn("n_common", common_turns(a, b))
-    return out.select(
-        *[c for c in pairs.columns if c not in (chosen, rejected)],
-        "n_common",
-        rendered(F.slice(a, 1, n)).alias("prompt"),
-        *[x for side, turns in (("chosen", after(a, n)), ("rejected", after(b, n))) for x in (rendered(turns).alias(f"{side}_completion"), mask(turns).alias(f"{side}_mask"))],
-    )
+    kept = [c for c in pairs.columns if c not in (chosen, rejected)]
+    names = fresh(kept, *ADDED)
+    common = fresh(pairs.columns, "n")[0]
+    a, b, n = F.coalesce(F.col(f"`{chosen}`"), none), F.coalesce(F.col(f"`{rejected}`"), none), F.col(common)
+    made = [n, rendered(F.slice(a, 1, n)), *[x for turns in (after(a, n), after(b, n)) for x in (rendered(turns), mask(turns))]]
+    out = pairs.withColumn(common, common_turns(a, b))
+    return out.select(*[F.col(f"`{c}`") for c in kept], *[x.alias(name) for x, name in zip(made, names, strict=True)])
 
 
 def replayed(talks: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -86,22 +92,28 @@ def replayed(talks: DataFrame, key: str = "conv_id") -> DataFrame:
     """
     turns = F.col("turns")
     last = F.aggregate(F.transform(turns, lambda t, i: F.when(t["role"].eqNullSafe(F.lit(TRAINED)), i)), F.lit(-1), lambda a, i: F.greatest(a, F.coalesce(i, F.lit(-1))))
-    out = talks.withColumn("last", last)
+    out = talks.select(F.col(f"`{key}`").alias("key"), "turns").withColumn("last", last)
     reply = F.get(turns, F.col("last"))["text"]
     other = F.get(F.filter(turns, lambda t: t["role"].eqNullSafe(F.lit(TRAINED)) & ~t["text"].eqNullSafe(reply)), F.lit(0))["text"]
     out = out.withColumn("other", F.coalesce(F.when(F.col("last") >= 0, other), F.lit("")))
     swapped = F.transform(turns, lambda t, i: F.when(i == F.col("last"), F.struct(t["turn"].alias("turn"), t["role"].alias("role"), F.col("other").alias("text"))).otherwise(t))
-    return out.select(key, turns.alias("chosen"), swapped.alias("rejected"))
+    return out.select(F.col("key").alias(key), turns.alias("chosen"), swapped.alias("rejected"))
 
 
 def summary(pairs: DataFrame) -> DataFrame:
-    """format_pairs' rows with masks as text (start+length, comma-joined) and the number of trained characters."""
-    out = pairs
-    for side in ("chosen", "rejected"):
-        m = F.col(f"{side}_mask")
-        out = out.withColumn(f"{side}_trained", F.aggregate(m, F.lit(0).cast("long"), lambda a, s: a + s["length"]))
-        out = out.withColumn(f"{side}_mask", F.array_join(F.transform(m, lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))), ","))
-    return out
+    """format_pairs' rows with masks as text (start+length, comma-joined), and the number of trained characters of each side."""
+    *kept, n, prompt, chosen, chosen_mask, rejected, rejected_mask = pairs.columns
+    trained = fresh(pairs.columns, "chosen_trained", "rejected_trained")
+
+    def joined(m: str) -> Column:
+        return F.array_join(F.transform(F.col(f"`{m}`"), lambda s: F.concat(s["start"].cast("string"), F.lit("+"), s["length"].cast("string"))), ",").alias(m)
+
+    def total(m: str, name: str) -> Column:
+        return F.aggregate(F.col(f"`{m}`"), F.lit(0).cast("long"), lambda a, s: a + s["length"]).alias(name)
+
+    plain = [F.col(f"`{c}`") for c in (*kept, n, prompt)]
+    sides = [F.col(f"`{chosen}`"), joined(chosen_mask), F.col(f"`{rejected}`"), joined(rejected_mask)]
+    return pairs.select(*plain, *sides, total(chosen_mask, trained[0]), total(rejected_mask, trained[1]))
 
 
 QUERY_SQL = r"""
