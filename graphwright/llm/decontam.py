@@ -9,13 +9,16 @@ window keeps its rarest shingle, and (3) a second pass finds the prefixes in the
 fixes where the window would have to lie (positional bound), the document must be long enough on both
 sides (length bound), and what is left is verified word by word over that window.
 
-The items are the stated query set, taken in blocks of at most ``BLOCK`` bytes of text: each block's
-index is bounded and sent to the executors, and each costs two passes over the documents.  Documents are
-never shuffled, so skew in sources or copies doesn't matter, and each row is judged by itself.
+The items are the stated query set, taken in blocks of about ``BLOCK`` bytes of text: each block's index is
+bounded (arrays of some 40 bytes a word) and sent to the executors, and each costs two passes over the
+documents.  Documents are never shuffled, so skew in sources or copies doesn't matter, and each row is judged
+by itself; rows of a shingle that is common in documents and items are looked up a bounded number at a time.
 
 Words are compared by 64-bit hashes, all words of a window at once.  Null and empty texts have no words;
-null or empty items have no windows.  Repeated rows are judged alike; items with the same id count once.
-Empty tables give no rows or no hits.  Only the named columns are read.
+null or empty items have no windows.  Repeated rows are judged alike; items with the same id count once, and an
+item without an id counts for hits but not as an item.  Of equally rare shingles (ties) the smallest hash is the
+prefix.  Whole texts are read, however long.  Empty tables give no rows or no hits.  Only the named columns are
+read; other columns pass through, whatever their names, and new ones get underscores where they clash.
 """
 
 from __future__ import annotations
@@ -35,7 +38,9 @@ from graphwright.llm.words import ALNUM, LOWER, Piece, among, cover, fresh, mix,
 #: Words in a window, and in the shingles that the prefix is taken from.
 WINDOW, SHINGLE = 13, 4
 #: Bytes of item text that are indexed at a time.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
+#: Places that are compared at a time.
+COMPARED = 1 << 17
 #: A document is contaminated if at least one in so many words is hit.
 ONE_IN = 20
 
@@ -48,83 +53,130 @@ def _words(texts: pa.Array) -> Piece:
 
 
 class Windows:
-    """The distinct windows of some items: word hashes, length, whole-window hash and owners."""
+    """The distinct windows of some items: all items' words, where each window begins, its length, and its owners."""
 
     def __init__(self, ids: list[str], texts: pa.Array):
         p = _words(texts)
-        seen: dict[bytes, int] = {}
-        self.words: list[np.ndarray] = []
-        self.owners: list[set[str]] = []
-        for item, a, b in zip(ids, p.first[:-1], p.first[1:], strict=True):
-            n = min(WINDOW, b - a)
-            for at in range(a, b - n + 1) if n else ():
-                w = p.hash[at : at + n]
-                k = seen.setdefault(w.tobytes(), len(self.words))
-                if k == len(self.words):
-                    self.words.append(w)
-                    self.owners.append(set())
-                if item is not None:
-                    self.owners[k].add(item)
+        self.ids, self.words = ids, p.hash
+        size = np.minimum(p.counts, WINDOW)
+        many = np.where(size > 0, p.counts - size + 1, 0)
+        item = np.repeat(np.arange(p.n, dtype=np.int32), many)
+        start = (p.first[item] + np.arange(len(item)) - (np.cumsum(many) - many)[item]).astype(np.int32)
+        length = size[item].astype(np.int32)
+        whole = np.zeros(len(item), np.uint64)
+        for n in np.unique(length):
+            own = length == n
+            whole[own] = mix(rolling(self.words, n)[start[own]])
+        order = np.lexsort((start, whole, length))
+        item, start, length, whole = item[order], start[order], length[order], whole[order]
+        new = np.append(True, (whole[1:] != whole[:-1]) | (length[1:] != length[:-1]))[: len(item)]
+        for n in np.unique(length):
+            again = np.flatnonzero(~new & (length == n))
+            for i in range(0, len(again), COMPARED):  # equal hashes, other words
+                at = again[i : i + COMPARED]
+                new[at] = (self.take(start[at], n) != self.take(start[at - 1], n)).any(axis=1)
+        self.start, self.length = start[new], length[new]
+        named = np.array([x is not None for x in ids], bool)
+        pair = np.unique((np.cumsum(new) - 1)[named[item]].astype(np.int64) << 32 | item[named[item]])
+        self.owner = (pair & 0xFFFFFFFF).astype(np.int32)
+        self.owners = np.searchsorted(pair >> 32, np.arange(len(self.start) + 1)).astype(np.int32)
+
+    def take(self, start: np.ndarray, n: int) -> np.ndarray:
+        """The words of windows of length n."""
+        return self.words[start[:, None] + np.arange(n)]
 
     def shingles(self) -> dict[int, np.ndarray]:
         """By shingle length, the sorted shingles of all windows; a window shorter than SHINGLE is one shingle."""
         found: dict[int, list[np.ndarray]] = {}
-        for w in self.words:
-            found.setdefault(min(SHINGLE, len(w)), []).append(mix(rolling(w, min(SHINGLE, len(w)))))
-        return {n: np.unique(np.concatenate(x)) for n, x in found.items()}
+        for n in np.unique(self.length):
+            s = min(SHINGLE, int(n))
+            gram, start = mix(rolling(self.words, s)), self.start[self.length == n]
+            found.setdefault(s, []).extend(np.unique(gram[start + j]) for j in range(n - s + 1))
+        return {s: np.unique(np.concatenate(x)) for s, x in found.items()}
 
 
 class Prefixes:
     """Each window's rarest shingle; how to look it up."""
 
-    def __init__(self, windows: Windows, counts: dict[tuple[int, int], int]):
+    def __init__(self, windows: Windows, wanted: dict[int, np.ndarray], counts: dict[int, np.ndarray]):
+        self.windows = windows
         self.tables = {}
-        rows: dict[int, list[tuple[int, int, int]]] = {}
-        for k, w in enumerate(windows.words):
-            n = min(SHINGLE, len(w))
-            s = [int(x) for x in mix(rolling(w, n))]
-            offset = min(range(len(s)), key=lambda i: (counts.get((n, s[i]), 0), s[i], i))
-            if counts.get((n, s[offset]), 0):  # else no document has the window
-                rows.setdefault(n, []).append((s[offset], offset, k))
-        for n, found in rows.items():
-            found.sort()
-            token = np.array([r[0] for r in found], np.uint64)
-            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            self.tables[n] = (token[start], start, np.diff(np.append(start, len(token))), np.array([r[1] for r in found]), np.array([r[2] for r in found]))
-        self.length = np.array([len(w) for w in windows.words], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(self.length)])
-        self.flat = np.concatenate([*windows.words, np.zeros(0, np.uint64)])
-        self.whole = np.array([int(mix(rolling(w, len(w)))[0]) for w in windows.words], np.uint64)
-        self.owners = [sorted(x) for x in windows.owners]
+        rows: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        for n in np.unique(windows.length):
+            s = min(SHINGLE, int(n))
+            own = np.flatnonzero(windows.length == n).astype(np.int32)
+            gram, start = mix(rolling(windows.words, s)), windows.start[own]
+            token, offset, rare = gram[start], np.zeros(len(own), np.int32), counts[s][np.searchsorted(wanted[s], gram[start])]
+            for j in range(1, n - s + 1):
+                t = gram[start + j]
+                c = counts[s][np.searchsorted(wanted[s], t)]
+                better = (c < rare) | ((c == rare) & (t < token))
+                token[better], rare[better], offset[better] = t[better], c[better], j
+            there = rare > 0  # else no document has the window
+            rows.setdefault(s, []).append((token[there], offset[there], own[there]))
+        for s, found in rows.items():
+            token, offset, k = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((k, offset, token))
+            token, offset, k = token[order], offset[order], k[order]
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+            self.tables[s] = (token[first], first, np.diff(np.append(first, len(token))), offset, k)
 
     def find(self, p: Piece) -> tuple[np.ndarray, np.ndarray]:
         """First word and window of every occurrence in the piece's documents."""
         starts, found = [], []
-        for n, (token, first, many, offsets, windows) in self.tables.items():
-            if len(p.hash) < n:
+        for s, (token, first, many, offsets, windows) in self.tables.items():
+            if len(p.hash) < s or not len(token):
                 continue
-            gram = mix(rolling(p.hash, n))
-            at = among(gram, token)
-            t = np.searchsorted(token, gram[at])
-            at, row = np.repeat(at, many[t]), np.repeat(first[t] - np.cumsum(many[t]) + many[t], many[t])
-            row = row + np.arange(len(row))
-            k, start = windows[row], at - offsets[row]
-            stop, doc = start + self.length[k], p.doc[at]
-            fits = (start >= p.first[doc]) & (stop <= p.first[doc + 1])  # positional and length bounds
-            k, start = k[fits], start[fits]
-            for size in np.unique(self.length[k]):
-                own = self.length[k] == size
-                ks, ss = k[own], start[own]
-                step = max(1, (1 << 20) // size)
-                for i in range(0, len(ks), step):
-                    a, b = ks[i : i + step], ss[i : i + step]
-                    same = (self.flat[self.base[a][:, None] + np.arange(size)] == p.hash[b[:, None] + np.arange(size)]).all(axis=1)
-                    starts.append(b[same])
-                    found.append(a[same])
-        return np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*found, np.zeros(0, np.int64)])
-
-
-def _rarity(docs: DataFrame, text_col: str, wanted: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
+            gram = mix(rolling(p.hash, s))
+            places = among(gram, token)
+            which = np.searchsorted(token, gram[places])
+            total = np.cumsum(many[which])
+            low = 0
+            while low < len(places):
+                high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + COMPARED, "right")))
+                at, t = places[low:high], which[low:high]
+                low = high
+                row = np.repeat(first[t] - np.cumsum(many[t]) + many[t], many[t])
+                at = np.repeat(at, many[t])
+                row = row + np.arange(len(row))
+                k, start = windows[row], at - offsets[row]
+                length, doc = self.windows.length[k], p.doc[at]
+                fits = (start >= p.first[doc]) & (start + length <= p.first[doc + 1])  # positional and length bounds
+                k, start, length = k[fits], start[fits], length[fits]
+                for n in np.unique(length):
+                    a, b = k[length == n], start[length == n]
+                    for i in range(0, len(a), COMPARED):
+                        c, d = a[i : i + COMPARED], b[i : i + COMPARED]
+                        same = (self.windows.take(self.windows.start[c], n) == p.hash[d[:, None] + np.arange(n)]).all(axis=1)
+                        starts.append(d[same])
+                        found.append(c[same])
+        return np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*found, np.zeros(0, np.int32)])
+
+    def hits(self, p: Piece) -> tuple[dict[int, list[dict]], dict[int, set[str]]]:
+        """By document with occurrences, the ranges of words inside them, and the items."""
+        w = self.windows
+        start, k = self.find(p)
+        inside = cover(start, w.length[k], len(p.doc))
+        edge = inside & ~np.append(False, inside[:-1]) | inside & np.append(True, p.doc[1:] != p.doc[:-1])[: len(inside)]
+        first = np.flatnonzero(edge)
+        run = np.cumsum(edge) - 1
+        size = np.bincount(run[inside], minlength=len(first))
+        ranges: dict[int, list[dict]] = {}
+        for a, n in zip(first.tolist(), size.tolist(), strict=True):
+            d = int(p.doc[a])
+            ranges.setdefault(d, []).append({"at": a - int(p.first[d]), "n": n})
+        pair = np.unique(p.doc[start] << 32 | k)
+        doc, k = pair >> 32, pair & 0xFFFFFFFF
+        many = w.owners[k + 1] - w.owners[k]
+        ids: dict[int, set[str]] = {d: set() for d in ranges}
+        at = np.repeat(w.owners[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        pair = np.unique(np.repeat(doc, many) << 32 | w.owner[at])
+        for d, i in zip((pair >> 32).tolist(), (pair & 0xFFFFFFFF).tolist(), strict=True):
+            ids[d].add(w.ids[i])
+        return ranges, ids
+
+
+def _rarity(docs: DataFrame, text_col: str, wanted: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
     """How many document positions have each of the items' shingles."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -141,8 +193,14 @@ def _rarity(docs: DataFrame, text_col: str, wanted: dict[int, np.ndarray]) -> di
             k = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k.astype(np.int32)), pa.array(x[k])], names=["n", "k", "c"])
 
-    rows = docs.select(text_col).mapInArrow(run, "n int, k int, c long").groupBy("n", "k").agg(F.sum("c").alias("c")).toArrow()
-    return {(n, int(wanted[n][k])): c for n, k, c in zip(*(rows.column(x).to_pylist() for x in "nkc"), strict=True)}
+    out = {n: np.zeros(len(x), np.int64) for n, x in wanted.items()}
+    if out:
+        rows = docs.select(F.col(f"`{text_col}`")).mapInArrow(run, "n int, k int, c long").groupBy("n", "k").agg(F.sum("c").alias("c")).toArrow()
+        n, k, c = (rows.column(x).to_numpy() for x in "nkc")  # no more rows than the block has shingles
+        for s, x in out.items():
+            x[k[n == s]] = c[n == s]
+    shared.destroy()
+    return out
 
 
 def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", finish=None, final: T.StructType | None = None) -> DataFrame:
@@ -161,23 +219,18 @@ def occurrences(docs: DataFrame, items: DataFrame, text_col: str = "text", item_
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == block).toArrow().combine_chunks()
         windows = Windows(part.column("id").to_pylist(), pa.concat_arrays(part.column("text").chunks or [pa.array([], pa.string())]))
         wanted = windows.shingles()
-        index = docs.sparkSession.sparkContext.broadcast(Prefixes(windows, _rarity(source, text_col, wanted) if wanted else {}))
+        index = docs.sparkSession.sparkContext.broadcast(Prefixes(windows, wanted, _rarity(source, text_col, wanted)))
 
         last = finish if block == n_blocks - 1 else None
 
         def run(batches: Iterator[pa.RecordBatch], index=index, last=last) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches, text_col):
                 p = _words(b.column(text_col))
-                start, k = index.value.find(p)
-                doc = p.doc[start]
+                ranges, own = index.value.hits(p)
                 hits, ids = (c.to_pylist() for c in b.columns[-2:])
-                order = np.lexsort((k, start, doc))
-                start, k, doc = start[order], k[order], doc[order]
-                edge = np.searchsorted(doc, np.arange(p.n + 1))
-                for d in np.unique(doc):
-                    own = slice(edge[d], edge[d + 1])
-                    hits[d] = (hits[d] or []) + [{"at": int(s - p.first[d]), "n": int(index.value.length[x])} for s, x in zip(start[own], k[own], strict=True)]
-                    ids[d] = sorted({*(ids[d] or []), *(o for x in np.unique(k[own]) for o in index.value.owners[x])})
+                for d, x in ranges.items():
+                    hits[d] = (hits[d] or []) + x
+                    ids[d] = sorted({*(ids[d] or []), *own[d]})
                 added = [pa.array(x, b.schema.field(i - 3).type) for i, x in enumerate((p.counts, hits, ids))]
                 found = pa.RecordBatch.from_arrays([*b.columns[:-3], *added], schema=b.schema)
                 yield last(found) if last else found

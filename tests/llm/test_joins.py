@@ -177,6 +177,12 @@ def test_substring(spark):
     want = brute_substring(rows)
     assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in got)) == sorted((d is None, d or 0, *x) for d, *x in want)
     assert all(sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in got)
+    assert all(sum(x.n for x in r.repeats) == r.n_removed and all(x.n >= substring.WINDOW for x in r.repeats) for r in got)
+    text = {(r[0], len(SPACES.findall(r[1] or ""))): SPACES.findall(r[1] or "") for r in rows}
+    for r in got:
+        w = text[r.doc_id, r.n_words]
+        gone = {i for x in r.repeats for i in range(x.first, x.first + x.n)}
+        assert r.kept_text == " ".join(x for i, x in enumerate(w) if i not in gone) or r.doc_id is None
     assert substring.dedup(frame(spark, [])).count() == 0
 
 
@@ -230,6 +236,33 @@ def test_mixing_is_exact_at_the_boundary(spark):
     assert all(0 <= r.t - r.n < 3 for r in got)
 
 
+@pytest.mark.parametrize(("way", "drop_text", "many"), [("null", False, 10_000), ("same", True, 10_000), ("same", False, 0), ("third", True, 10_000)])
+def test_mixing_with_repeated_keys_and_rows(spark, way, drop_text, many, monkeypatch):
+    """Each source is within one document of its target, however many rows agree in key, or in key and text."""
+    monkeypatch.setattr(mixing, "MANY", many)
+    rnd = __import__("random").Random(way)
+    rows = []
+    for i in range(3000):
+        n = rnd.randrange(1, 30)
+        text = "w " * 10 if way != "null" and rnd.random() < 0.5 else f"t{i} " * n
+        key = None if way == "null" and i % 2 else 7 if way == "same" else i if i % 3 else 5
+        rows.append((key, text, str(i % 5), [None, "s", "t"][i * i % 3], i))
+    rnd.shuffle(rows)
+    df = frame(spark, rows).withColumnRenamed("source", "the.source").repartition(5)
+    got = mixing.mix(df, source_col="the.source", drop_text=drop_text).collect()
+    assert len(got) == len(rows) and ("text" in got[0].asDict()) != drop_text
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((r[0], r[4]) for r in rows)
+    for s in {r[3] for r in rows}:
+        own = [r for r in got if r["the.source"] == s]
+        longest = max(r["size"] for r in own)
+        assert sum(r["size"] for r in own) == own[0].source_size
+        assert 0 <= own[0].target - sum(r.taken for r in own) <= longest
+        assert all(r.taken <= 3 * r["size"] for r in own)
+    again = mixing.mix(df.repartition(3), source_col="the.source", drop_text=drop_text).collect()
+    key = lambda r: (r.doc_id, r["the.source"], r["size"], r.taken)
+    assert Counter(map(key, got)) == Counter(map(key, again))
+
+
 def test_sharding(spark):
     rows = corpus(2, 300) + [(10**12 + i, f"copy {i % 3}", "", "", 0) for i in range(300)]
     got = sharding.numbered(with_clashes(frame(spark, rows))).collect()
@@ -246,6 +279,18 @@ def test_sharding(spark):
     assert sharding.numbered(frame(spark, [])).count() == 0
 
 
+def test_sharding_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "REPEATS", 7)
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 3)
+    rows = [(3, "same", "", "", 0)] * 500 + [(None, None, "", "", 0)] * 15 + [(i, f"text {i % 4}", "", "", 0) for i in range(200)]
+    got = sharding.numbered(frame(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_shards_follow_weights(spark):
     keys = spark.range(20_000).withColumnRenamed("id", "doc_id")
     tree = sharding.Tree((((1.0, 3.0), (2.0,)), ((2.0,),)))
@@ -304,6 +349,14 @@ def test_preferences(spark):
             assert [text[m.start : m.start + m.length] for m in r[f"{side}_mask"]] == [f"{t or ''}<|end|>\n" for _, role, t in rest if role == "assistant"]
 
 
+def test_preferences_with_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, [(0, "user", "a")], [(0, "user", "b")], "p", 5, "m", "t")], f"`the.id` int, chosen {TURNS}, rejected {TURNS}, prompt string, n_common int, chosen_mask string, n string")
+    out = chat.summary(chat.format_pairs(rows))
+    assert out.columns == ["the.id", "prompt", "n_common", "chosen_mask", "n", "n_common_", "prompt_", "chosen_completion", "chosen_mask_", "rejected_completion", "rejected_mask", "chosen_trained", "rejected_trained"]
+    r = out.first()
+    assert (r.prompt, r.n_common, r.n, r.n_common_, r.prompt_) == ("p", 5, "t", 0, "") and r.chosen_completion == render([(0, "user", "a")])
+
+
 def test_conversations(spark):
     turns = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 3, "assistant", "c"), (1, 2, "user", "a"), (2, 0, "user", "x"), (None, 0, "assistant", None), (3, 0, "assistant", "q"), (3, 0, "assistant", "q")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit("clash"))

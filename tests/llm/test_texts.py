@@ -89,6 +89,31 @@ def test_decontamination(spark, block, monkeypatch):
     assert decontam.verdicts(frame(spark, []), df).count() == 0
 
 
+def test_decontamination_index_is_bounded():
+    """Bytes of the index a word, and common shingles that many windows share."""
+    import pickle
+    import random
+
+    rnd = random.Random(0)
+    text = [f"w{rnd.randrange(5000)}" for _ in range(200_000)]
+    items = [" ".join(text[i : i + 400]) for i in range(0, len(text), 400)] + ["the same words in all of them again and again for ever and ever"] * 300
+    windows = decontam.Windows([str(i) for i in range(len(items))], pa.array(items))
+    wanted = windows.shingles()
+    index = decontam.Prefixes(windows, wanted, {n: np.ones(len(x), np.int64) for n, x in wanted.items()})
+    assert len(pickle.dumps(index)) < 60 * len(windows.words)
+    monkey = decontam.COMPARED
+    docs = ["x " + items[3] + " y", "of " + items[-1] + " " + items[-1], "nothing"]
+    p = decontam._words(pa.array(docs))
+    whole = index.hits(p)
+    decontam.COMPARED = 5
+    try:
+        assert index.hits(p) == whole
+    finally:
+        decontam.COMPARED = monkey
+    assert whole[0] == {0: [{"at": 1, "n": 400}], 1: [{"at": 1, "n": 28}]}
+    assert whole[1][0] == {"3"} and len(whole[1][1]) == 300
+
+
 def brute_tokens(word, scores):
     best = [(0.0, 0)] + [None] * len(word)
     for end in range(1, len(word) + 1):
@@ -115,8 +140,33 @@ def test_token_counts(spark):
 
 
 def test_token_count_of_one_long_word(spark):
-    df = spark.createDataFrame([(1, "ab" * 3000)], "doc_id long, text string")
-    assert tokens.counts(df, tokens.Model({b"ab": -1.0})).first().n_tokens == 3000
+    df = spark.createDataFrame([(1, "ab" * 3000), (2, "ab" * 400_000 + " ab")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in tokens.counts(df, tokens.Model({b"ab": -1.0})).collect()}
+    assert got == {1: 3000, 2: 400_001}
+
+
+def test_long_words_are_cut_as_short_ones(monkeypatch):
+    import random
+
+    monkeypatch.setattr(tokens, "STRETCH", 7)
+    rnd = random.Random(2)
+    model = tokens.Model({bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 9))): -rnd.randrange(1, 12) / 2 for _ in range(200)})
+    for _ in range(200):
+        w = bytes(rnd.choice(b"abcd") for _ in range(rnd.randrange(1, 60)))
+        assert tokens.count_long(w, model) == tuple(x[0] for x in tokens.count_tokens([w], model)) == brute_tokens(w, model.scores)
+
+
+def test_word_hashes():
+    """Patterns that cancel out in polynomials, long words and words that differ in their last byte."""
+
+    def thue(a, b, n):
+        return a if n == 0 else thue(a, b, n - 1) + thue(b, a, n - 1)
+
+    texts = [thue(a, b, n) for n in range(12) for a, b in ("ab", "ba")] + ["x" * k + "y" for k in range(200)]
+    p = words.Piece(pa.array([f"{t} {t}" for t in texts]))
+    assert len(set(p.hash.tolist())) == len(texts) and (p.hash[::2] == p.hash[1::2]).all()
+    s = words.Sums(words.Piece(pa.array([" ".join(thue("a", "b", 6) + thue("b", "a", 6))])).hash, 8)
+    assert len(set(s.of(np.arange(0, 94), 35).tolist())) > 60 and s.of(np.array([0]), 64)[0] != s.of(np.array([64]), 64)[0]
 
 
 def test_rank_file(tmp_path):
@@ -165,6 +215,46 @@ def test_license_scan_finds_every_notice(spark):
     assert got[6] == [("MIT", 1 + 6 * i, 5 + 6 * i) for i in range(40)]
 
 
+def test_license_scan_tells_versions_and_variants_apart(spark):
+    texts = [
+        "GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 2.",
+        "Licensed under CC BY-ND 4.0.", "Licensed under CC BY 3.0.", "Licensed under the Apache License, Version 1.1.", "all your rights are not reserved",
+        "This work is not licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        licenses.TEMPLATES["GPL-3.0-text"].replace("version 3", "version 2"), licenses.TEMPLATES["GPL-3.0-text"].replace("General", "Lesser General"),
+        "Licensed under CC BY-ND 4.0. Licensed under CC BY 4.0.", "licensed under the apache license version 1.1 or the Apache License, Version 2.0",
+        licenses.TEMPLATES["GPL-3.0-text"].replace("you can", "anyone can"),
+    ]
+    want = ["", "", "", "", "", "", "", "", "", "", "LGPL-3.0", "CC-BY-4.0", "", "GPL-3.0-text"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.licenses for r in sorted(got)] == want
+
+
+def test_license_scan_of_generated_texts(spark):
+    """Every notice that was put in is found where it is, and nothing else."""
+    import random
+
+    rnd = random.Random(4)
+    filler = [f"f{i}" for i in range(50)] + ["of", "the", "to", "under", "license", "software", "version"]
+    rows, want = [], []
+    for d in range(150):
+        words_, spans = [], []
+        for _ in range(rnd.randrange(6)):
+            words_ += [rnd.choice(filler) for _ in range(rnd.choice([0, 1, 5, 60]))]
+            name = rnd.choice(list(licenses.TEMPLATES))
+            notice = item_words(licenses.TEMPLATES[name])
+            if len(notice) > 20 and rnd.random() < 0.5:  # a word that decides nothing is exchanged
+                i = rnd.choice([i for i in range(1, len(notice) - 1) if notice[i] not in licenses.DECIDING.get(name, [])])
+                notice[i] = "exchanged"
+            spans.append((name, len(words_), len(words_) + len(notice) - 1))
+            words_ += notice
+        words_ += [rnd.choice(filler[:50]) for _ in range(rnd.choice([0, 3, 80]))]
+        rows.append((d, rnd.choice([" ", "\n", ", "]).join(words_)))
+        want.append(spans)
+    got = {r.doc_id: [(s.license, s.first_word, s.last_word) for s in r.spans] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d in range(150)] == want
+
+
 def brute_lm(rows, target, size, bigrams):
     """The models again, with counters; bigrams that share a slot are counted together, as documented."""
     ids = {w: i for i, w in enumerate(bigrams.vocabulary.tolist())}
