@@ -1,17 +1,17 @@
 """Intermediate tables in the folder that the cluster shares.
 
-``spark.checkpoint.dir`` names the folder; only where it is unset, as in tests on one machine, a temporary one
-is made.  A settled table cuts the lineage: its rows survive the executors that computed them, and
+``spark.checkpoint.dir`` names the folder; only where it is unset and Spark runs on this machine alone, as in tests, a
+temporary one is made.  A settled table cuts the lineage: its rows survive the executors that computed them, and
 nondeterministic expressions below it are evaluated once.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
-import re
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +20,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URL."""
+    """The shared folder's URL; a folder of this machine only if there are no other machines."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = f"file://{tempfile.mkdtemp(prefix='graphwright-')}"
@@ -37,10 +39,19 @@ def delete(spark: SparkSession, path: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs that are over, which else stay until the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+#: Spark's setting that deletes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def own_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside delete their shuffle files when they end: nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 class Settled:
@@ -49,13 +60,14 @@ class Settled:
     def __init__(self, df: DataFrame, spark: SparkSession | None = None, counted: bool = False):
         self.spark = spark or df.sparkSession
         self.path = f"{shared_dir(self.spark)}/graphwright-{uuid.uuid4().hex}"
+        _paths.append(self)
         seen = Observation() if counted else None
         rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df
-        rows.write.parquet(self.path)
+        with own_shuffles(self.spark):
+            rows.write.parquet(self.path)
         #: The number of rows, counted as they were written.
         self.rows = seen.get["n"] if counted else None
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _paths.append(self)
 
     def drop(self) -> None:
         if self in _paths:
@@ -63,21 +75,42 @@ class Settled:
             delete(self.spark, self.path)
 
 
+@contextlib.contextmanager
+def lifetime(*keep: Settled) -> Iterator[None]:
+    """Settled tables that are made inside are dropped at the end; what is lazy must have been written by then."""
+    before = set(_paths)
+    try:
+        yield
+    finally:
+        for x in [x for x in _paths if x not in before and x not in keep]:
+            x.drop()
+
+
 #: Bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's default of 64 MB.
 BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes, so that rows with long texts don't add up in a worker's memory."""
+    """Bounds Arrow batches by bytes, so that rows with long texts don't add up in a worker's memory; for a session's owner to call."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key).rstrip("bB") == str(64 << 20):
         spark.conf.set(key, BATCH_BYTES)
 
 
+#: Steps of a plan that cost no more when they are repeated than what they read.
+_CHEAP = ["Project", "Filter", "SubqueryAlias", "Union", "LocalRelation", "LogicalRelation", "Relation", "Range", "LogicalRDD"]
+
+
+def _steps(plan) -> Iterator[str]:
+    yield plan.getClass().getSimpleName()
+    for i in range(plan.children().size()):
+        yield from _steps(plan.children().apply(i))
+
+
 def stable(df: DataFrame) -> DataFrame:
     """The frame itself if it only reads, filters and projects; else settled, for loops that read it again and again."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return Settled(df).df if re.search(r"\b(Join|Aggregate|Window|Generate|Distinct|Sort|MapIn\w+|\w*EvalPython)\b", plan) else df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return df if all(x in _CHEAP for x in _steps(plan)) else Settled(df).df
 
 
 _paths: list[Settled] = []
