@@ -17,24 +17,50 @@ PLUS_DOMAINS = ["gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "li
 DOT_DOMAINS = ["gmail.com", "googlemail.com"]
 
 #: Words of commit subjects that name no topic.
-TOPIC_STOPWORDS = (
-    "add added adds fix fixed fixes update updated updates remove removed removes delete deleted refactor rename renamed move moved "
-    "bump merge revert wip use used make made set get init clean cleanup improve improved change changed changes support implement "
-    "handle allow avoid ensure the and for with from into this that when then also via not but are was has had can all new now one "
-    "two more less some any out off per you your its their test tests todo"
-).split()
+TOPIC_STOPWORDS = [
+    "add", "added", "adds", "fix", "fixed", "fixes", "update", "updated", "updates", "remove", "removed", "removes", "delete", "deleted", "refactor",
+    "rename", "renamed", "move", "moved", "bump", "merge", "revert", "wip", "use", "used", "make", "made", "set", "get", "init", "clean", "cleanup",
+    "improve", "improved", "change", "changed", "changes", "support", "implement", "handle", "allow", "avoid", "ensure", "the", "and", "for", "with",
+    "from", "into", "this", "that", "when", "then", "also", "via", "not", "but", "are", "was", "has", "had", "can", "all", "new", "now", "one", "two",
+    "more", "less", "some", "any", "out", "off", "per", "you", "your", "its", "their", "test", "tests", "todo",
+]
 #: Directories that name no topic.
-GENERIC_DIRS = "src lib test tests crates crate app apps pkg packages internal cmd main mod index bin dist build target node_modules vendor docs doc examples example include assets static".split()
+GENERIC_DIRS = [
+    "src", "lib", "test", "tests", "crates", "crate", "app", "apps", "pkg", "packages", "internal", "cmd", "main", "mod", "index", "bin", "dist",
+    "build", "target", "node_modules", "vendor", "docs", "doc", "examples", "example", "include", "assets", "static",
+]
 MAX_TOPICS = 12
 
 #: File extensions by language.
 EXTENSIONS = {
-    "rust": "rs", "python": "py pyi", "javascript": "js jsx mjs cjs", "typescript": "ts mts cts", "tsx": "tsx", "go": "go", "java": "java",
-    "c": "c h", "cpp": "cc cpp cxx hpp hh hxx", "csharp": "cs", "ruby": "rb", "kotlin": "kt kts", "bash": "sh bash", "php": "php",
-    "scala": "scala sc", "ocaml": "ml mli", "haskell": "hs", "lua": "lua", "swift": "swift", "elixir": "ex exs", "zig": "zig", "r": "r",
-    "dart": "dart", "pascal": "pas pp lpr dpr", "vb6": "bas cls frm ctl", "vbnet": "vb",
-}
-LANGUAGE_OF = {e: name for name, es in EXTENSIONS.items() for e in es.split()}
+    "rust": ["rs"],
+    "python": ["py", "pyi"],
+    "javascript": ["js", "jsx", "mjs", "cjs"],
+    "typescript": ["ts", "mts", "cts"],
+    "tsx": ["tsx"],
+    "go": ["go"],
+    "java": ["java"],
+    "c": ["c", "h"],
+    "cpp": ["cc", "cpp", "cxx", "hpp", "hh", "hxx"],
+    "csharp": ["cs"],
+    "ruby": ["rb"],
+    "kotlin": ["kt", "kts"],
+    "bash": ["sh", "bash"],
+    "php": ["php"],
+    "scala": ["scala", "sc"],
+    "ocaml": ["ml", "mli"],
+    "haskell": ["hs"],
+    "lua": ["lua"],
+    "swift": ["swift"],
+    "elixir": ["ex", "exs"],
+    "zig": ["zig"],
+    "r": ["r"],
+    "dart": ["dart"],
+    "pascal": ["pas", "pp", "lpr", "dpr"],
+    "vb6": ["bas", "cls", "frm", "ctl"],
+    "vbnet": ["vb"],
+}
+LANGUAGE_OF = {e: name for name, es in EXTENSIONS.items() for e in es}
 
 #: Words of a comment that mark a rationale.
 MARKERS = ["NOTE", "WHY", "HACK", "TODO", "FIXME"]

@@ -15,12 +15,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Kinds of nodes and edges.
-NODE_KINDS = "repo directory file module function method class struct interface enum trait constant comment endpoint client_call schema_op router commit author identity topic table column".split()
-EDGE_KINDS = "contains defines calls imports extends implements documents references handles mounts exposes invokes reads writes authored alias_of touched tagged part_of".split()
-OUTLINE_KINDS = "module function method class struct interface enum trait constant endpoint".split()
-EXPORTABLE_KINDS = "function method class struct interface enum trait constant".split()
-USE_SITE_KINDS = "function method class struct interface enum trait".split()
-NON_SYMBOL_KINDS = "repo directory file module comment".split()
+NODE_KINDS = [
+    "repo", "directory", "file", "module", "function", "method", "class", "struct", "interface", "enum", "trait", "constant", "comment", "endpoint",
+    "client_call", "schema_op", "router", "commit", "author", "identity", "topic", "table", "column",
+]
+EDGE_KINDS = [
+    "contains", "defines", "calls", "imports", "extends", "implements", "documents", "references", "handles", "mounts", "exposes", "invokes", "reads",
+    "writes", "authored", "alias_of", "touched", "tagged", "part_of",
+]
+OUTLINE_KINDS = ["module", "function", "method", "class", "struct", "interface", "enum", "trait", "constant", "endpoint"]
+EXPORTABLE_KINDS = ["function", "method", "class", "struct", "interface", "enum", "trait", "constant"]
+USE_SITE_KINDS = ["function", "method", "class", "struct", "interface", "enum", "trait"]
+NON_SYMBOL_KINDS = ["repo", "directory", "file", "module", "comment"]
 CONFIDENCE = {"inferred": 1, "extracted": 2}
 
 

@@ -55,7 +55,10 @@ PATTERNS["cpp"] = [*PATTERNS["c"], ("class", r"\bclass\s+(\w+)"), ("module", r"\
 #: Languages without braces or indentation to close a definition: a site belongs to the last one above it.
 LINE_ORIENTED = {"merlin6502", "bash", "vb6", "vbnet", "ruby", "lua", "elixir", "haskell", "ocaml", "r", "pascal"}
 CONTAINERS = {"class", "struct", "interface", "enum", "trait", "module"}
-_NOT_CALLS = set("if for while switch match return catch fn func function def class struct enum impl loop do else elif and or not in is lambda with assert sizeof typeof new await async yield print super".split())
+_NOT_CALLS = set([
+    "if", "for", "while", "switch", "match", "return", "catch", "fn", "func", "function", "def", "class", "struct", "enum", "impl", "loop", "do",
+    "else", "elif", "and", "or", "not", "in", "is", "lambda", "with", "assert", "sizeof", "typeof", "new", "await", "async", "yield", "print", "super",
+])
 _COMMENT = {"python": "#", "ruby": "#", "bash": "#", "r": "#", "elixir": "#", "lua": "--", "haskell": "--", "vbnet": "'", "vb6": "'", "merlin6502": "*"}
 
 

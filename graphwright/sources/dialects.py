@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from graphwright.sources.sqltext import access, cypher_labels
 
 Fact = dict
-VERBS = "get post put delete patch head options".split()
+VERBS = ["get", "post", "put", "delete", "patch", "head", "options"]
 _STR = r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`((?:[^`\\]|\\.)*)`)"""
 
 

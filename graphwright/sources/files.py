@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from graphwright.functions.text import glob_regex, language_of
 
 #: Directories that are skipped at any depth.
-IGNORED_DIRS = "node_modules bower_components vendor target build bin obj dist out coverage .next turbo .turbo .gradle .nuget __pycache__ .venv venv .tox .mypy_cache .pytest_cache .idea .vs .vscode .git .hg .svn .cvs .bzr".split()
+IGNORED_DIRS = [
+    "node_modules", "bower_components", "vendor", "target", "build", "bin", "obj", "dist", "out", "coverage", ".next", "turbo", ".turbo", ".gradle",
+    ".nuget", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".idea", ".vs", ".vscode", ".git", ".hg", ".svn", ".cvs", ".bzr",
+]
 #: Files that hold credentials and aren't read.
 SENSITIVE = [".env", ".env.*", "*.pem", "*.key", "*.pfx", "*.p12", "*.pkcs12", "*.keystore", "*.jks", "*.kdbx", "*.ppk", "id_rsa", "id_dsa", "id_ecdsa", "id_ed25519", "*.tfvars"]
 #: Directories that mark a repository's root.

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-VERBS = "get put post delete options head patch trace".split()
+VERBS = ["get", "put", "post", "delete", "options", "head", "patch", "trace"]
 SCHEMA = "path string, protocol string, method string, operation string"
 
 

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import re
 
-#: Words that are no table names after FROM, JOIN or INTO.
-KEYWORDS = set("select from where join inner left right full outer cross on using group order by having limit offset union all distinct as set values into update insert delete only lateral with returning and or not null case when then else end exists in is like between".split())
-CONSTRAINTS = set("primary foreign unique check constraint key exclude index like".split())
+#: Words that open a clause in which no tables are listed.
+LISTLESS = ["select", "where", "set", "values", "group", "having", "order", "limit", "offset", "window", "union", "except", "intersect", "returning", "when", "for", "fetch"]
+#: Words between tables, or before one.
+BETWEEN = ["inner", "left", "right", "full", "outer", "cross", "natural", "on", "as", "only", "lateral", "by", "all", "distinct", "and", "or", "not", "null", "case", "then", "else", "end", "exists", "in", "is", "like", "between"]
+#: Words that a table can't be called without quotes.
+KEYWORDS = {*LISTLESS, *BETWEEN, "from", "join", "using", "into", "update", "insert", "delete", "merge", "with"}
+#: Words that a statement which reads or writes rows begins with.
+VERBS = ["select", "with", "insert", "replace", "update", "delete", "merge", "values"]
+CONSTRAINTS = {"primary", "foreign", "unique", "check", "constraint", "key", "exclude", "index", "like"}
 
 _NOISE = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.S)
 _TOKEN = re.compile(r'(?:"[^"]*"|`[^`]*`|\[[^\]]*\]|[\w$]+)(?:\.(?:"[^"]*"|`[^`]*`|[\w$]+))*|[(),;]')
@@ -58,33 +64,104 @@ def tables(sql: str) -> list[dict]:
     return out
 
 
-def access(sql: str) -> list[tuple[str, str]]:
-    """(read or write, table) of every statement, each once, in order: the verb's target is written, every FROM and JOIN is read."""
-    out: dict[tuple[str, str], None] = {}
-    for statement in clean(sql).split(";"):
-        words = _TOKEN.findall(statement)
-        low = [w.lower() for w in words]
-        if not words:
-            continue
+def _statements(sql: str) -> list[list]:
+    """The statements' tokens; what is in parentheses is a list of its own."""
+    out: list[list] = [[]]
+    inside = [out[0]]
+    for token in _TOKEN.findall(clean(sql)):
+        if token == ";":
+            out.append([])
+            inside = [out[-1]]
+        elif token == "(":
+            inside[-1].append([])
+            inside.append(inside[-1][-1])
+        elif token != ")":
+            inside[-1].append(token)
+        elif len(inside) > 1:
+            inside.pop()
+    return out
 
-        def add(kind: str, at: int) -> None:
-            if at < len(words):
-                name = table_name(words[at])
-                if name and name not in "()," and name not in KEYWORDS:
-                    out.setdefault((kind, name))
-
-        target = None
-        if low[0] == "insert" and "into" in low:
-            add("write", low.index("into") + 1)
-        elif low[0] == "update":
-            add("write", 2 if low[1:2] == ["only"] else 1)
-        elif low[0] == "delete" and "from" in low:
-            target = low.index("from")
-            add("write", target + 1)
-        for i, w in enumerate(low):
-            if w in ("from", "join") and i != target:
-                add("read", i + 1)
-    return list(out)
+
+def _word(tokens: list, at: int) -> str:
+    """The token as a lower-case word; empty for parentheses and beyond the ends."""
+    return tokens[at].lower() if 0 <= at < len(tokens) and isinstance(tokens[at], str) else ""
+
+
+class _Access:
+    """Tables by the clauses of SQL's grammar: FROM, JOIN and USING list tables that are read; INTO, UPDATE and DELETE FROM name the written one."""
+
+    def __init__(self):
+        self.found: dict[tuple[str, str], None] = {}
+
+    def expression(self, tokens: list, local: set[str]) -> None:
+        """Parentheses: a query of their own, or terms that may hold queries (FROM is part of a term there)."""
+        if _word(tokens, 0) in VERBS:
+            return self.statement(tokens, local)
+        for t in tokens:
+            if isinstance(t, list):
+                self.expression(t, local)
+
+    def common(self, tokens: list, local: set[str]) -> tuple[int, set[str]]:
+        """WITH name (columns) AS (query), ...: where the main query begins, and the names that are no tables in it."""
+        at = 2 if _word(tokens, 1) == "recursive" else 1
+        local = set(local)
+        while _word(tokens, at):
+            local.add(table_name(tokens[at]))
+            at += 1
+            if _word(tokens, at) != "as" and at < len(tokens) and isinstance(tokens[at], list):
+                at += 1
+            while _word(tokens, at) in ("as", "not", "materialized"):
+                at += 1
+            if at < len(tokens) and isinstance(tokens[at], list):
+                self.statement(tokens[at], local)
+                at += 1
+            if _word(tokens, at) != ",":
+                break
+            at += 1
+        return at, local
+
+    def statement(self, tokens: list, local: set[str]) -> None:
+        at = next((i for i in range(len(tokens)) if _word(tokens, i) in VERBS), len(tokens))  # CREATE TABLE t AS SELECT, EXPLAIN SELECT
+        if _word(tokens, at) == "with":
+            skip, local = self.common(tokens[at:], local)
+            at += skip
+        verb = _word(tokens, at)
+        # how the tables of the present list are used, and the next name
+        listed, wanted = ("read", "write") if verb == "update" else (None, None)
+        for i in range(at + (verb == "update"), len(tokens)):
+            word = _word(tokens, i)
+            if not word:
+                listed, wanted = listed if listed or not wanted else wanted, None
+                self.expression(tokens[i], local)
+            elif word == "from" and _word(tokens, i - 1) == "distinct" and _word(tokens, i - 2) in ("is", "not"):
+                continue
+            elif word in ("from", "join", "using"):
+                written = word == "from" and verb == "delete" and _word(tokens, i - 1) == "delete"
+                listed = wanted = "write" if written else "read"
+            elif word == "into":
+                listed, wanted = None, "write"
+            elif word in LISTLESS:
+                listed = wanted = None
+                if word == "select" and verb != "select":
+                    verb = word
+            elif word == ",":
+                wanted = listed
+            elif wanted and word not in BETWEEN:
+                name = table_name(tokens[i])
+                call = wanted == "read" and i + 1 < len(tokens) and isinstance(tokens[i + 1], list)  # a function of tables, but for t (alias)
+                if word not in KEYWORDS and not call and not (wanted == "read" and name in local):
+                    self.found.setdefault((wanted, name))
+                listed = "read" if wanted == "write" and listed else listed
+                wanted = None
+
+
+def access(sql: str) -> list[tuple[str, str]]:
+    """(read or write, table) of every statement, each once, in order of appearance; names that WITH defines are no tables."""
+    out = _Access()
+    for tokens in _statements(sql):
+        if tokens:
+            out.expression(tokens, set()) if isinstance(tokens[0], list) else out.statement(tokens, set())
+    return list(out.found)
 
 
 def cypher_labels(query: str) -> list[tuple[str, str]]:

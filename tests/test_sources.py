@@ -105,6 +105,27 @@ def test_entities_and_queries():
     assert sql == {("db_write", "a"), ("db_read", "b")}
 
 
+ACCESS = [
+    ("UPDATE ONLY users u SET a = (SELECT max(b) FROM t2) FROM t3, t4 WHERE 1", [("write", "users"), ("read", "t2"), ("read", "t3"), ("read", "t4")]),
+    ("UPDATE a, b SET a.x = b.x", [("write", "a"), ("read", "b")]),
+    ("DELETE FROM a USING b, c WHERE a.x IN (SELECT x FROM d)", [("write", "a"), ("read", "b"), ("read", "c"), ("read", "d")]),
+    ("WITH a AS (SELECT * FROM t1), b (x) AS NOT MATERIALIZED (SELECT * FROM a JOIN t2 USING (id)) INSERT INTO t3 (c) SELECT * FROM b, a, t4", [("read", "t1"), ("read", "t2"), ("write", "t3"), ("read", "t4")]),
+    ("WITH gone AS (DELETE FROM old RETURNING *) INSERT INTO log SELECT * FROM gone", [("write", "old"), ("write", "log")]),
+    ("MERGE INTO t USING s ON t.id = s.id WHEN MATCHED THEN UPDATE SET a = s.a WHEN NOT MATCHED THEN INSERT (a) VALUES (s.a)", [("write", "t"), ("read", "s")]),
+    ("SELECT extract(year FROM ts), x IS DISTINCT FROM y, substring(a FROM 2) FROM logs l CROSS JOIN LATERAL (SELECT 1 FROM z) q, unnest(arr) u", [("read", "logs"), ("read", "z")]),
+    ("CREATE TABLE n AS SELECT * FROM m", [("read", "m")]),
+    ("(SELECT a FROM b) UNION ALL (SELECT c FROM d)", [("read", "b"), ("read", "d")]),
+    ("INSERT INTO x VALUES (1) ON CONFLICT DO UPDATE SET y = 2", [("write", "x")]),
+    ("SELECT * FROM a FOR UPDATE", [("read", "a")]),
+    ("", []),
+]
+
+
+@pytest.mark.parametrize(("sql", "want"), ACCESS)
+def test_sql_access(sql, want):
+    assert sqltext.access(sql) == want
+
+
 def test_sql():
     ddl = 'CREATE TABLE public."Users" (id INT PRIMARY KEY, org_id INT REFERENCES orgs(id), note TEXT DEFAULT \'a,b\', CONSTRAINT c UNIQUE (id)); -- x\nCREATE VIEW v AS SELECT * FROM public.users JOIN orgs ON true;'
     users, view = sqltext.tables(ddl)
