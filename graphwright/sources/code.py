@@ -1,7 +1,8 @@
 """Source code to graph facts: definitions, calls, imports, base types and comments, nested by span.
 
-A language is a table of patterns; Python is read by its own parser.  Extraction is a mapInArrow stage over
-files(path, language, text), a file at a time; resolution across files is left to joins.
+A language is a table of patterns, which read the text as a lexer leaves it: without comments and the contents of strings.
+Definitions end where their braces close, or at the closing word of the same indentation.  Python is read by its own parser.
+Extraction is a mapInArrow stage over files(path, language, text), a file at a time; resolution across files is left to joins.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 _ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in FACTS.split(", ")])
 
 #: Patterns by language: (fact kind, pattern with the name as group 1).
-_C_LIKE = [("call", r"\b([A-Za-z_]\w*)\s*\(")]
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "rust": [("function", r"\bfn\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("module", r"\bmod\s+(\w+)\s*\{"), ("constant", r"\b(?:const|static)\s+([A-Z]\w*)"), ("import", r"\buse\s+([^;]+);"), ("implements", r"\bimpl(?:<[^>]*>)?\s+(?:\w+::)*(\w+)(?:<[^>]*>)?\s+for\b")],
     "go": [("function", r"\bfunc\s+(\w+)\s*\("), ("method", r"\bfunc\s+\([^)]*\)\s*(\w+)"), ("struct", r"\btype\s+(\w+)\s+struct"), ("interface", r"\btype\s+(\w+)\s+interface"), ("import", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$")],
@@ -46,63 +46,142 @@ PATTERNS: dict[str, list[tuple[str, str]]] = {
     "r": [("function", r"(\w[\w.]*)\s*<-\s*function"), ("import", r"\b(?:library|require)\(\s*(\w+)")],
     "dart": [("class", r"\bclass\s+(\w+)"), ("function", r"^\s*[\w<>?]+\s+(\w+)\s*\([^;]*\)\s*(?:async\s*)?\{"), ("import", r"\bimport\s+[\"']([^\"']+)")],
     "pascal": [("function", r"\b(?:function|procedure)\s+([\w.]+)"), ("class", r"\b(\w+)\s*=\s*class\b"), ("import", r"\buses\s+([\w., ]+);")],
-    "vb6": [("function", r"\b(?:Function|Sub)\s+(\w+)")],
-    "vbnet": [("function", r"\b(?:Function|Sub)\s+(\w+)"), ("class", r"\bClass\s+(\w+)"), ("import", r"^\s*Imports\s+([\w.]+)")],
+    "vb6": [("function", r"(?<!End )(?<!Exit )\b(?:Function|Sub)[ \t]+(\w+)")],
+    "vbnet": [("function", r"(?<!End )(?<!Exit )\b(?:Function|Sub)[ \t]+(\w+)"), ("class", r"(?<!End )\bClass[ \t]+(\w+)"), ("import", r"^\s*Imports\s+([\w.]+)")],
     "merlin6502": [("function", r"^(\w+)(?=\s|$)"), ("import", r"^\s+(?:PUT|USE)\s+(\S+)")],
 }
 PATTERNS["typescript"] = PATTERNS["tsx"] = [*PATTERNS["javascript"], ("interface", r"\binterface\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("implements", r"\bimplements\s+(\w+)")]
 PATTERNS["cpp"] = [*PATTERNS["c"], ("class", r"\bclass\s+(\w+)"), ("module", r"\bnamespace\s+(\w+)")]
-#: Languages without braces or indentation to close a definition: a site belongs to the last one above it.
-LINE_ORIENTED = {"merlin6502", "bash", "vb6", "vbnet", "ruby", "lua", "elixir", "haskell", "ocaml", "r", "pascal"}
+#: Languages whose definitions nothing closes: a site belongs to the last one above it.
+LINE_ORIENTED = {"merlin6502", "haskell", "ocaml"}
+#: What closes a definition, at its own indentation, in languages without braces.
+CLOSERS = {"ruby": r"end\b", "lua": r"end\b", "elixir": r"end\b", "vb6": r"End\s+(?:Function|Sub)\b", "vbnet": r"End\s+(?:Function|Sub|Class)\b", "pascal": r"end\b"}
 CONTAINERS = {"class", "struct", "interface", "enum", "trait", "module"}
 _NOT_CALLS = set([
     "if", "for", "while", "switch", "match", "return", "catch", "fn", "func", "function", "def", "class", "struct", "enum", "impl", "loop", "do",
     "else", "elif", "and", "or", "not", "in", "is", "lambda", "with", "assert", "sizeof", "typeof", "new", "await", "async", "yield", "print", "super",
 ])
+#: How comments begin to the end of a line (// elsewhere), how others begin and end (/* */ elsewhere), and the quotes of strings.
 _COMMENT = {"python": "#", "ruby": "#", "bash": "#", "r": "#", "elixir": "#", "lua": "--", "haskell": "--", "vbnet": "'", "vb6": "'", "merlin6502": "*"}
+_BLOCKS = {"lua": ("--[[", "]]"), "haskell": ("{-", "-}"), "ocaml": ("(*", "*)"), "pascal": ("{", "}"), "ruby": None, "bash": None, "r": None, "elixir": None, "vbnet": None, "vb6": None, "merlin6502": None}
+_QUOTES = {"rust": '"', "haskell": '"', "ocaml": '"', "vbnet": '"', "vb6": '"', "merlin6502": '"', "pascal": "'", "go": "\"`'", "javascript": "\"'`", "typescript": "\"'`", "tsx": "\"'`"}
+
+
+def _lexer(language: str) -> re.Pattern:
+    """One pattern for a language's comments (group c) and strings."""
+    line, block = _COMMENT.get(language, "//"), _BLOCKS.get(language, ("/*", "*/"))
+    comments = [rf"^[ \t]*{re.escape(line)}[^\n]*" if language == "merlin6502" else re.escape(line) + r"[^\n]*"]
+    if block:
+        comments.insert(0, rf"{re.escape(block[0])}.*?(?:{re.escape(block[1])}|\Z)")
+    if language == "php":
+        comments.append(r"#(?!\[)[^\n]*")
+    strings = {'"': r'"(?:[^"\\\n]|\\.)*"', "'": r"'(?:[^'\\\n]|\\.)*'", "`": r"`(?:[^`\\]|\\.)*`"}
+    if language in ("vb6", "vbnet", "pascal"):  # quotes are doubled
+        strings = {'"': r'"(?:[^"\n]|"")*"', "'": r"'(?:[^'\n]|'')*'"}
+    found = [strings[q] for q in _QUOTES.get(language, "\"'")]
+    if language == "rust":
+        found = [r'r(#*)".*?"(?P=raw)'.replace("(#*)", "(?P<raw>#*)"), *found, r"'(?:[^'\\\n]|\\[^\n]{1,10})'"]
+    if language in ("kotlin", "scala", "swift", "elixir", "dart", "java", "csharp"):
+        found.insert(0, r'""".*?"""')
+    return re.compile(f"(?P<c>{'|'.join(comments)})|{'|'.join(found)}", re.S | re.M)
+
+
+_lexers: dict[str, re.Pattern] = {}
+
+
+def masked(language: str, text: str, strings: bool = True) -> str:
+    """The text with blanks instead of comments and, if asked, of what is in strings; of the same length, lines kept."""
+    lexer = _lexers.setdefault(language, _lexer(language))
+    blank = lambda x: re.sub(r"[^\n]", " ", x)
+
+    def shown(m: re.Match) -> str:
+        x = m[0]
+        return blank(x) if m["c"] is not None else x if not strings else x[0] + blank(x[1:-1]) + x[-1]
+
+    return lexer.sub(shown, text)
 
 
 def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
 
-def signature(lines: list[str], start: int) -> str:
-    """The header of a definition: up to the opening brace, at most three lines and 4096 characters."""
-    head = " ".join(x.strip() for x in lines[start - 1 : start + 2])
-    cut = re.search(r"[{;]|:\s*$|:\s", head)
-    return re.sub(r"\s+", " ", head[: cut.start()] if cut else lines[start - 1].strip())[:4096].strip()
+def signature(lines: list[str], start: int, end: str = r"[{;]") -> str:
+    """The header of a definition: up to its end (an opening brace), at most three lines and 4096 characters; else the first line."""
+    head = []
+    for line in lines[start - 1 : start + 2]:
+        cut = re.search(end, line)
+        head.append(line[: cut.start()] if cut else line)
+        if cut:
+            break
+    else:
+        head = head[:1]
+    return re.sub(r"\s+", " ", " ".join(head))[:4096].strip()
 
 
-def _closing(text: str, at: int) -> int:
-    opening = text.find("{", at)
+def _closing(text: str, at: int, limit: int) -> int:
+    """Where the braces close that open behind a definition's name; its own place if none open before its end or the limit."""
+    opening = text.find("{", at, limit)
     stop = text.find(";", at)
-    if opening < 0 or (0 <= stop < opening):
+    if opening < 0 or 0 <= stop < opening:
         return at
     depth = 0
-    for i in range(opening, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
+    for m in re.finditer(r"[{}]", text[opening:]):
+        depth += 1 if m[0] == "{" else -1
         if depth == 0:
-            return i
+            return opening + m.start()
     return len(text)
 
 
+def _closing_line(lines: list[str], start: int, closer: str) -> int:
+    """The line that closes a definition: the first one of the same indentation with the closing word."""
+    indent = re.match(r"\s*", lines[start - 1])[0]
+    shape = re.compile(re.escape(indent) + f"(?:{closer})", re.I)
+    if re.search(rf"\b{closer}", lines[start - 1], re.I):
+        return start
+    for i in range(start, len(lines)):
+        if shape.match(lines[i]):
+            return i + 1
+        if lines[i].strip() and len(re.match(r"\s*", lines[i])[0]) < len(indent):
+            break
+    return start
+
+
+#: What a call looks like: scope, name and an opening parenthesis; arguments may follow without one in Ruby and Elixir.
+_CALL = re.compile(r"(?:\b([A-Za-z_]\w*)(?:::|->|\?\.|\.|:))?(?<![\w$])([A-Za-z_$][\w$]*[?!]?)\s*(?:::<[^>()]*>|<[\w, ]+>)?\(")
+_HASKELL_CALL = re.compile(r"(?<=[=$(])\s*()([a-z_]\w*)\s+(?=[\w(\"])")
+_MERLIN_CALL = re.compile(r"^\s+(?:JSR|JMP)\s+()(\w+)", re.M)
+_CALLS = {"haskell": _HASKELL_CALL, "merlin6502": _MERLIN_CALL, "ocaml": re.compile(r"(?<=[=;(])\s*()([a-z_]\w*)\s+(?=[\w(\"])"), "bash": re.compile(r"^\s+()([A-Za-z_]\w*)(?=\s|$)", re.M)}
+
+
 def by_patterns(language: str, text: str) -> Iterator[dict]:
     lines = text.split("\n")
-    defs = []
+    code, quoted = masked(language, text), masked(language, text, strings=False)
+    code_lines = code.split("\n")
+    found = []
     for kind, pattern in PATTERNS.get(language, []):
-        for m in re.finditer(pattern, text, re.M):
+        for m in re.finditer(pattern, quoted if kind == "import" else code, re.M):
             start = _line(text, m.start(1))
             if kind in ("import", "extends", "implements"):
                 yield {"fact": kind, "name": m[1].strip(), "start_line": start, "at": m.start()}
             else:
-                end = start if language in LINE_ORIENTED else _line(text, _closing(text, m.end(1)))
-                defs.append({"fact": "def", "kind": kind, "name": m[1], "start_line": start, "end_line": end, "signature": signature(lines, start)})
-    spots = {(d["name"], d["start_line"]) for d in defs}
+                found.append((m.start(), m.end(1), start, kind, m[1]))
+    found.sort()
+    defs = []
+    for i, (_, end, start, kind, name) in enumerate(found):
+        limit = next((x[0] for x in found[i + 1 :] if x[0] > end), len(text))
+        if language in LINE_ORIENTED:
+            last = start
+        elif language in CLOSERS:
+            last = _closing_line(code_lines, start, CLOSERS[language])
+        else:
+            last = _line(text, _closing(code, end, limit))
+        defs.append({"fact": "def", "kind": kind, "name": name, "start_line": start, "end_line": last, "signature": signature(lines, start)})
+    spots = {(d["name"].rsplit(".", 1)[-1], d["start_line"]) for d in defs}
     yield from defs
-    for m in re.finditer(r"(?:\b([A-Za-z_]\w*)(?:::|\.))?\b([A-Za-z_]\w*)\s*!?\(", text):
+    for m in _CALLS.get(language, _CALL).finditer(code):
         line = _line(text, m.start(2))
         if m[2] not in _NOT_CALLS and (m[2], line) not in spots:
-            yield {"fact": "call", "name": m[2], "scope": m[1], "start_line": line}
+            yield {"fact": "call", "name": m[2].rstrip("!") if language == "rust" else m[2], "scope": m[1] or None, "start_line": line}
     mark = _COMMENT.get(language, "//")
     for i, line in enumerate(lines, 1):
         if line.strip().startswith(mark):
@@ -118,7 +197,7 @@ def by_ast(language: str, text: str) -> Iterator[dict]:
     for n in ast.walk(tree):
         if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             kind = "class" if isinstance(n, ast.ClassDef) else "function"
-            yield {"fact": "def", "kind": kind, "name": n.name, "start_line": n.lineno, "end_line": n.end_lineno, "doc": ast.get_docstring(n), "signature": signature(lines, n.lineno)}
+            yield {"fact": "def", "kind": kind, "name": n.name, "start_line": n.lineno, "end_line": n.end_lineno, "doc": ast.get_docstring(n), "signature": signature(lines, n.lineno, r":\s*(?:#.*)?$")}
             for base in getattr(n, "bases", []):
                 name = base.id if isinstance(base, ast.Name) else base.attr if isinstance(base, ast.Attribute) else None
                 if name:
@@ -142,16 +221,58 @@ def by_ast(language: str, text: str) -> Iterator[dict]:
             yield {"fact": "comment", "name": line.strip().lstrip("# ").strip(), "start_line": i}
 
 
-def js_symbols(language: str, text: str) -> Iterator[dict]:
-    """Names that an import binds, with the module."""
+def _use_tree(text: str, prefix: str = "") -> Iterator[tuple[str, str]]:
+    """(local name, module) of a tree of paths like a::{b, c::d as e}; wildcards bind no names."""
+    depth, part, parts = 0, "", []
+    for c in text + ",":
+        depth += (c == "{") - (c == "}")
+        if c == "," and not depth:
+            parts.append(part.strip())
+            part = ""
+        else:
+            part += c
+    for part in filter(None, parts):
+        head, brace, rest = part.partition("{")
+        if brace:
+            yield from _use_tree(rest.rsplit("}", 1)[0], prefix + head.strip())
+            continue
+        path, _, alias = (x.strip() for x in part.partition(" as "))
+        full = prefix + path if path != "self" else prefix.removesuffix("::")
+        module, _, name = full.rpartition("::")
+        if (alias or name) not in ("*", "_", ""):
+            yield alias or name, module
+
+
+def symbol_imports(language: str, text: str) -> Iterator[dict]:
+    """Names that an import binds in a file, with the module; Python's are read with the rest of it."""
+
+    def fact(name: str, target: str, at: int) -> dict:
+        return {"fact": "symbol_import", "name": name, "target": target, "start_line": _line(text, at)}
+
     if language in ("javascript", "typescript", "tsx"):
         for m in re.finditer(r"\bimport\s+(?:type\s+)?([^;\"']+?)\s+from\s+[\"']([^\"']+)", text):
             for name in re.findall(r"(?:\b\w+\s+as\s+)?(\w+)", re.sub(r"\*\s+as\s+", "", m[1])):
                 if name != "as":
-                    yield {"fact": "symbol_import", "name": name, "target": m[2], "start_line": _line(text, m.start())}
-    if language == "java":
+                    yield fact(name, m[2], m.start())
+    elif language == "java":
         for m in re.finditer(r"\bimport\s+static\s+([\w.]+)\.(\w+)\s*;", text):
-            yield {"fact": "symbol_import", "name": m[2], "target": m[1], "start_line": _line(text, m.start())}
+            yield fact(m[2], m[1], m.start())
+    elif language == "rust":
+        for m in re.finditer(r"\buse\s+([^;]+);", text):
+            for name, module in _use_tree(re.sub(r"\s+", " ", m[1])):
+                yield fact(name, module, m.start())
+    elif language == "php":
+        for m in re.finditer(r"(?m)^\s*use\s+(?:function\s+|const\s+)?([\w\\]+)\\(\w+)(?:\s+as\s+(\w+))?\s*;", text):
+            yield fact(m[3] or m[2], m[1], m.start())
+    elif language == "kotlin":
+        for m in re.finditer(r"(?m)^\s*import\s+([\w.]+)\.(\w+)(?:\s+as\s+(\w+))?\s*$", text):
+            yield fact(m[3] or m[2], m[1], m.start())
+    elif language == "scala":
+        for m in re.finditer(r"(?m)^\s*import\s+([\w.]+)\.(?:\{([^}]*)\}|(\w+))\s*$", text):
+            for part in (m[2] or m[3]).split(","):
+                name, _, alias = (x.strip() for x in part.partition("=>"))
+                if name != "_":
+                    yield fact(alias or name, m[1], m.start())
 
 
 def sql_facts(language: str | None, path: str, text: str) -> Iterator[dict]:
@@ -212,7 +333,7 @@ def extract_file(path: str, language: str | None, text: str, extra: dict | None
         rows += list(own(path, text))
     elif language:
         rows += list(by_ast(language, text) if language == "python" else by_patterns(language, text))
-        rows += list(js_symbols(language, text))
+        rows += list(symbol_imports(language, text))
         for dialect in DIALECTS.values():
             for f in dialect(language, text):
                 rows.append({"fact": f["fact"], "name": f["name"], "method": f["method"], "api_path": f["path"], "target": f["target"], "start_line": f["line"]})
