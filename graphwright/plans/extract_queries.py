@@ -266,3 +266,95 @@ def e1_registered_extractor(t):
     finally:
         code.EXTRACTORS.pop("wordlist")
     return rows.select(F.col("name").alias("word"), F.col("start_line").alias("n"))
+
+
+#: By query: samples (language, ending, text, facts); a fact is (fact, name, method, path, target).
+DIALECTS: dict[str, list[tuple]] = {
+    "x3a_builder_routes": [
+        ("rust", "rs", "fn api{n}() -> Router {\n  Router::new().route(\"/u{n}/:id\", get(show{n}).delete(h::gone{n}))\n  // .route(\"/no\", get(no))\n}\nfn app() -> Router {\n  Router::new().route(\"/up\", get(up)).nest(\"/v{n}\", api{n}())\n}\n",
+         [("endpoint", "show{n}", "GET", "/v{n}/u{n}/:id", None), ("endpoint", "gone{n}", "DELETE", "/v{n}/u{n}/:id", None), ("endpoint", "up", "GET", "/up", None), ("mount", "app", None, "/v{n}", "api{n}")]),
+    ],
+    "x3b_attribute_routes": [
+        ("rust", "rs", "#[utoipa::path(post, path = \"/a{n}/{id}\", responses((status = 200)))]\nasync fn make{n}() {}\n", [("endpoint", "make{n}", "POST", "/a{n}/{id}", None)]),
+    ],
+    "x3c_filter_routes": [
+        ("rust", "rs", "fn f() {\n  let r = warp::path(\"a{n}\").and(warp::path::param::<u32>()).and(warp::post()).and_then(h{n});\n  let s = warp::path!(\"b{n}\" / u32 / \"c\").map(k{n});\n}\n", [("endpoint", "h{n}", "POST", "/a{n}/{*}", None), ("endpoint", "k{n}", "GET", "/b{n}/{*}/c", None)]),
+    ],
+    "x3d_mapping_annotations": [
+        ("java", "java", "@RestController\n@RequestMapping(\"/base{n}\")\npublic class C {\n  @GetMapping(\"/x/{id}\")\n  public A show{n}(int id) { return null; }\n  @RequestMapping(value = \"/y\", method = {RequestMethod.POST, RequestMethod.PUT})\n  public A put{n}() { return null; }\n  // @DeleteMapping(\"/no\")\n}\n",
+         [("endpoint", "show{n}", "GET", "/base{n}/x/{id}", None), ("endpoint", "put{n}", "POST", "/base{n}/y", None), ("endpoint", "put{n}", "PUT", "/base{n}/y", None)]),
+        ("kotlin", "kt", "@RequestMapping(\"/k{n}\")\nclass C {\n  @DeleteMapping(\"/z\")\n  fun gone{n}() {}\n}\n", [("endpoint", "gone{n}", "DELETE", "/k{n}/z", None)]),
+    ],
+    "x3e_verb_methods": [
+        ("go", "go", "package p\nfunc f() {\n  r.GET(\"/u{n}/:id\", auth, h.Show{n})\n  r.POST(\"/u{n}\", Make{n})\n  // r.PUT(\"/no\", No)\n}\n", [("endpoint", "Show{n}", "GET", "/u{n}/:id", None), ("endpoint", "Make{n}", "POST", "/u{n}", None)]),
+    ],
+    "x3f_decorators": [
+        ("python", "py", "bp = Blueprint('b', __name__, url_prefix='/b{n}')\n@bp.route('/x/<int:id>', methods=['GET', 'POST'])\ndef show{n}(id):\n    pass\nrouter = APIRouter(prefix='/r{n}')\n@router.delete('/y/{id}')\nasync def gone{n}(id):\n    pass\napp.add_url_rule('/z{n}', view_func=v.rule{n})\n# @app.get('/no')\n",
+         [("endpoint", "show{n}", "GET", "/b{n}/x/<int:id>", None), ("endpoint", "show{n}", "POST", "/b{n}/x/<int:id>", None), ("endpoint", "gone{n}", "DELETE", "/r{n}/y/{id}", None), ("endpoint", "rule{n}", "GET", "/z{n}", None)]),
+    ],
+    "x3g_controllers": [
+        ("csharp", "cs", "[ApiController]\n[Route(\"api/[controller]\")]\npublic class Item{n}Controller : ControllerBase {\n  [HttpGet(\"{id}\")]\n  public Item Show{n}(int id) { return null; }\n  [HttpPost]\n  public Item Make{n}() { return null; }\n}\n",
+         [("endpoint", "Show{n}", "GET", "/api/Item{n}/{id}", None), ("endpoint", "Make{n}", "POST", "/api/Item{n}", None)]),
+        ("csharp", "min.cs", "app.MapGet(\"/m{n}/{id}\", Show{n});\n", [("endpoint", "Show{n}", "GET", "/m{n}/{id}", None)]),
+    ],
+    "x3h_verb_calls": [
+        ("typescript", "ts", "app.use('/v{n}', users{n});\nusers{n}.get('/u/:id', auth, show{n});\napp.post(`/p{n}`, make{n});\n// app.get('/no', no);\n", [("endpoint", "show{n}", "GET", "/v{n}/u/:id", None), ("endpoint", "make{n}", "POST", "/p{n}", None)]),
+    ],
+    "x4_grpc": [
+        ("rust", "rs", "impl user::User{n} for Server {\n  async fn get_user{n}(&self, r: Request<A>) -> Result<Response<B>, Status> { Err(x) }\n}\nfn f() {\n  let mut c{n} = pb::Order{n}Client::connect(a);\n  c{n}.list_orders(q);\n}\n",
+         [("grpc_server", "get_user{n}", None, "User{n}/get_user{n}", None), ("grpc_client", "c{n}", None, "Order{n}/list_orders", None)]),
+    ],
+    "x5_graphql": [
+        ("rust", "rs", "#[Object]\nimpl Mutation{n} {\n  async fn make{n}(&self) -> i32 { 1 }\n}\n", [("graphql_server", "make{n}", None, "Mutation.make{n}", None)]),
+        ("javascript", "js", "const q = gql`mutation M($a: Int) { run{n}(a: $a) { id } }`;\n", [("graphql_client", None, None, "Mutation.run{n}", None)]),
+    ],
+    "x6_websockets": [
+        ("typescript", "ts", "const w = new WebSocket('wss://h{n}/live');\nsocket.on('chat{n}', f);\nsocket.emit('typing{n}', x);\nsocket.on('disconnect', f);\n", [("ws_connect", None, None, "wss://h{n}/live", None), ("ws_receive", "socket", None, "event:chat{n}", None), ("ws_send", "socket", None, "event:typing{n}", None)]),
+        ("elixir", "ex", "defmodule C do\n  def handle_in(\"ping{n}\", _, s) do\n    push(s, \"pong{n}\", %{})\n  end\nend\n", [("ws_receive", "handle_in", None, "event:ping{n}", None), ("ws_send", None, None, "event:pong{n}", None)]),
+    ],
+    "x7_http_clients": [
+        ("python", "py", "def f():\n    requests.post('https://a{n}.example/x', json={})\n    httpx.get(f'/y/{i}')\n", [("client_call", None, "POST", "https://a{n}.example/x", None), ("client_call", None, "GET", "/y/{i}", None)]),
+        ("go", "go", "package p\nfunc f() {\n  http.Get(\"https://a{n}/x\")\n  http.NewRequest(\"PUT\", \"/y{n}\", nil)\n}\n", [("client_call", None, "GET", "https://a{n}/x", None), ("client_call", None, "PUT", "/y{n}", None)]),
+        ("rust", "rs", "fn f() {\n  client.get(\"https://a{n}/x\").send();\n  c.delete(format!(\"/z{n}/{}\", i));\n}\n", [("client_call", None, "GET", "https://a{n}/x", None), ("client_call", None, "DELETE", "/z{n}/{}", None)]),
+        ("typescript", "ts", "const BASE = '/api{n}';\nfetch(BASE + '/x', { method: 'POST' });\naxios.get('/y{n}/' + id);\nclass S { constructor(private http: HttpClient) {}\n  f() { return this.http.put<A>('/z{n}', b); } }\n",
+         [("client_call", "fetch", "POST", "/api{n}/x", None), ("client_call", "axios", "GET", "/y{n}/${dyn}", None), ("client_call", "this.http", "PUT", "/z{n}", None), ("constant", "BASE", None, None, "/api{n}")]),
+        ("java", "java", "interface A {\n  @GET(\"users{n}/{id}\")\n  Call<U> user(int id);\n}\n", [("client_call", None, "GET", "/users{n}/{id}", None)]),
+    ],
+    "x8_string_constants": [
+        ("typescript", "ts", "export const URL{n}: string = \"/a{n}\";\nconst API{n} = {\n  USERS: '/u{n}',\n  ITEMS: `/i`,\n};\n", [("constant", "URL{n}", None, None, "/a{n}"), ("constant", "API{n}.USERS", None, None, "/u{n}"), ("constant", "API{n}.ITEMS", None, None, "/i")]),
+    ],
+    "x9_embedded_sql": [
+        ("rust", "rs", "fn f() {\n  sqlx::query!(\"INSERT INTO a{n} SELECT * FROM b{n}\");\n}\n", [("db_write", None, None, None, "a{n}"), ("db_read", None, None, None, "b{n}")]),
+        ("python", "py", "def f(c):\n    c.execute(\"\"\"\n      WITH x AS (SELECT * FROM t{n}) -- # no\n      UPDATE u{n} SET a = 1\"\"\")\n", [("db_read", None, None, None, "t{n}"), ("db_write", None, None, None, "u{n}")]),
+        ("typescript", "ts", "await db.query(`DELETE FROM d{n} WHERE x = 1`);\n", [("db_write", None, None, None, "d{n}")]),
+    ],
+    "x11_embedded_cypher": [
+        ("rust", "rs", "fn f() {\n  conn.query(\"MATCH (a:Person{n})-[:KNOWS]->(b) CREATE (c:Event{n})\");\n}\n", [("db_read", None, None, None, "Person{n}"), ("db_read", None, None, None, "KNOWS"), ("db_write", None, None, None, "Event{n}")]),
+    ],
+    "x12_jpa": [
+        ("java", "java", "@Entity\npublic class OrderItem{n} {\n}\n", [("entity", "OrderItem{n}", None, None, "order_item{n}")]),
+        ("java", "named.java", "@Entity\n@Table(name = \"people{n}\")\nclass Person {\n}\ninterface PersonRepository extends JpaRepository<Person, Long> {\n  Person findByName(String n);\n  void deleteByName(String n);\n}\n",
+         [("entity", "Person", None, None, "people{n}"), ("db_read", "PersonRepository.findByName", None, None, "Person"), ("db_write", "PersonRepository.deleteByName", None, None, "Person")]),
+    ],
+    "x13_table_macros": [
+        ("rust", "rs", "diesel::table! {\n  users{n} (id) {\n    id -> Integer,\n    name -> Text,\n  }\n}\nfn f() {\n  diesel::insert_into(users{n}::table).values(x);\n  users{n}::table.filter(y).load(c);\n}\n",
+         [("entity", "users{n}", None, None, "users{n}"), ("column", "id", None, None, "users{n}"), ("column", "name", None, None, "users{n}"), ("db_write", None, None, None, "users{n}"), ("db_read", None, None, None, "users{n}")]),
+    ],
+    "x14_declarative_models": [
+        ("python", "py", "class User(Base):\n    __tablename__ = 'users{n}'\n    id = Column(Integer)\n    name: Mapped[str] = mapped_column('full_name')\n", [("entity", "User", None, None, "users{n}"), ("column", "id", None, None, "users{n}"), ("column", "full_name", None, None, "users{n}")]),
+    ],
+}
+SAID = ["endpoint", "mount", "client_call", "grpc_server", "grpc_client", "graphql_server", "graphql_client", "ws_connect", "ws_receive", "ws_send", "constant", "entity", "column", "db_read", "db_write"]
+
+
+def _dialect(name: str, samples: list[tuple]) -> None:
+    columns = ["path", "fact", "name", "method", "api_path", "target"]
+
+    @query(facts_sql(columns, [(f"d{{n}}.{ending}", f, n, m, p, x) for _, ending, _, facts in samples for f, n, m, p, x in facts]), name=name)
+    def run(t):
+        files = texts(t, [(f"d{{n}}.{ending}", language, text) for language, ending, text, _ in samples], ["path", "language", "text"])
+        return code.facts(files).filter(F.col("fact").isin(SAID)).select(*columns).distinct()
+
+
+for _name, _samples in DIALECTS.items():
+    _dialect(_name, _samples)

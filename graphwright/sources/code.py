@@ -81,8 +81,10 @@ def _lexer(language: str) -> re.Pattern:
     found = [strings[q] for q in _QUOTES.get(language, "\"'")]
     if language == "rust":
         found = [r'r(#*)".*?"(?P=raw)'.replace("(#*)", "(?P<raw>#*)"), *found, r"'(?:[^'\\\n]|\\[^\n]{1,10})'"]
-    if language in ("kotlin", "scala", "swift", "elixir", "dart", "java", "csharp"):
+    if language in ("python", "kotlin", "scala", "swift", "elixir", "dart", "java", "csharp"):
         found.insert(0, r'""".*?"""')
+    if language in ("python", "dart"):
+        found.insert(0, r"'''.*?'''")
     return re.compile(f"(?P<c>{'|'.join(comments)})|{'|'.join(found)}", re.S | re.M)
 
 
@@ -334,8 +336,9 @@ def extract_file(path: str, language: str | None, text: str, extra: dict | None
     elif language:
         rows += list(by_ast(language, text) if language == "python" else by_patterns(language, text))
         rows += list(symbol_imports(language, text))
+        said = masked(language, text, strings=False)
         for dialect in DIALECTS.values():
-            for f in dialect(language, text):
+            for f in dialect(language, said):
                 rows.append({"fact": f["fact"], "name": f["name"], "method": f["method"], "api_path": f["path"], "target": f["target"], "start_line": f["line"]})
     _nest(rows)
     _document(rows)
