@@ -198,10 +198,10 @@ def language_of(path: Column) -> Column:
 
 
 def derive_topics(subject: Column, files: Column) -> Column:
-    """Sorted topics of a commit: subject keywords, directories and languages of the files, the first MAX_TOPICS."""
-    words = F.filter(F.split(F.lower(F.regexp_replace(subject, "[^A-Za-z0-9]+", " ")), " "), lambda t: (F.length(t) >= 3) & t.rlike("[a-z]") & ~t.isin(TOPIC_STOPWORDS))
+    """Sorted topics of a commit: subject keywords (letters and digits of any script), directories and languages of the files, the first MAX_TOPICS."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(subject, r"[^\p{L}\p{N}]+", " ")), " "), lambda t: (F.length(t) >= 3) & t.rlike(r"\p{L}") & ~t.isin(TOPIC_STOPWORDS))
     dirs = F.flatten(F.transform(files, lambda f: F.split(F.lower(F.regexp_extract(f, "^(.*)/[^/]*$", 1)), "/")))
-    dirs = F.filter(dirs, lambda d: (F.length(d) >= 2) & d.rlike("[a-z]") & ~d.isin(GENERIC_DIRS) & ~d.isin("..",))
+    dirs = F.filter(dirs, lambda d: (F.length(d) >= 2) & d.rlike("[a-z]") & ~d.isin(GENERIC_DIRS) & ~d.isin(".."))
     languages = F.filter(F.transform(files, language_of), lambda x: x.isNotNull())
     return F.slice(F.array_sort(F.array_distinct(F.concat(words, dirs, languages))), 1, MAX_TOPICS)
 
@@ -217,16 +217,30 @@ def table_name(name: Column) -> Column:
 
 
 def enclosing_scope(qualified: Column) -> Column:
-    """The part of a qualified name before the last ::, or null."""
-    return F.when(qualified.contains("::"), F.regexp_extract(qualified, "(?s)^(.*)::", 1))
+    """The last segment before a qualified name's own; empty if there is none."""
+    parts = F.split(qualified, "::")
+    return F.coalesce(F.get(parts, F.size(parts) - 2), F.lit(""))
+
+
+#: Receivers that name the enclosing object itself.
+OWN_RECEIVERS = ["self", "Self", "this", "cls", "super", "Me", "MyBase", "MyClass"]
+
+
+def call_qualifier(receiver: Column) -> Column:
+    """The segment of a receiver right before the called name; null for the object itself."""
+    last = F.trim(F.element_at(F.split(receiver, "[.:]"), -1))
+    return F.when((last != "") & ~last.isin(OWN_RECEIVERS), last)
 
 
 def canonical_remote(url: Column) -> Column:
-    """host/owner/repo of a git remote, in lower-case host, without user, port, scheme, .git and slashes at the end."""
+    """host/owner/repo of a git remote in lower case, without user, port, scheme, .git and slashes at the end; null if there is no owner."""
     u = F.regexp_replace(F.regexp_replace(F.trim(url), "/+$", ""), r"\.git$", "")
-    host = F.lower(F.regexp_extract(u, r"^(?:[a-z+]+://)?(?:[^@/]+@)?([^:/]+)", 1))
-    path = F.regexp_extract(u, r"^(?:[a-z+]+://)?(?:[^@/]+@)?[^:/]+(?::[0-9]+(?=/))?[:/]+(.+)$", 1)
-    return F.when((host != "") & (path != ""), F.concat(host, F.lit("/"), path))
+    rest = F.regexp_replace(F.regexp_replace(u, "(?s)^.*://", ""), "^[^/@]*@", "")
+    parts = F.filter(F.split(F.translate(rest, "[]", ""), "[/:]"), lambda x: x != "")
+    # host:123/repo is an owner in the short form, and a port behind a scheme or in brackets
+    port = (u.contains("://") | u.contains("[")) & F.coalesce(F.get(parts, F.lit(1)).rlike("^[0-9]+$"), F.lit(False))
+    path = F.slice(parts, F.when(port, 3).otherwise(2), F.greatest(F.size(parts), F.lit(1)))
+    return F.when(F.size(path) >= 2, F.lower(F.concat(F.get(parts, F.lit(0)), F.lit("/"), F.array_join(path, "/"))))
 
 
 def truncated(text: Column, n: int) -> Column:
@@ -234,9 +248,30 @@ def truncated(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
+def fitted(text: Column, n: int) -> Column:
+    """At most n characters, the last of them an ellipsis if there were more."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, max(n - 1, 0)), F.lit("…"))).otherwise(text)
+
+
 def hms(seconds: Column) -> Column:
-    """Seconds as 1h 02m."""
-    return F.format_string("%dh %02dm", F.expr("0") + F.floor(seconds / 3600), F.floor((seconds % 3600) / 60))
+    """Seconds as 1h 2m, or 2m below an hour."""
+    h, m = F.floor(seconds / 3600), F.floor((seconds % 3600) / 60)
+    return F.when(h > 0, F.format_string("%dh %dm", h, m)).otherwise(F.format_string("%dm", m))
+
+
+def grouped(n: Column) -> Column:
+    """A count with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def duration(seconds: Column) -> Column:
+    """1.8s, or 420ms below a second."""
+    return F.when(seconds >= 1, F.format_string("%.1fs", seconds)).otherwise(F.format_string("%dms", F.floor(seconds * 1000)))
+
+
+def language_counts(rows: Column) -> Column:
+    """An array of (language, files) in order as rust 12, python 3."""
+    return F.array_join(F.transform(rows, lambda r: F.concat(r["language"], F.lit(" "), r["files"].cast("string"))), ", ")
 
 
 def host_of(url: Column) -> Column:

@@ -76,7 +76,7 @@ def language(path: str) -> str:
 
 def topics(subject: str, files: str) -> str:
     stop, generic = (", ".join(f"'{w}'" for w in x) for x in (X.TOPIC_STOPWORDS, X.GENERIC_DIRS))
-    words = f"list_filter(string_split(lower(regexp_replace({subject}, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 3 AND regexp_matches(t, '[a-z]') AND t NOT IN ({stop}))"
+    words = f"list_filter(regexp_extract_all(lower({subject}), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 3 AND regexp_matches(t, '\\p{{L}}') AND t NOT IN ({stop}))"
     dirs = f"list_filter(flatten(list_transform({files}, lambda f: string_split(lower(regexp_extract(f, '^(.*)/[^/]*$', 1)), '/'))), lambda d: length(d) >= 2 AND regexp_matches(d, '[a-z]') AND d NOT IN ({generic}))"
     languages = f"list_filter(list_transform({files}, lambda f: {language('f')}), lambda l: l IS NOT NULL)"
     return f"list_sort(list_distinct(list_concat({words}, {dirs}, {languages})))[1 : {X.MAX_TOPICS}]"

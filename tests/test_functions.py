@@ -92,10 +92,13 @@ def test_small_text_functions(spark):
     assert one(spark, "https://u@forge.example:8443/own/repo/", text.canonical_remote) == "forge.example/own/repo"
     assert one(spark, "HTTPServerName", text.snake_case) == "http_server_name"
     assert one(spark, '"Public".`Users`', text.table_name) == "public.users"
-    assert one(spark, "a::b::c", text.enclosing_scope) == "a::b"
+    assert [one(spark, x, text.enclosing_scope) for x in ("a::b::c", "a::c", "c")] == ["b", "a", ""]
     assert one(spark, "http://localhost:80/x", text.is_local_url) is True
     assert one(spark, "abcdef", lambda c: text.truncated(c, 3)) == "abc…"
-    assert one(spark, "3720", lambda c: text.hms(c.cast("long"))) == "1h 02m"
+    assert [one(spark, x, lambda c: text.hms(c.cast("long"))) for x in ("3720", "120")] == ["1h 2m", "2m"]
+    assert [one(spark, x, text.canonical_remote) for x in ("ssh://git@[Forge.example:22]:Own/repo", "git@host:123/repo", "https://host/repo", "host")] == ["forge.example/own/repo", "host/123/repo", None, None]
+    assert [one(spark, x, text.call_qualifier) for x in ("a.b", "x::Y", "self", "a.this", "")] == ["b", "Y", None, None, None]
+    assert one(spark, "Größe der Straße", lambda c: F.array_join(text.derive_topics(c, F.array().cast("array<string>")), ",")) == "der,größe,straße"
     assert one(spark, "a foo_bar b", lambda c: text.contains_identifier(c, "foo")) is False
 
 
