@@ -81,6 +81,48 @@ def federated_summary(items: DataFrame, origin: str, crate_hits: DataFrame | Non
     return out.select(level_name(number).alias("level"), "*")
 
 
+def crate_hits(links: DataFrame, origin: str, packages: DataFrame) -> DataFrame:
+    """Where package-level links of other repositories reach the seeds' packages(package) of a repository: (repo, file, package)."""
+    hit = links.filter((F.col("kind") == "crate") & (F.col("to_repo") == origin)).join(packages.select("package").distinct(), "package", "left_semi")
+    return hit.select(F.col("from_repo").alias("repo"), F.col("from_file").alias("file"), "package").distinct()
+
+
+def diagnostics(scope: DataFrame, hints: DataFrame, web: DataFrame, reachable: DataFrame) -> DataFrame:
+    """One row that explains a federated report: repositories in scope(repo), hints(hint, side, repo) and how many name none of them, web matches, reachable(repo), and which of them have an index."""
+    known = scope.select("repo").distinct()
+    dead = hints.join(known, "repo", "left_anti").select("hint").distinct()
+    one = [
+        known.unionByName(reachable.select("repo")).distinct().agg(F.count(F.lit(1)).alias("scope_repos")),
+        hints.agg(F.countDistinct("hint").alias("hints_total")),
+        dead.agg(F.count(F.lit(1)).alias("hints_unresolved")),
+        web.agg(F.count(F.lit(1)).alias("web_matches")),
+        reachable.agg(F.countDistinct("repo").alias("reachable")),
+        reachable.join(scope.filter("indexed").select("repo"), "repo", "left_semi").agg(F.countDistinct("repo").alias("opened")),
+    ]
+    out = one[0]
+    for x in one[1:]:
+        out = out.join(x)  # one row each
+    return out
+
+
+def markdown(items: DataFrame, cap: int = 20) -> DataFrame:
+    """A report as lines of Markdown (place, line): the counts, then tests, API surface and cross-boundary consumers, cap of each."""
+    from pyspark.sql import Window as W
+
+    s = summary(items)
+    counts = F.concat(F.lit("**Impact: "), "level", F.lit("** - "), *[x for c, n in (("total", " symbols, "), ("tests", " tests, "), ("api", " API surface, "), ("cross_boundary", " cross-boundary consumers, max distance ")) for x in (F.col(c), F.lit(n))], "max_distance")
+    head = s.select(F.explode(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("p"), F.lit("## Impact analysis").alias("line")), F.struct(F.lit(0).alias("s"), F.lit(1).alias("p"), counts.alias("line")))).alias("x")).select("x.*")
+    sections = [("Tests to run", F.col("class") == "test"), ("API surface affected", F.col("class") == "api"), ("Cross-boundary consumers", F.col("cross_boundary"))]
+    own = F.explode(F.filter(F.array(*[F.when(c, i) for i, (_, c) in enumerate(sections, 1)]), lambda x: x.isNotNull()))
+    rows = items.withColumn("s", own)
+    rows = rows.withColumn("p", F.row_number().over(W.partitionBy("s").orderBy("distance", F.desc("min_confidence"), "id")))
+    line = F.concat(F.lit("- `"), "name", F.lit("` ("), "file", F.lit(") d"), "distance", F.when(F.col("min_confidence") == "inferred", " (inferred)").otherwise(""))
+    titles = rows.select("s").distinct().select("s", F.lit(0).alias("p"), F.get(F.array(*[F.lit(f"### {t}") for t, _ in sections]), F.col("s") - 1).alias("line"))
+    body = rows.filter(F.col("p") <= cap).select("s", "p", line.alias("line"))
+    more = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cap).select("s", F.lit(cap + 1).alias("p"), F.concat(F.lit("... "), F.col("n") - cap, F.lit(" more")).alias("line"))
+    return head.unionByName(titles).unionByName(body).unionByName(more).orderBy("s", "p")
+
+
 def fails_gate(items: DataFrame) -> bool:
     """Whether a report touches the API (for exit codes)."""
     return not items.filter("class = 'api'").isEmpty()

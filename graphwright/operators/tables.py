@@ -1,7 +1,7 @@
 """Sinks: upserts, deletes and replacements of stored tables, and what changed between two states.
 
-Without a transactional format an update is a join that makes the new table, and a write beside the old one that is
-renamed into place.
+Without a transactional format an update is a join that makes the new table, and a write of a new version to which a
+pointer is moved.
 """
 
 from __future__ import annotations
@@ -99,22 +99,90 @@ def restore(backup: DataFrame, keys: DataFrame) -> DataFrame:
     return backup.join(now, "key", "left").select("space", "model", F.coalesce("now", "node_id").alias("node_id"), "vector")
 
 
+def insert_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Existing rows, and the new ones whose keys aren't there yet, each once."""
+    return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti"))
+
+
+def bulk_load(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A first load: one row per node id, and edges once, between loaded nodes."""
+    n = nodes.dropDuplicates(["id"])
+    ids = n.select("id")
+    e = edges.dropDuplicates(["src", "dst", "kind"]).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return n, e.select("src", "dst", "kind", "confidence")
+
+
+def reinferred(edges: DataFrame, resolved: DataFrame, pending: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Edges with all inferred ones replaced by what pending(link, kind) links resolve to now: resolved(link, anchor, target); others are further inferred edges."""
+    found = resolved.join(pending.select("link", "kind"), "link").select(F.col("anchor").alias("src"), F.col("target").alias("dst"), "kind", F.lit("inferred").alias("confidence"))
+    found = found if others is None else found.unionByName(others.select("src", "dst", "kind", F.lit("inferred").alias("confidence")))
+    return upsert_edges(edges.filter("confidence <> 'inferred'"), found)
+
+
+def merge_spilled(table: DataFrame, spilled: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """A table with the rows that other writers have set aside: of each key the last in order, the table's own first."""
+    both = table.withColumn("_o", F.lit(None).cast(spilled.schema[order].dataType)).unionByName(spilled.withColumnRenamed(order, "_o"))
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.col("_o").desc_nulls_last()))
+    return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_o")
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Replaces a Parquet table: written beside it, then renamed."""
+    """Replaces a table: a new version is written beside the old one, then the pointer to it is replaced; read_table() follows it.
+
+    Readers see the old or the new version, and a writer that fails leaves the old one in place.  The version before is kept
+    for those who still read it, until the next write.
+    """
     spark = df.sparkSession
-    aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    version = f"v-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(aside)
-    rename_into(spark, aside, path)
-
-
-def rename_into(spark: SparkSession, aside: str, path: str) -> None:
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path.rstrip('/')}/{version}")
+    before = current_version(spark, path)
     jvm = spark._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(new, old):
-        raise OSError(f"could not rename {aside} to {path}")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), hadoop)
+    aside = pointer.suffix(f".{version}")
+    out = aside.getFileSystem(hadoop).create(aside)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(aside, pointer, overwrite)
+    fs = pointer.getFileSystem(hadoop)
+    for status in fs.listStatus(pointer.getParent()):
+        if status.getPath().getName() not in (POINTER, version, before):
+            fs.delete(status.getPath(), True)
+
+
+#: The file of a table that names its version.
+POINTER = "_current"
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
+    """The name of a table's version; None if there is no table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+    finally:
+        stream.close()
+
+
+def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """The present version of a table that write_table() wrote; None if there is none."""
+    version = current_version(spark, path)
+    if version is None:
+        return None
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{path.rstrip('/')}/{version}")
+
+
+def backup_manifest(embeddings: DataFrame) -> DataFrame:
+    """What a backup holds: rows and widths by namespace."""
+    return embedding_index(embeddings).orderBy("space", "model")
 
 
 def as_json(df: DataFrame, name: str = "json") -> DataFrame:

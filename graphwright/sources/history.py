@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import subprocess
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -105,11 +106,69 @@ def contributors(commits: DataFrame, n: int = 100) -> DataFrame:
 
 
 def merged_history(*passes: DataFrame) -> DataFrame:
-    """Several passes over a symbol's history as one, without repeated commits, newest first."""
-    rows = passes[0]
-    for p in passes[1:]:
-        rows = rows.unionByName(p)
-    return rows.dropDuplicates(["hash"]).orderBy(F.desc("committed_at"), "hash")
+    """Several passes over a symbol's history as one, newest first; of a commit's rows the one of the first pass stays."""
+    rows = reduce(DataFrame.unionByName, [p.withColumn("_pass", F.lit(i)) for i, p in enumerate(passes)])
+    first = rows.withColumn("_n", F.row_number().over(W.partitionBy("hash").orderBy("_pass"))).filter("_n = 1")
+    return first.drop("_n", "_pass").orderBy(F.desc("committed_at"), "hash")
+
+
+class _SymbolReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options = options
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(i) for i in range(2 if self.options.get("lines") else 1)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        o = self.options
+
+        def git(*args: str) -> str:
+            run = subprocess.run(["git", "-C", o["root"], *args], capture_output=True, text=True, errors="replace")
+            return run.stdout if run.returncode == 0 else ""
+
+        way = ["--all", f"-S{o['symbol']}", "--", o["file"]] if partition.value == 0 else ["-s", f"-L{o['lines']}:{o['file']}"]
+        for line in git("log", f"-n{o.get('limit', '50')}", f"--pretty=format:%H{FIELD}%ct{FIELD}%an{FIELD}%s", *way).splitlines():
+            if len(row := line.split(FIELD)) == 4:
+                inside = subprocess.run(["git", "-C", o["root"], "merge-base", "--is-ancestor", row[0], "HEAD"], capture_output=True).returncode == 0
+                branches = [] if inside else git("branch", "--all", "--format=%(refname:short)", "--contains", row[0]).split()
+                yield partition.value == 0, row[0], int(row[1]), row[2], row[3], inside, branches
+
+
+class GitSymbol(DataSource):
+    """spark.read.format("gitsymbol") with options root, file, symbol and, where the symbol is in HEAD, lines ("10,20"), limit.
+
+    The commits that changed the lines, and those of all branches that changed how often the name occurs; pickaxe marks the latter.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "gitsymbol"
+
+    def schema(self) -> str:
+        return "pickaxe boolean, hash string, committed_at long, author string, subject string, in_head boolean, branches array<string>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SymbolReader(dict(self.options))
+
+
+def symbol_history(spark, root: str, file: str, symbol: str, lines: str | None = None, limit: int = 50) -> DataFrame:
+    """A symbol's commits on all branches, newest first."""
+    spark.dataSource.register(GitSymbol)
+    how = {"root": root, "file": file, "symbol": symbol, "limit": str(limit)} | ({"lines": lines} if lines else {})
+    rows = spark.read.format("gitsymbol").options(**how).load()
+    return merged_history(rows.filter("not pickaxe"), rows.filter("pickaxe"))
+
+
+def narrated(commits: DataFrame, authors: int = 10) -> DataFrame:
+    """The facts of repositories' histories for a narrative, one text per repository: span, contributors, subjects from old to new."""
+    day = F.date_format(F.timestamp_seconds("committed_at"), "yyyy-MM-dd")
+    lines = commits.groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("committed_at", "hash", day.alias("day"), "subject"))).alias("c"))
+    top = contributors(commits.withColumn("email", F.col("author")), authors).groupBy("repo").agg(F.sort_array(F.collect_list(F.struct("place", F.concat("author", F.lit(" ("), "commits", F.lit(")")).alias("t")))).alias("a"))
+    out = lines.join(top, "repo")
+    span = F.concat(F.lit("Span: "), F.get("c", F.lit(0))["day"], F.lit(" to "), F.element_at("c", -1)["day"])
+    people = F.concat(F.lit("Contributors: "), F.array_join(F.transform("a", lambda x: x["t"]), ", "))
+    log = F.array_join(F.transform("c", lambda x: F.concat(F.lit("- "), x["day"], F.lit(" "), x["subject"])), "\n")
+    return out.select("repo", F.concat_ws("\n", F.concat(F.lit("Repository: "), "repo"), span, people, F.lit("Commits, oldest first:"), log).alias("text"))
 
 
 def recent(commits: DataFrame, n: int) -> DataFrame:

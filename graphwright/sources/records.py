@@ -49,6 +49,39 @@ def write_embeddings(embeddings: DataFrame, path: str) -> None:
     embeddings.select("node_id", "space", "model", F.size("vector").alias("dim"), "vector").write.mode("overwrite").json(path)
 
 
+def decoded(text, schema: str):
+    """A column of JSON as a struct; of malformed text an empty one."""
+    return F.coalesce(F.from_json(text, schema), F.from_json(F.lit("{}"), schema))
+
+
+def merged_config(layers: list[str]) -> dict:
+    """TOML layers from weak to strong: tables are merged, stronger values win, and the links of all layers are kept in order."""
+    import tomllib
+
+    def merge(low: dict, high: dict) -> dict:
+        return low | {k: merge(low[k], v) if isinstance(v, dict) and isinstance(low.get(k), dict) else v for k, v in high.items()}
+
+    out, links = {}, []
+    for text in layers:
+        table = tomllib.loads(text)
+        links += table.pop("links", [])
+        out = merge(out, table)
+    return out | ({"links": links} if links else {})
+
+
+def manifest_files(paths: DataFrame, depth: int = 3) -> DataFrame:
+    """The paths(path) of at most so many segments."""
+    return paths.filter(F.size(F.split("path", "/")) <= depth)
+
+
+def load_from(spark: SparkSession, path: str, columns: str | None = None) -> DataFrame:
+    """Rows of a file by its ending: CSV with a header, JSON lines or Parquet."""
+    reader = spark.read.schema(columns) if columns else spark.read
+    if path.rstrip("/").endswith(".csv"):
+        return reader.option("header", True).csv(path)
+    return reader.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else reader.parquet(path)
+
+
 def readme_paragraph(text: str) -> str | None:
     """The first paragraph of prose: no headings, badges, quotes, lists, tables or code."""
     import re

@@ -156,8 +156,8 @@ def test_sinks(spark, tmp_path):
     assert {tuple(r) for r in tables.upsert(old, new, ["id"], F.col("v")).collect()} == {("a", 1), ("b", 3), ("c", 1)}
     path = str(tmp_path / "t")
     tables.write_table(old, path)
-    tables.write_table(tables.upsert(spark.read.parquet(path), new, ["id"], F.col("v")), path)
-    assert spark.read.parquet(path).count() == 3
+    tables.write_table(tables.upsert(tables.read_table(spark, path), new, ["id"], F.col("v")), path)
+    assert tables.read_table(spark, path).count() == 3
     e = spark.createDataFrame([], "space string, model string, node_id string, vector array<float>")
     two = spark.createDataFrame([(1, "n", [1.0, 2.0]), (2, "n", [3.0, 4.0]), (3, "m", [0.0, 1.0])], "ordinal int, node_id string, vector array<float>")
     kept = tables.replace_namespace(e, "s", "m", two)

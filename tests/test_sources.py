@@ -4,7 +4,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from graphwright.operators import resolve
+from graphwright.operators import resolve, tables
 from graphwright.plans import cypher
 from graphwright.sources import code, dialects, files, history, manifests, records, schemas, sqltext
 from graphwright.streaming import incremental
@@ -185,6 +185,55 @@ def test_log(spark, tmp_path):
     assert diff == [{"file": "f0", "deleted": True, "ranges": [{"start": 1, "end": 1}]}, {"file": "f2", "deleted": False, "ranges": [{"start": 2, "end": 2}, {"start": 4, "end": 4}]}]
 
 
+def test_symbol_history(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    run("config", "user.email", "a@b.c")
+    run("config", "user.name", "N")
+    f = tmp_path / "a.py"
+    for i, text in enumerate(["def f():\n    return 1\n", "def f():\n    return 2\n", "def f():\n    return 2\nx = 1\n"]):
+        f.write_text(text)
+        run("add", "-A")
+        run("commit", "-q", "-m", f"c{i}", "--date", f"2020-01-0{i + 1}T00:00:00Z")
+    run("checkout", "-q", "-b", "side", "HEAD~1")
+    f.write_text("def f():\n    return 2\ndef g(): return f()\n")
+    run("commit", "-q", "-am", "on side")
+    run("checkout", "-q", "main")
+    rows = history.symbol_history(spark, str(tmp_path), "a.py", "f(", "1,2").collect()
+    assert sorted(r.subject for r in rows) == ["c0", "c1", "on side"]
+    assert {r.subject: (r.in_head, r.branches) for r in rows}["on side"] == (False, ["side"])
+    assert len(history.symbol_history(spark, str(tmp_path), "a.py", "f(").collect()) == 2
+
+
+def test_config_layers():
+    low = "a = 1\n[t]\nx = 1\ny = 1\n[[links]]\nn = 1\n"
+    assert records.merged_config([low, "a = 2\n[t]\nx = 3\n[[links]]\nn = 2\n[[links]]\nn = 3\n", ""]) == {"a": 2, "t": {"x": 3, "y": 1}, "links": [{"n": 1}, {"n": 2}, {"n": 3}]}
+    assert records.merged_config([]) == {}
+
+
+def test_table_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.read_table(spark, path) is None
+    for n in range(4):
+        tables.write_table(spark.range(n), path)
+        seen = tables.read_table(spark, path)
+        assert seen.count() == n
+    with pytest.raises(Exception, match="boom"):
+        tables.write_table(spark.range(3).select(F.raise_error(F.lit("boom")).alias("id")), path)
+    assert tables.read_table(spark, path).count() == 3
+    assert sum(x.name.startswith("v-") for x in tmp_path.joinpath("t").iterdir()) == 3  # this one, the one before, and the failed one
+    tables.write_table(spark.range(1), path)
+    assert sum(x.name.startswith("v-") for x in tmp_path.joinpath("t").iterdir()) == 2
+
+
+def test_nested_ignore_files(spark):
+    rows = [(".gitignore", "*.log\n!keep.log\n/top/\n"), ("a.log", ""), ("keep.log", ""), ("sub/b.log", ""), ("sub/.aiignore", "secret*\n!b.log\n# c\n"), ("sub/secret.py", ""), ("secret.py", ""), ("top/x.py", ""), ("sub/top/y.py", "")]
+    df = spark.createDataFrame([(p, t.encode()) for p, t in rows], "path string, content binary")
+    got = {r.path for r in files.select_files(df).collect()}
+    assert got == {".gitignore", "keep.log", "sub/b.log", "sub/.aiignore", "secret.py", "sub/top/y.py"}
+    assert "keep.log" not in {r.path for r in files.select_files(df.filter("path <> '.gitignore'"), patterns=["*.log"]).collect()}
+
+
 def test_watermarks(spark):
     log = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("s", 1, "c")], "repo string, ordinal int, hash string")
     heads = spark.createDataFrame([("r", "a"), ("s", "gone")], "repo string, head string")
@@ -205,7 +254,7 @@ def test_stream_upsert_is_idempotent(spark, tmp_path):
         incremental.upsert_stream(spark, stream, out, ["id"], str(tmp_path / f"cp{n}"), "v").awaitTermination()
     spark.createDataFrame([("b", 5)], "id string, v int").write.mode("append").parquet(src)
     incremental.upsert_stream(spark, spark.readStream.schema("id string, v int").parquet(src), out, ["id"], str(tmp_path / "cp1"), "v").awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(out).collect()} == {("a", 1), ("b", 5)}
+    assert {tuple(r) for r in tables.read_table(spark, out).collect()} == {("a", 1), ("b", 5)}
 
 
 def test_update_graph(spark):
