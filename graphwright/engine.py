@@ -164,9 +164,13 @@ class Engine:
         query = spark.createDataFrame([("query", vectors.hashed_vectors([text], dim)[0])], "query_id string, query_vector array<float>")
         return vectors.nearest(rows, query, k)
 
-    def similar_repos(self, repo: str, k: int = 10, dim: int = vectors.DIM) -> DataFrame:
+    def similar_repos(self, repo: str, k: int = 10, dim: int = vectors.DIM, public_only: bool = False) -> DataFrame:
+        """The repositories most like one, among those that may be seen where there is a registry; ties by name."""
         rows = self.embed_graph(dim).withColumnRenamed("key", "id")
         query = rows.filter(F.col("id") == repo).select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+        if self.repos is not None:
+            seen = self.repos.filter(~atlas.restricted(F.col("visibility"), public_only)).select(F.col("repo").alias("id"))
+            rows = rows.join(seen, "id", "left_semi")
         return vectors.nearest(rows, query, k)
 
     def repo_map(self, k: int = 5, dim: int = vectors.DIM) -> DataFrame:

@@ -21,5 +21,10 @@ def day_end(day: Column) -> Column:
     return day_start(day) + F.lit(86399)
 
 
-def days_before(day: Column, n: int) -> Column:
+def days_before(day: Column, n: int | Column) -> Column:
+    n = n.cast("int") if isinstance(n, Column) else n
     return F.date_format(F.date_sub(F.to_date(day), n), "yyyy-MM-dd")
+
+
+def today_minus(n: int | Column) -> Column:
+    return days_before(F.current_date(), n)

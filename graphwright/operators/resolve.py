@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphwright.operators.components import components
 from graphwright.plans.scratch import Settled
 
 #: Extensions that a JavaScript import may leave out, best first.
@@ -160,20 +161,15 @@ def resolve_constants(constants: DataFrame, max_hops: int = 8) -> DataFrame:
 def same_entity(entries: DataFrame) -> DataFrame:
     """entries(entry, keys array<string>) to (entry, entity): entries that share a key, directly or through others, are one.
 
-    Labels spread over shared keys until nothing changes; the entity is the smallest entry.
+    The entity is the smallest entry.  Entries and keys are nodes of a graph by a 64-bit hash, whose components are found in
+    rounds that grow with the logarithm of the longest chain.
     """
-    pairs = Settled(entries.select("entry", F.explode("keys").alias("key")).distinct())
-    now = Settled(entries.select("entry", F.col("entry").alias("entity")).distinct())
-    while True:
-        of_key = pairs.df.join(now.df, "entry").groupBy("key").agg(F.min("entity").alias("low"))
-        lower = pairs.df.join(of_key, "key").groupBy("entry").agg(F.min("low").alias("low"))
-        after = Settled(now.df.join(lower, "entry", "left").select("entry", F.least("entity", F.coalesce("low", "entity")).alias("entity")))
-        changed = not after.df.join(now.df.withColumnRenamed("entity", "was"), "entry").filter("entity <> was").isEmpty()
-        now.drop()
-        now = after
-        if not changed:
-            pairs.drop()
-            return now.df
+    node = F.xxhash64(F.lit("entry"), F.col("entry").cast("string")).alias("u")
+    links = entries.select(node, F.explode(F.transform("keys", lambda k: F.xxhash64(F.lit("key"), k))).alias("v"))
+    group = components(links)
+    named = entries.select("entry", node).join(group.df, F.col("u") == F.col("node"), "left").select("entry", F.coalesce("component", "u").alias("c")).distinct()
+    first = named.groupBy("c").agg(F.min("entry").alias("entity"))
+    return named.join(first, "c").select("entry", "entity")
 
 
 def contained_roots(roots: DataFrame) -> DataFrame:

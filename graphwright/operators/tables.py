@@ -190,6 +190,33 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(name))
 
 
+def as_yaml(df: DataFrame, name: str = "yaml") -> DataFrame:
+    """Rows as items of a YAML list, keys sorted; texts are quoted where YAML would read them as something else."""
+
+    def value(c: str):
+        kind = df.schema[c].dataType.simpleString()
+        if kind != "string":
+            return F.coalesce(F.to_json(F.struct(F.col(f"`{c}`").alias("x"))).substr(6, 1_000_000) if kind.startswith(("array", "struct", "map")) else F.col(f"`{c}`").cast("string"), F.lit("null"))
+        plain = F.col(f"`{c}`").rlike(r"^[A-Za-z_/][A-Za-z0-9_ ./@-]*$") & ~F.lower(f"`{c}`").isin("true", "false", "null", "yes", "no", "on", "off", "y", "n") & ~F.col(f"`{c}`").endswith(" ")
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.col(f"`{c}`"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+        return F.coalesce(F.when(plain, F.col(f"`{c}`")).otherwise(quoted), F.lit("null"))
+
+    lines = [F.concat(F.lit(f"{'- ' if i == 0 else '  '}{c}: "), value(c)) for i, c in enumerate(sorted(df.columns))]
+    return df.select(F.concat_ws("\n", *lines).alias(name))
+
+
+def graph_html(elements: DataFrame, title: str = "Graph") -> str:
+    """A page that shows the elements of graph_elements(), which must be few: a view, not an export."""
+    import html
+    import json
+
+    rows = [r.element for r in elements.select("element").toLocalIterator()]
+    data = "[" + ",".join(rows).replace("</", "<\\/") + "]"
+    json.loads(data.replace("<\\/", "</"))
+    script = "const e=JSON.parse(document.getElementById('d').textContent),n=e.filter(x=>!x.data.source),p={};const s=document.getElementById('g'),r=260;n.forEach((x,i)=>{const a=2*Math.PI*i/n.length;p[x.data.id]=[300+r*Math.cos(a),300+r*Math.sin(a)]});const add=(t,o,x)=>{const y=document.createElementNS('http://www.w3.org/2000/svg',t);for(const k in o)y.setAttribute(k,o[k]);if(x)y.textContent=x;s.appendChild(y)};e.filter(x=>x.data.source).forEach(x=>{const[a,b]=[p[x.data.source],p[x.data.target]];if(a&&b)add('line',{x1:a[0],y1:a[1],x2:b[0],y2:b[1],stroke:'#999'})});n.forEach(x=>{const a=p[x.data.id];add('circle',{cx:a[0],cy:a[1],r:4,fill:x.data.distance===undefined?'#456':'#c40'});add('text',{x:a[0]+6,y:a[1],'font-size':9},x.data.name)})"
+    return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><script id="d" type="application/json">{data}</script><svg id="g" viewBox="0 0 600 600"></svg><script>{script}</script>'
+
+
 def graph_elements(nodes: DataFrame, edges: DataFrame, impact: DataFrame | None = None) -> DataFrame:
     """A graph view: one JSON element per node and per edge between them, with the distance of an impact overlay."""
     n = nodes.select("id", "name", "kind", "file")

@@ -239,7 +239,7 @@ def j10_resolve_imports(t):
 
 @query("""
   WITH acc AS (SELECT id AS node, CASE WHEN k % 2 = 0 THEN 'write' ELSE 'read' END AS access, CASE k % 3 WHEN 0 THEN concat('T_', CAST(k % 300 AS VARCHAR)) WHEN 1 THEN concat('public.t_', CAST(k % 300 AS VARCHAR)) ELSE concat('Entity', CAST(k % 40 AS VARCHAR)) END AS name FROM symbols),
-  ent AS (SELECT concat('Entity', CAST(p_partkey % 50 AS VARCHAR)) AS entity, concat('t_', CAST(p_partkey % 60 AS VARCHAR)) AS tab FROM part WHERE p_partkey < 110),
+  ent AS (SELECT concat('Entity', CAST(p_partkey % 50 AS VARCHAR)) AS entity, concat('t_', CAST(p_partkey % 60 AS VARCHAR)) AS tab FROM part),
   certain AS (SELECT entity, min(tab) AS t FROM ent GROUP BY entity HAVING count(DISTINCT tab) = 1),
   named AS (SELECT node, access, lower(coalesce(t, name)) AS key FROM acc LEFT JOIN certain ON name = entity),
   keys AS (SELECT id, lower(qualified_name) AS key FROM nodes WHERE kind = 'table' UNION SELECT id, lower(name) FROM nodes WHERE kind = 'table')
@@ -247,7 +247,7 @@ def j10_resolve_imports(t):
 def j11_table_access(t):
     name = F.expr("case k % 3 when 0 then concat('T_', cast(k % 300 as string)) when 1 then concat('public.t_', cast(k % 300 as string)) else concat('Entity', cast(k % 40 as string)) end")
     acc = t.symbols.select(F.col("id").alias("node"), F.expr("case when k % 2 = 0 then 'write' else 'read' end").alias("access"), name.alias("name"))
-    ent = t.part.filter("p_partkey < 110").selectExpr("concat('Entity', cast(p_partkey % 50 as string)) as entity", "concat('t_', cast(p_partkey % 60 as string)) as table")
+    ent = t.part.selectExpr("concat('Entity', cast(p_partkey % 50 as string)) as entity", "concat('t_', cast(p_partkey % 60 as string)) as table")
     return resolve.table_access(acc, t.nodes.filter("kind = 'table'").select("id", F.col("qualified_name").alias("name")), ent)
 
 
@@ -377,7 +377,7 @@ def j27_who_calls(t):
     return api.who_calls(t.operations, _calls(t), "/www/en/7")
 
 
-CONSTANTS = "SELECT file, name, CASE WHEN k % 4 = 0 THEN concat('/v', CAST(k AS STRING)) END AS value, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN concat('f', CAST((k * 5 + 1) % 200 AS STRING)) END AS ref_file, CASE WHEN k % 4 <> 0 THEN concat('C', CAST((k * 5 + 1) % 200 AS STRING)) END AS ref_name FROM (SELECT p_partkey AS k, concat('f', CAST(p_partkey AS STRING)) AS file, concat('C', CAST(p_partkey AS STRING)) AS name FROM part WHERE p_partkey < 200) x"
+CONSTANTS = "SELECT file, name, CASE WHEN k % 4 = 0 THEN concat('/v', CAST(k AS STRING)) END AS value, CASE WHEN k % 4 <> 0 AND k % 3 <> 0 THEN concat('f', CAST((k * 5 + 1) % 1900 AS STRING)) END AS ref_file, CASE WHEN k % 4 <> 0 THEN concat('C', CAST((k * 5 + 1) % 1900 AS STRING)) END AS ref_name FROM (SELECT p_partkey AS k, concat('f', CAST(p_partkey AS STRING)) AS file, concat('C', CAST(p_partkey AS STRING)) AS name FROM part) x"
 
 
 @query(f"""
@@ -385,16 +385,15 @@ CONSTANTS = "SELECT file, name, CASE WHEN k % 4 = 0 THEN concat('/v', CAST(k AS
   w AS (SELECT file, name, value, ref_file, ref_name, 0 AS hops FROM r UNION ALL SELECT w.file, w.name, r.value, r.ref_file, r.ref_name, hops + 1 FROM w JOIN r ON w.ref_file = r.file AND w.ref_name = r.name WHERE w.value IS NULL AND hops < 8)
   SELECT file, name, value, hops FROM w WHERE value IS NOT NULL""")
 def j28_resolve_constants(t):
-    t.part.createOrReplaceTempView("part")
-    return resolve.resolve_constants(t.spark.sql(CONSTANTS))
+    return resolve.resolve_constants(t.sql(CONSTANTS))
 
 
 @query("""
-  WITH RECURSIVE k AS (SELECT p_partkey AS entry, unnest([concat('a', CAST(p_partkey % 97 AS VARCHAR)), concat('b', CAST(floor(p_partkey / 7) AS BIGINT))]) AS key FROM part WHERE p_partkey % 5 = 0),
+  WITH RECURSIVE k AS (SELECT p_partkey AS entry, unnest([concat('a', CAST(p_partkey % 397 AS VARCHAR)), concat('b', CAST(floor(p_partkey / 3) AS BIGINT))]) AS key FROM part),
   l AS (SELECT DISTINCT a.entry AS x, b.entry AS y FROM k a JOIN k b USING (key)), reach AS (SELECT entry, entry AS y FROM k UNION SELECT reach.entry, l.y FROM reach JOIN l ON reach.y = l.x)
   SELECT entry, min(y) AS entity FROM reach GROUP BY entry""")
 def j29_same_entity(t):
-    rows = t.part.filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("entry"), F.expr("array(concat('a', cast(p_partkey % 97 as string)), concat('b', cast(p_partkey div 7 as string)))").alias("keys"))
+    rows = t.part.select(F.col("p_partkey").alias("entry"), F.expr("array(concat('a', cast(p_partkey % 397 as string)), concat('b', cast(p_partkey div 3 as string)))").alias("keys"))
     return resolve.same_entity(rows)
 
 
@@ -403,7 +402,7 @@ def j30_visibility_of_hits(t):
     return t.commits.join(t.repos.select("repo", "visibility"), "repo", "left").groupBy("repo", F.coalesce("visibility", F.lit("unregistered")).alias("visibility")).agg(F.count(F.lit(1)).alias("n"))
 
 
-REPO_VECTORS = "SELECT concat('repo', CAST(vec_id AS STRING)) AS id, embedding AS vector FROM embeddings WHERE vec_id < 60"
+REPO_VECTORS = "SELECT concat('repo', CAST(vec_id AS STRING)) AS id, embedding AS vector FROM embeddings"
 
 
 @query(f"""
@@ -411,13 +410,13 @@ REPO_VECTORS = "SELECT concat('repo', CAST(vec_id AS STRING)) AS id, embedding A
   n AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS p FROM s WHERE score > 0)
   SELECT least(x, y) AS a, greatest(x, y) AS b, round(max(score), 6) AS score FROM n WHERE p <= 5 GROUP BY ALL""")
 def j31_similarity_graph(t):
-    rows = t.embeddings.filter("vec_id < 60").select(F.concat(F.lit("repo"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"))
+    rows = t.embeddings.select(F.concat(F.lit("repo"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"))
     return vectors.similarity_graph(rows).withColumn("score", F.round("score", 6))
 
 
-@query("SELECT c.node_id, n.id FROM (SELECT DISTINCT node_id, repo FROM commits WHERE k < 500) c JOIN nodes n ON n.repo = c.repo AND n.file = 'src/building/m3.rs'")
+@query("SELECT c.node_id, n.id FROM (SELECT DISTINCT node_id, repo FROM commits) c JOIN nodes n ON n.repo = c.repo AND n.file = 'src/building/m3.rs'")
 def j32_bridge(t):
-    hits = t.commits.filter("k < 500").select("node_id", "repo", F.lit("src/building/m3.rs").alias("file")).distinct()
+    hits = t.commits.select("node_id", "repo", F.lit("src/building/m3.rs").alias("file")).distinct()
     return hits.join(t.nodes.select("repo", "file", "id"), ["repo", "file"]).select("node_id", "id")
 
 
@@ -544,11 +543,11 @@ def a10_federated_summary(t):
 
 
 @query("""
-  WITH RECURSIVE l AS (SELECT DISTINCT p.repo AS producer, u.repo AS consumer FROM uses u JOIN packages p ON p.package = u.package AND p.repo <> u.repo WHERE u.package IN ('pkg3', 'pkg11')),
+  WITH RECURSIVE l AS (SELECT DISTINCT p.repo AS producer, u.repo AS consumer FROM uses u JOIN packages p ON p.package = u.package AND p.repo <> u.repo ),
   w AS (SELECT 'repo3' AS repo, 0 AS d UNION SELECT consumer, d + 1 FROM w JOIN l ON producer = w.repo WHERE d < 5)
   SELECT repo AS id, min(d) AS distance FROM w GROUP BY repo HAVING min(d) > 0""")
 def g9_repo_reachability(t):
-    links = resolve.package_links(t.uses.filter("package in ('pkg3', 'pkg11')"), t.packages, t.exports).select(F.col("to_repo").alias("src"), F.col("from_repo").alias("dst")).distinct().withColumn("kind", F.lit("feeds"))
+    links = resolve.package_links(t.uses, t.packages, t.exports).select(F.col("to_repo").alias("src"), F.col("from_repo").alias("dst")).distinct().withColumn("kind", F.lit("feeds"))
     return traverse.reachable(links, t.spark.createDataFrame([("repo3",)], "id string"), "feeds")
 
 
@@ -572,9 +571,9 @@ def a13_paths_digest(t):
     return atlas.paths_digest(t.touched)
 
 
-@query("SELECT repo, package, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM exports WHERE package = 'pkg7' GROUP BY ALL")
+@query("SELECT repo, package, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM exports GROUP BY ALL")
 def a14_exports_per_package(t):
-    return t.exports.filter("package = 'pkg7'").groupBy("repo", "package").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    return t.exports.groupBy("repo", "package").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
 
 
 @query("SELECT name, min(file) AS file FROM symbols GROUP BY name HAVING count(DISTINCT file) = 1")
@@ -592,21 +591,15 @@ def a17_repo_summary(t):
     return atlas.repo_summary(t.repos)
 
 
-@query("SELECT 1::BIGINT AS dead")
-def a19_dead_hints(t):
-    hints = t.spark.createDataFrame(HINTS, "hint string, side string, repo string, symbol string, signature string")
-    return api.dead_hints(hints, api.hinted_links(hints, t.nodes, t.operations))
-
-
 @query(f"SELECT node_id, hash, committed_at FROM commits JOIN repos USING (repo) WHERE visibility <> 'proprietary' ORDER BY committed_at DESC, node_id DESC LIMIT 25")
 def o5_timeline_newest(t):
     return atlas.shown(atlas.gated(t.commits, t.repos), 25).select("node_id", "hash", "committed_at")
 
 
-@query("SELECT q.vec_id AS query_id, e.vec_id AS id, place FROM (SELECT * FROM embeddings WHERE vec_id IN (0, 7)) q, LATERAL (SELECT vec_id, row_number() OVER (ORDER BY round(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, vec_id)::INT AS place FROM embeddings x WHERE x.vec_id <> q.vec_id) e WHERE place <= 10")
+@query("SELECT q.vec_id AS query_id, e.vec_id AS id, place FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, LATERAL (SELECT vec_id, row_number() OVER (ORDER BY round(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, vec_id)::INT AS place FROM embeddings x WHERE x.vec_id <> q.vec_id) e WHERE place <= 10")
 def o6_vector_topk(t):
     rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    q = rows.filter("id in (0, 7)").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    q = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return vectors.nearest(rows, q).select("query_id", "id", "place")
 
 
@@ -764,10 +757,10 @@ def c25_structural_embedder(t):
     return _cells(vectors.structural_vectors(profile, 64), "key")
 
 
-@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id = 1")
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 2")
 def c26_cosine(t):
-    one = t.embeddings.filter("vec_id = 1").select(F.col("embedding").alias("other"))
-    return t.embeddings.join(F.broadcast(one)).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
+    other = t.embeddings.select(F.col("vec_id").alias("other_id"), F.col("embedding").alias("other"))
+    return t.embeddings.join(other, F.floor(F.col("vec_id") / 2) == F.col("other_id")).select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -24,8 +24,7 @@ RUST = "concat('// part ', CAST(p_partkey AS STRING), chr(10), 'pub fn ', replac
 
 
 def _rust_files(t):
-    t.part.createOrReplaceTempView("part")
-    return t.spark.sql(f"SELECT concat('src/f', CAST(p_partkey AS STRING), '.rs') AS path, 'rust' AS language, concat({RUST}, 'struct S', CAST(p_partkey AS STRING), ';', chr(10)) AS text FROM part")
+    return t.sql(f"SELECT concat('src/f', CAST(p_partkey AS STRING), '.rs') AS path, 'rust' AS language, concat({RUST}, 'struct S', CAST(p_partkey AS STRING), ';', chr(10)) AS text FROM part")
 
 
 @query("""
@@ -48,8 +47,7 @@ ROUTE = "concat('@app.', CASE p_partkey % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post'
   SELECT concat('api/p', CAST(p_partkey AS VARCHAR), '.py') AS file, 'endpoint' AS kind, CASE p_partkey % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'DELETE' END AS method, concat('/', replace(p_name, ' ', '/'), '/{id}') AS path, concat('h', CAST(p_partkey AS VARCHAR)) AS handler FROM part
   UNION ALL SELECT concat('api/p', CAST(p_partkey AS VARCHAR), '.py'), 'client_call', 'GET', concat('https://', lower(p_brand), '.example/x/'), NULL FROM part""")
 def x3_x7_routes_and_clients(t):
-    t.part.createOrReplaceTempView("part")
-    files = t.spark.sql(f"SELECT concat('api/p', CAST(p_partkey AS STRING), '.py') AS path, 'python' AS language, {ROUTE} AS text FROM part")
+    files = t.sql(f"SELECT concat('api/p', CAST(p_partkey AS STRING), '.py') AS path, 'python' AS language, {ROUTE} AS text FROM part")
     return code.operations_of(code.facts(files), "r").select("file", "kind", "method", "path", "handler")
 
 
@@ -66,8 +64,7 @@ def x10_sql_access(t):
     def accesses(sql: pd.Series) -> pd.Series:
         return sql.map(lambda s: [{"access": a, "name": n} for a, n in access(s)])
 
-    t.orders.createOrReplaceTempView("orders")
-    rows = t.spark.sql(f"SELECT o_orderkey, {STATEMENT} AS sql FROM orders")
+    rows = t.sql(f"SELECT o_orderkey, {STATEMENT} AS sql FROM orders")
     return rows.select("o_orderkey", F.explode(accesses("sql")).alias("a")).select("o_orderkey", "a.access", "a.name")
 
 
@@ -97,15 +94,13 @@ def s24_contributors(t):
 
 @query("SELECT concat('m', CAST(s_suppkey AS VARCHAR), '/Cargo.toml') AS path, concat('pkg', CAST(s_suppkey AS VARCHAR)) AS name, 'package' AS kind FROM supplier UNION ALL SELECT concat('m', CAST(s_suppkey AS VARCHAR), '/Cargo.toml'), concat('dep', CAST(s_nationkey AS VARCHAR)), 'dependencies' FROM supplier")
 def s16_manifests(t):
-    t.supplier.createOrReplaceTempView("supplier")
-    files = t.spark.sql("SELECT concat('m', CAST(s_suppkey AS STRING), '/Cargo.toml') AS path, concat('[package]', chr(10), 'name = \"pkg', CAST(s_suppkey AS STRING), '\"', chr(10), '[dependencies]', chr(10), 'dep', CAST(s_nationkey AS STRING), ' = \"1\"', chr(10)) AS text FROM supplier")
+    files = t.sql("SELECT concat('m', CAST(s_suppkey AS STRING), '/Cargo.toml') AS path, concat('[package]', chr(10), 'name = \"pkg', CAST(s_suppkey AS STRING), '\"', chr(10), '[dependencies]', chr(10), 'dep', CAST(s_nationkey AS STRING), ' = \"1\"', chr(10)) AS text FROM supplier")
     return manifests.manifests(files).select("path", "name", "kind")
 
 
 @query("SELECT concat('s', CAST(n_nationkey AS VARCHAR), '.proto') AS path, 'grpc' AS protocol, concat('p', CAST(n_regionkey AS VARCHAR), '.S/Get', CAST(n_nationkey AS VARCHAR)) AS operation FROM nation")
 def s12_protobuf(t):
-    t.nation.createOrReplaceTempView("nation")
-    files = t.spark.sql("SELECT concat('s', CAST(n_nationkey AS STRING), '.proto') AS path, concat('package p', CAST(n_regionkey AS STRING), ';', chr(10), 'service S {', chr(10), '  rpc Get', CAST(n_nationkey AS STRING), ' (A) returns (B);', chr(10), '}', chr(10)) AS text FROM nation")
+    files = t.sql("SELECT concat('s', CAST(n_nationkey AS STRING), '.proto') AS path, concat('package p', CAST(n_regionkey AS STRING), ';', chr(10), 'service S {', chr(10), '  rpc Get', CAST(n_nationkey AS STRING), ' (A) returns (B);', chr(10), '}', chr(10)) AS text FROM nation")
     return schemas.schema_operations(files).select("path", "protocol", "operation")
 
 
@@ -121,17 +116,16 @@ def e5_cypher_grouping(t):
     return cypher.run(g.nodes, g.edges, "MATCH (a) WHERE a.language = 'rust' RETURN a.kind AS k, count(a) AS n ORDER BY n DESC")
 
 
-@query("SELECT 'node' AS grp, count(*) AS n FROM symbols WHERE k < 100 UNION ALL SELECT 'edge', count(*) FROM edges WHERE src IN (SELECT id FROM symbols WHERE k < 100) AND dst IN (SELECT id FROM symbols WHERE k < 100)")
+@query("SELECT 'node' AS grp, count(*) AS n FROM nodes UNION ALL SELECT 'edge', count(*) FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)")
 def k11_graph_view(t):
-    ids = t.symbols.filter("k < 100").select("id")
-    return tables.graph_elements(t.nodes.join(ids, "id", "left_semi"), t.edges).groupBy(F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.graph_elements(t.nodes, t.edges).groupBy(F.col("group").alias("grp")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'old' AS space, 'm' AS model, vec_id FROM embeddings WHERE label % 2 = 0 UNION ALL SELECT 'new', 'm', vec_id FROM embeddings WHERE vec_id < 50")
+@query("SELECT 'old' AS space, 'm' AS model, vec_id FROM embeddings WHERE label % 2 = 0 UNION ALL SELECT 'new', 'm', vec_id FROM embeddings WHERE label % 3 = 0")
 def k7_replace_namespace(t):
     e = t.embeddings.select(F.expr("case when label % 2 = 0 then 'old' else 'new' end").alias("space"), F.lit("m").alias("model"), F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"))
-    new = t.embeddings.filter("vec_id < 50").select(F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"))
-    twice = new.unionByName(new.withColumn("ordinal", F.col("ordinal") + 1000))
+    new = t.embeddings.filter("label % 3 = 0").select(F.col("vec_id").alias("ordinal"), F.col("vec_id").alias("node_id"), F.col("embedding").alias("vector"))
+    twice = new.unionByName(new.withColumn("ordinal", F.col("ordinal") + 1_000_000_000))
     return tables.replace_namespace(e, "new", "m", twice).select("space", "model", F.col("node_id").alias("vec_id"))
 
 

@@ -6,6 +6,7 @@ Every view is one SQL text that Spark and DuckDB both run, so that queries and t
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -135,7 +136,18 @@ class Tables:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         if name not in VIEWS:
             raise AttributeError(name)
-        for t in TABLES:
-            if any(t in re.findall(r"\w+", VIEWS[v]) for v in needed([name])):
-                self.spark.read.parquet(f"{self.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return self.spark.sql(with_views(f"SELECT * FROM {name}", "spark"))
+        return self.sql(f"SELECT * FROM {name}")
+
+    def sql(self, text: str) -> DataFrame:
+        """SQL over the tables and views, which get no names in the session that others could have."""
+        body = with_views(text, "spark").strip()
+        used = [t for t in TABLES if t in re.findall(r"\w+", body)]
+        names = {t: f"given_{uuid.uuid4().hex}" for t in used}
+        for t, name in names.items():
+            getattr(self, t).createTempView(name)
+        ctes = ", ".join(f"{t} AS (SELECT * FROM {name})" for t, name in names.items())
+        try:
+            return self.spark.sql(f"WITH {ctes}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {ctes} {body}" if ctes else body)
+        finally:
+            for name in names.values():
+                self.spark.catalog.dropTempView(name)

@@ -327,17 +327,17 @@ def _document(rows: list[dict]) -> None:
                 d["doc"] = "\n".join(reversed(above))
 
 
-def extract_file(path: str, language: str | None, text: str, extra: dict | None = None) -> list[dict]:
+def extract_file(path: str, language: str | None, text: str, extra: dict | None = None, dialects: dict | None = None) -> list[dict]:
     """All facts of one file."""
     rows: list[dict] = list(sql_facts(language, path, text))
     own = (extra if extra is not None else EXTRACTORS).get(language or path.rsplit(".", 1)[-1])
     if own:
         rows += list(own(path, text))
-    elif language:
+    elif language and not path.endswith((".sql", ".cypher", ".cql")):
         rows += list(by_ast(language, text) if language == "python" else by_patterns(language, text))
         rows += list(symbol_imports(language, text))
         said = masked(language, text, strings=False)
-        for dialect in DIALECTS.values():
+        for dialect in (DIALECTS if dialects is None else dialects).values():
             for f in dialect(language, said):
                 rows.append({"fact": f["fact"], "name": f["name"], "method": f["method"], "api_path": f["path"], "target": f["target"], "start_line": f["line"]})
     _nest(rows)
@@ -348,13 +348,13 @@ def extract_file(path: str, language: str | None, text: str, extra: dict | None
 
 def facts(files: DataFrame) -> DataFrame:
     """Facts of files(path, language, text)."""
-    extra = dict(EXTRACTORS)
+    extra, dialects = dict(EXTRACTORS), dict(DIALECTS)  # what is registered now goes along to the workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t is not None:
-                    rows = extract_file(p, g, t, extra)
+                    rows = extract_file(p, g, t, extra, dialects)
                     yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in COLUMNS} for r in rows], schema=_ARROW)
 
     return files.select("path", "language", "text").mapInArrow(run, FACTS)

@@ -7,6 +7,7 @@ import subprocess
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,6 +100,17 @@ def changes(spark, diff: str) -> DataFrame:
     return spark.createDataFrame([(r["file"], r["deleted"], [(x["start"], x["end"]) for x in r["ranges"]]) for r in parse_diff(diff)], CHANGES)
 
 
+def changes_of(diffs: DataFrame) -> DataFrame:
+    """The files and ranges of diffs(diff), one unified diff a row."""
+
+    def run(parts):
+        for f in parts:
+            rows = [r for d in f["diff"].dropna() for r in parse_diff(d)]
+            yield pd.DataFrame(rows, columns=["file", "deleted", "ranges"])
+
+    return diffs.select("diff").mapInPandas(run, CHANGES)
+
+
 def contributors(commits: DataFrame, n: int = 100) -> DataFrame:
     """The n authors of each repository with most commits."""
     c = commits.groupBy("repo", "author", "email").agg(F.count(F.lit(1)).alias("commits"))

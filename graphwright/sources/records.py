@@ -11,18 +11,26 @@ _ITEM = "array<struct<name: string, total_seconds: double>>"
 #: Dimensions of tracked time.
 DIMENSIONS = ["projects", "languages", "editors", "operating_systems", "categories", "machines"]
 SUMMARIES = "data array<struct<range: struct<date: string>, grand_total: struct<total_seconds: double>, " + ", ".join(f"{d}: {_ITEM}" for d in DIMENSIONS) + ">>"
-FORGE = "id bigint, full_name string, private boolean, fork boolean, archived boolean, owner struct<login: string, type: string>, clone_url string"
+FORGE_FIELDS = ["id bigint", "full_name string", "private boolean", "fork boolean", "archived boolean", "owner struct<login: string, type: string>", "clone_url string"]
+
+
+def documents_of(spark: SparkSession, path: str) -> DataFrame:
+    """The JSON texts (json) under a path, one a file."""
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "json")
+
+
+def registry_of(texts: DataFrame) -> DataFrame:
+    """Registered repositories of JSON texts(json); one that can't be read registers none."""
+    return texts.select(F.explode(F.from_json("json", f"struct<{REGISTRY.replace('repos array', 'repos: array', 1)}>")["repos"]).alias("r")).select("r.*")
 
 
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Registered repositories; a file that can't be read registers none."""
-    rows = spark.read.schema(REGISTRY).option("multiLine", True).json(path)
-    return rows.select(F.explode("repos").alias("r")).select("r.*")
+    return registry_of(documents_of(spark, path))
 
 
-def tracked_time(spark: SparkSession, path: str) -> DataFrame:
-    """(day, dimension, name, seconds) of daily summaries, with the day's total as a dimension of its own."""
-    d = spark.read.schema(SUMMARIES).option("multiLine", True).json(path).select(F.explode("data").alias("d"))
+def tracked_time_of(texts: DataFrame) -> DataFrame:
+    """(day, dimension, name, seconds) of daily summaries(json), with the day's total as a dimension of its own."""
+    d = texts.select(F.explode(F.from_json("json", f"struct<{SUMMARIES.replace('data array', 'data: array', 1)}>")["data"]).alias("d"))
     parts = [d.select(F.col("d.range.date").alias("day"), F.lit(n).alias("dimension"), F.explode(f"d.{n}").alias("x")).select("day", "dimension", "x.name", F.col("x.total_seconds").cast("long").alias("seconds")) for n in DIMENSIONS]
     out = d.select(F.col("d.range.date").alias("day"), F.lit("total").alias("dimension"), F.lit("total").alias("name"), F.col("d.grand_total.total_seconds").cast("long").alias("seconds"))
     for p in parts:
@@ -30,13 +38,23 @@ def tracked_time(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def forge_repos(spark: SparkSession, path: str, forks: bool = False, archived: bool = False, organizations: bool = True) -> DataFrame:
-    """Repositories of a captured account listing, without forks, archived or organizations' ones unless asked for."""
-    rows = spark.read.schema(FORGE).option("multiLine", True).json(path)
+def tracked_time(spark: SparkSession, path: str) -> DataFrame:
+    return tracked_time_of(documents_of(spark, path))
+
+
+def forge_repos_of(texts: DataFrame, forks: bool = False, archived: bool = False, organizations: bool = True) -> DataFrame:
+    """Repositories of listings(json), an array or one object each, without forks, archived or organizations' ones unless asked for."""
+    kind = f"struct<{', '.join(c.strip().replace(' ', ': ', 1) for c in FORGE_FIELDS)}>"
+    one = F.array(F.from_json("json", kind))
+    rows = texts.select(F.explode(F.when(F.ltrim("json").startswith("["), F.from_json("json", f"array<{kind}>")).otherwise(one)).alias("r")).select("r.*").filter("id is not null")
     keep = (F.lit(forks) | ~F.coalesce("fork", F.lit(False))) & (F.lit(archived) | ~F.coalesce("archived", F.lit(False)))
     return rows.filter(keep & (F.lit(organizations) | (F.coalesce("owner.type", F.lit("User")) == "User")))
 
 
+def forge_repos(spark: SparkSession, path: str, **how) -> DataFrame:
+    return forge_repos_of(documents_of(spark, path), **how)
+
+
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """Embeddings of JSON lines; a namespace with vectors of different lengths fails the query."""
     rows = spark.read.schema(EMBEDDING).json(path).filter("node_id is not null and vector is not null")

@@ -40,10 +40,20 @@ def saved_heads(log: DataFrame) -> DataFrame:
     return log.groupBy("repo").agg(F.max_by("hash", "ordinal").alias("head"))
 
 
-def auto_ignore(state: DataFrame, limit: int = 3) -> DataFrame:
-    """state(repo, ok, failures): the next count of failures, and whether the repository is to be ignored."""
-    n = F.when(F.col("ok"), 0).otherwise(F.col("failures") + 1)
-    return state.withColumn("failures", n).withColumn("ignored", n >= limit)
+def auto_ignore(walks: DataFrame) -> DataFrame:
+    """walks(repo, everyone, kept, full_walk, cached) with what becomes of each repository on the ignore list.
+
+    One with commits of mine is taken off the list; one whose whole history, in a cache of its own, has none is put on it.  An
+    incremental walk that finds nothing says nothing, nor does one for everyone's commits or in somebody's own clone.
+    """
+    action = F.when(F.col("everyone"), "keep").when(F.col("kept") >= 1, "unignore").when(F.col("full_walk") & F.col("cached"), "ignore").otherwise("keep")
+    return walks.withColumn("action", action)
+
+
+def ignore_list(ignored: DataFrame, decided: DataFrame) -> DataFrame:
+    """The next list(repo) from the present one and auto_ignore()'s rows."""
+    kept = ignored.select("repo").join(decided.filter("action = 'unignore'").select("repo"), "repo", "left_anti")
+    return kept.unionByName(decided.filter("action = 'ignore'").select("repo")).distinct()
 
 
 def replay_journal(lines: DataFrame, schema: str) -> DataFrame:
