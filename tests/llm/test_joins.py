@@ -8,7 +8,8 @@ from hashlib import sha256
 import pytest
 from pyspark.sql import functions as F
 
-from graphwright.llm import chat, components, mixing, ngram_join, sharding, substring
+from graphwright.llm import chat, mixing, ngram_join, sharding, substring
+from graphwright.operators import components
 from tests.llm.common import CLASHES, corpus, frame, with_clashes
 
 SPACES = re.compile(r"[^\x20\x09-\x0D]+")
