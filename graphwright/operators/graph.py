@@ -134,12 +134,32 @@ class Graph:
         return self.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy("kind")
 
 
+#: Widths of the bins that spans are kept in, as powers of two: a span is in the narrowest bin that holds all of it.
+BINS = [3, 6, 9, 12, 15, 18, 21, 24, 27, 30]
+
+
+def binned(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """spans with the bin that each is in: (bits, bin)."""
+    bits = F.expr(f"coalesce(array_min(filter(array({', '.join(map(str, BINS))}), l -> shiftright({start}, l) = shiftright({end}, l))), 31)")
+    return spans.withColumn("bits", bits).withColumn("bin", F.expr(f"case when bits = 31 then 0 else shiftright({start}, bits) end"))
+
+
+def probes(rows: DataFrame, start: str, end: str) -> DataFrame:
+    """rows once for every bin that meets the positions from start to end: (bits, bin)."""
+    each = [f"transform(sequence(shiftright({start}, {l}), shiftright({end}, {l})), b -> named_struct('bits', {l}, 'bin', b))" for l in BINS]
+    return rows.withColumn("_probe", F.explode(F.expr(f"concat({', '.join(each)}, array(named_struct('bits', 31, 'bin', 0)))"))).withColumns({"bits": F.col("_probe.bits"), "bin": F.col("_probe.bin")}).drop("_probe")
+
+
 def innermost(sites: DataFrame, spans: DataFrame, strict: bool = False) -> DataFrame:
-    """Interval join: for sites(file, site, at), the innermost of spans(file, id, start, end) that holds it."""
-    a, b = sites.alias("a"), spans.alias("b")
-    holds = (F.col("b.start") < F.col("a.at")) & (F.col("a.at") < F.col("b.end")) if strict else (F.col("b.start") <= F.col("a.at")) & (F.col("a.at") <= F.col("b.end"))
-    size = (F.col("b.end") - F.col("b.start")).alias("size")
-    best = a.join(b, (F.col("a.file") == F.col("b.file")) & holds).groupBy("a.file", "a.site").agg(F.min(F.struct(size, F.col("b.id").alias("id"))).alias("m"))
+    """Interval join: for sites(file, site, at), the innermost of spans(file, id, start, end) that holds it.
+
+    Spans meet the sites of their bin of the file alone, so that a file with very many of both isn't one group.
+    """
+    a = probes(sites.select("file", "site", F.col("at").cast("int").alias("at")), "at", "at")
+    b = binned(spans.select("file", "id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")), "start", "end")
+    holds = (F.col("start") < F.col("at")) & (F.col("at") < F.col("end")) if strict else (F.col("start") <= F.col("at")) & (F.col("at") <= F.col("end"))
+    size = (F.col("end") - F.col("start")).alias("size")
+    best = a.join(b, ["file", "bits", "bin"]).filter(holds).groupBy("file", "site").agg(F.min(F.struct(size, "id")).alias("m"))
     return best.select("file", "site", F.col("m.id").alias("id"))
 
 
@@ -158,10 +178,13 @@ def changed_symbols(changes: DataFrame, nodes: DataFrame) -> DataFrame:
     """Range-overlap join: changes(file, deleted, ranges array<struct<start,end>>) to a row per file and node, with its outcome.
 
     outcome: removed (the file was deleted), seed (a node overlaps; a file without ranges seeds all its nodes), unresolved.
+    Nodes meet the ranges in their bin of the file alone.
     """
     ranges = changes.filter("not deleted").select("file", F.explode_outer("ranges").alias("r"))
-    a, b = ranges.alias("a"), nodes.filter("start_line is not null").alias("b")
-    overlap = F.col("a.r").isNull() | ((F.col("b.start_line") <= F.col("a.r.end")) & (F.col("a.r.start") <= F.col("b.end_line")))
-    hits = a.join(b, (F.col("a.file") == F.col("b.file")) & overlap).select(F.col("a.file").alias("file"), F.col("b.id").alias("id")).distinct()
+    spans = nodes.filter("start_line is not null").select("file", "id", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"))
+    whole = ranges.filter("r is null").select("file").distinct().join(spans.select("file", "id"), "file")
+    part = probes(ranges.filter("r is not null").select("file", F.col("r.start").cast("int").alias("low"), F.greatest(F.col("r.end"), F.col("r.start")).cast("int").alias("high")), "low", "high")
+    near = part.join(binned(spans, "start_line", "end_line"), ["file", "bits", "bin"]).filter((F.col("start_line") <= F.col("high")) & (F.col("low") <= F.col("end_line")))
+    hits = whole.unionByName(near.select("file", "id")).distinct()
     out = changes.select("file", "deleted").join(hits, "file", "left")
     return out.select("file", "id", F.when(F.col("deleted"), "removed").when(F.col("id").isNull(), "unresolved").otherwise("seed").alias("outcome"))

@@ -167,11 +167,11 @@ def j1_innermost_span(t):
 
 
 @query("""
-  WITH sites AS (SELECT DISTINCT file, start_line + 4 AS at_ FROM nodes WHERE kind = 'method'), spans AS (SELECT file, start_line AS s, min(id) AS id FROM nodes WHERE kind = 'function' GROUP BY ALL)
+  WITH sites AS (SELECT DISTINCT file, start_line + 4 AS at_ FROM nodes WHERE kind = 'function'), spans AS (SELECT file, start_line AS s, min(id) AS id FROM nodes WHERE kind = 'function' GROUP BY ALL)
   SELECT x.file, CAST(x.at_ AS VARCHAR) AS site, id FROM sites x ASOF JOIN spans p ON x.file = p.file AND x.at_ >= p.s""")
 def j1_preceding(t):
     n = t.nodes
-    sites = n.filter("kind = 'method'").selectExpr("file", "start_line + 4 as site", "start_line + 4 as at").distinct()
+    sites = n.filter("kind = 'function'").selectExpr("file", "start_line + 4 as site", "start_line + 4 as at").distinct()
     return preceding(sites, n.filter("kind = 'function'").selectExpr("file", "id", "start_line as start"))
 
 

@@ -446,6 +446,14 @@ def o7_gated_topk(t):
     return vectors.nearest(rows.filter("label % 3 <> 0").select("id", "vector"), q).select("query_id", "id", "place")
 
 
+@query("SELECT true AS enough, count(*) * 10 AS rows FROM embeddings WHERE vec_id % 20 = 0")
+def o6_index_recall(t):
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    q = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = Settled(vectors.Index(rows, cells=16).search(q, probes=10)).df
+    return vectors.recall(found, vectors.nearest(rows, q)).select((F.col("recall") >= 0.9).alias("enough")).join(found.agg(F.count(F.lit(1)).alias("rows")))
+
+
 @query(f"""
   WITH p AS (SELECT repo AS key, concat('nk:', kind) AS f, count(*) AS n FROM nodes GROUP BY ALL UNION ALL SELECT repo, concat('lang:', language), count(DISTINCT file) FROM nodes WHERE language IS NOT NULL GROUP BY ALL
     UNION ALL SELECT n.repo, concat('ek:', e.kind), count(*) FROM edges e JOIN nodes n ON n.id = e.src GROUP BY ALL),
