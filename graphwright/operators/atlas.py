@@ -116,12 +116,19 @@ def top_values(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
 
 
 def paths_digest(paths: DataFrame, key: str = "node_id", path: str = "path", dirs: int = 12, extensions: int = 8) -> DataFrame:
-    """Per key, the most frequent directories and then extensions of its paths, in one string."""
+    """Per key, the most frequent directories and then extensions of its paths, in one string.
+
+    Paths are dealt by key once; counts, places and the text need no other shuffle.
+    """
     parts = F.filter(F.split(F.lower(path), "/"), lambda s: s != "")
-    d = paths.select(key, F.explode(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("v"))
-    e = paths.select(key, F.regexp_extract(F.lower(path), r"[^/]\.([^./]{1,8})$", 1).alias("v")).filter("v <> ''")
-    both = top_values(d, key, "v", dirs).withColumn("o", F.lit(0)).unionByName(top_values(e, key, "v", extensions).withColumn("o", F.lit(1)))
-    return both.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "place", "v"))), lambda x: x["v"]), " ").alias("digest"))
+    above = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda v: F.struct(F.lit(0).alias("o"), v.alias("v")))
+    ending = F.regexp_extract(F.lower(path), r"[^/]\.([^./]{1,8})$", 1)
+    values = F.concat(above, F.when(ending != "", F.array(F.struct(F.lit(1).alias("o"), ending.alias("v")))).otherwise(F.array().cast("array<struct<o:int,v:string>>")))
+    rows = paths.select(key, path).repartition(key).select(key, F.explode(values).alias("x")).select(key, "x.o", "x.v")
+    counted = rows.groupBy(key, "o", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.withColumn("place", F.row_number().over(W.partitionBy(key, "o").orderBy(F.desc("n"), "v")))
+    kept = placed.filter(F.col("place") <= F.when(F.col("o") == 0, dirs).otherwise(extensions))
+    return kept.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "place", "v"))), lambda x: x["v"]), " ").alias("digest"))
 
 
 def repo_digest(nodes: DataFrame, commits: DataFrame, imports: DataFrame, tagged: DataFrame, stop: list[str] = ("std", "core", "alloc", "self", "super", "crate"), deps: int = 15, tops: int = 12) -> DataFrame:

@@ -27,30 +27,54 @@ def unique(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(key))).filter("_n = 1").drop("_n")
 
 
+def _counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows(keys, target) to how many targets a key has, and the smallest and largest."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("low"), F.max("target").alias("high"))
+
+
+def _only(own: Column) -> Column:
+    """Of a counted group, the one target besides the anchor, which is in the group where own says so; null if there isn't exactly one."""
+    other = F.when(F.col("low") == F.col("anchor"), F.col("high")).otherwise(F.col("low"))
+    return F.when(F.col("n") - F.when(own, 1).otherwise(0) == 1, F.when(own, other).otherwise(F.col("low")))
+
+
 def resolve_names(pending: DataFrame, nodes: DataFrame, symbol_imports: DataFrame, file_imports: DataFrame) -> DataFrame:
     """pending(link, anchor, anchor_file, name, scope) to (link, anchor, target, tier).
 
     One candidate of the name is taken as it is (tier 0); of several, the first tier that leaves exactly one decides:
-    1 the receiver's scope, 2 the symbol's import, 3 the files that the anchor's file imports, 4 the same directory.
+    1 the receiver's scope, 2 the symbol's import, 3 the files that the anchor's file imports, 4 the same directory.  The anchor
+    itself is no candidate.  Links never meet all definitions of a name: every tier joins them with counted groups (name; name and
+    scope; name and file; name and directory), one row each, however common the name is.
     """
     named = nodes.select(F.col("id").alias("target"), "name", F.col("qualified_name").alias("q"), F.col("file").alias("target_file"))
-    c = pending.join(named, "name").filter("anchor <> target").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("link")))
+    anchors = nodes.select(F.col("id").alias("anchor"), F.col("name").alias("own_name"), F.col("qualified_name").alias("own_q"), F.col("file").alias("own_file"))
+    rows = pending.select("link", "anchor", "anchor_file", "name", "scope").join(anchors, "anchor", "left")
+    same = F.coalesce(F.col("own_name") == F.col("name"), F.lit(False))
     scoped = F.concat("scope", F.lit("::"), "name")
-    symbols = symbol_imports.select(F.col("file").alias("anchor_file"), "name", F.col("target_file"), F.lit(True).alias("by_symbol")).distinct()
-    files = file_imports.select(F.col("file").alias("anchor_file"), "target_file", F.lit(True).alias("by_file")).distinct()
-    c = c.join(symbols, ["anchor_file", "name", "target_file"], "left").join(files, ["anchor_file", "target_file"], "left")
-    tests = [
-        F.col("n") == 1,
-        F.coalesce((F.col("q") == scoped) | F.col("q").endswith(F.concat(F.lit("::"), scoped)), F.lit(False)),
-        F.coalesce("by_symbol", F.lit(False)),
-        F.coalesce("by_file", F.lit(False)),
-        directory(F.col("anchor_file")) == directory(F.col("target_file")),
+    keys = ["link", "anchor"]
+    found = [rows.join(_counted(named, "name"), "name").select(*keys, F.lit(0).alias("tier"), _only(same).alias("target"))]
+
+    parts = F.split("q", "::")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
+    by_scope = _counted(named.filter("q is not null").select("name", "target", F.explode(suffixes).alias("suffix")), "name", "suffix")
+    inside = same & F.coalesce((F.col("own_q") == F.col("suffix")) | F.col("own_q").endswith(F.concat(F.lit("::"), "suffix")), F.lit(False))
+    found.append(rows.withColumn("suffix", scoped).join(by_scope, ["name", "suffix"]).select(*keys, F.lit(1).alias("tier"), _only(inside).alias("target")))
+
+    by_file = _counted(named, "name", "target_file")
+    own = same & F.coalesce(F.col("own_file") == F.col("target_file"), F.lit(False))
+    imported = [
+        (2, rows.join(symbol_imports.select(F.col("file").alias("anchor_file"), "name", "target_file").distinct(), ["anchor_file", "name"])),
+        (3, rows.join(file_imports.select(F.col("file").alias("anchor_file"), "target_file").distinct(), "anchor_file")),
     ]
-    per = c.groupBy("link", "anchor").agg(*[x for i, t in enumerate(tests) for x in (F.count_if(t).alias(f"n{i}"), F.min(F.when(t, F.col("target"))).alias(f"t{i}"))])
-    target, tier = F.lit(None).cast("string"), F.lit(None).cast("int")
-    for i in reversed(range(len(tests))):
-        target, tier = F.when(F.col(f"n{i}") == 1, F.col(f"t{i}")).otherwise(target), F.when(F.col(f"n{i}") == 1, i).otherwise(tier)
-    return per.select("link", "anchor", target.alias("target"), tier.alias("tier")).filter("target is not null")
+    for tier, near in imported:  # several files may hold candidates, and all of them count
+        some = near.join(by_file, ["name", "target_file"]).select(*keys, F.when(own, F.col("n") - 1).otherwise(F.col("n")).alias("n"), _only(own).alias("one"))
+        found.append(some.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("one").alias("one")).select(*keys, F.lit(tier).alias("tier"), F.when(F.col("n") == 1, F.col("one")).alias("target")))
+
+    by_dir = _counted(named.withColumn("dir", directory(F.col("target_file"))), "name", "dir")
+    beside = same & F.coalesce(directory(F.col("own_file")) == F.col("dir"), F.lit(False))
+    found.append(rows.withColumn("dir", directory(F.col("anchor_file"))).join(by_dir, ["name", "dir"]).select(*keys, F.lit(4).alias("tier"), _only(beside).alias("target")))
+    best = reduce(DataFrame.unionByName, found).filter("target is not null").groupBy(*keys).agg(F.min(F.struct("tier", "target")).alias("b"))
+    return best.select("link", "anchor", F.col("b.target").alias("target"), F.col("b.tier").alias("tier"))
 
 
 def join_path(base: Column, relative: Column) -> Column:
