@@ -76,13 +76,13 @@ class Settled:
 
 
 @contextlib.contextmanager
-def lifetime(*keep: Settled) -> Iterator[None]:
-    """Settled tables that are made inside are dropped at the end; what is lazy must have been written by then."""
-    before = set(_paths)
+def lifetime() -> Iterator[list[Settled]]:
+    """Settled tables that are made inside are dropped at the end, but for those put in the list; what is lazy must have been written by then."""
+    before, kept = set(_paths), []
     try:
-        yield
+        yield kept
     finally:
-        for x in [x for x in _paths if x not in before and x not in keep]:
+        for x in [x for x in _paths if x not in before and x not in kept]:
             x.drop()
 
 

@@ -16,16 +16,19 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 #: Framing of log text: records, fields, co-authors.
 RECORD, FIELD, ITEM = "\x1e", "\x1f", "\x1d"
 FORMAT = f"{RECORD}%H{FIELD}%ct{FIELD}%an{FIELD}%ae{FIELD}%s{FIELD}%(trailers:key=Co-authored-by,valueonly,separator={ITEM})"
-LOG_SCHEMA = "repo string, log string"
+LOG_SCHEMA = "repo string, part int, log string"
+#: Commits in one row of a log.
+PART = 2000
 
 
 def parse_log(logs: DataFrame) -> DataFrame:
-    """logs(repo, log) to a row per commit: hash, committed_at, author, email, subject, coauthors, files, ordinal (oldest first)."""
-    records = logs.select("repo", F.posexplode(F.split("log", RECORD)).alias("place", "record")).filter(F.trim("record") != "")
+    """logs(repo, log), in several parts if need be, to a row per commit: hash, committed_at, author, email, subject, coauthors, files, ordinal (oldest first)."""
+    part = F.col("part") if "part" in logs.columns else F.lit(0)
+    records = logs.select("repo", part.alias("part"), F.posexplode(F.split("log", RECORD)).alias("place", "record")).filter(F.trim("record") != "")
     lines = F.split("record", "\n")
     head = F.split(F.get(lines, F.lit(0)), FIELD)
     files = F.filter(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x) != "")
-    rows = records.select("repo", "place", head.alias("h"), files.alias("files")).filter(F.size("h") >= 5)
+    rows = records.select("repo", "part", "place", head.alias("h"), files.alias("files")).filter(F.size("h") >= 5)
     people = F.filter(F.split(F.coalesce(F.get("h", F.lit(5)), F.lit("")), ITEM), lambda x: F.trim(x) != "")
     return rows.select(
         "repo",
@@ -36,7 +39,7 @@ def parse_log(logs: DataFrame) -> DataFrame:
         F.get("h", F.lit(4)).alias("subject"),
         people.alias("coauthors"),
         "files",
-        F.row_number().over(W.partitionBy("repo").orderBy(F.desc("place"))).alias("ordinal"),
+        F.row_number().over(W.partitionBy("repo").orderBy(F.desc("part"), F.desc("place"))).alias("ordinal"),
     )
 
 
@@ -54,17 +57,28 @@ class _Reader(DataSourceReader):
         return [_Partition(name, root, self.heads.get(name)) for name, root in self.roots]
 
     def read(self, partition: _Partition) -> Iterator[tuple]:
-        def log(*revision: str) -> subprocess.CompletedProcess:
-            return subprocess.run(["git", "-C", partition.root, "log", "--no-merges", "--name-only", f"--pretty=format:{FORMAT}", *revision], capture_output=True, text=True, errors="replace")
-
-        run = log(f"{partition.head}..HEAD") if partition.head else log()
-        if run.returncode and partition.head:  # history was rewritten
-            run = log()
-        yield partition.repo, run.stdout
+        def git(*args: str) -> list[str]:
+            return ["git", "-C", partition.root, *args]
+
+        since = []
+        if partition.head:  # unless history was rewritten
+            known = subprocess.run(git("merge-base", "--is-ancestor", partition.head, "HEAD"), capture_output=True)
+            since = [f"{partition.head}..HEAD"] if known.returncode == 0 else []
+        run = subprocess.Popen(git("log", "--no-merges", "--name-only", f"--pretty=format:{FORMAT}", *since), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, errors="replace")
+        part, lines, seen = 0, [], 0
+        with run:
+            for line in run.stdout:
+                if line.startswith(RECORD):
+                    if seen == PART:
+                        yield partition.repo, part, "".join(lines)
+                        part, lines, seen = part + 1, [], 0
+                    seen += 1
+                lines.append(line)
+        yield partition.repo, part, "".join(lines)
 
 
 class GitLog(DataSource):
-    """spark.read.format("gitlog").option("repos", "name=/path;...").option("heads", "name=hash;..."): a row per repository, one partition each."""
+    """spark.read.format("gitlog").option("repos", "name=/path;...").option("heads", "name=hash;..."): a partition per repository, and a row for every PART commits."""
 
     @classmethod
     def name(cls) -> str:

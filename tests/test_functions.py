@@ -144,3 +144,32 @@ def test_similarity_graph_in_blocks(spark, monkeypatch):
         for s, b in sorted(near)[:3]:
             want[min(a, b), max(a, b)] = -s
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_settled_tables_have_lifetimes(spark, tmp_path):
+    from pathlib import Path
+
+    from graphwright.plans.scratch import Settled, lifetime, stable
+
+    there = lambda x: Path(x.path.removeprefix("file:")).exists()
+    outside = Settled(spark.range(2))
+    with lifetime() as kept:
+        inner, stays = Settled(spark.range(3), counted=True), Settled(spark.range(4))
+        kept.append(stays)
+        assert inner.rows == 3 and there(inner)
+    assert [there(x) for x in (outside, inner, stays)] == [True, False, True] and stays.df.count() == 4
+    outside.drop()
+    stays.drop()
+    plain = spark.range(5).withColumn("Join", F.lit("Sort Aggregate")).filter("id > 1")
+    assert stable(plain) is plain and stable(plain.distinct()) is not plain
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from graphwright.plans import scratch
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="yarn", applicationId="a"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(fake)
