@@ -6,6 +6,9 @@ doesn't depend on what follows, so the distinct pre-tokens of a batch are insert
 computed once, level by level for all nodes of a depth at a time: best(node) = max over pieces that end here of
 best(ancestor before the piece) + log p(piece).  Terminal nodes store the counts, and documents add them up.
 
+A task remembers the counts of at most ``KEPT`` words besides those of the texts at hand, so that a word that many texts have
+is inserted once; when there are more, it forgets the others.
+
 Which pieces end at a node is found by walking up from it along a trie of the reversed pieces; most walks end after
 a few bytes, and those that go on are handled together.
 
@@ -39,6 +42,8 @@ from graphwright.llm.words import SPACED, Piece, pieces
 UNKNOWN = -30.0
 #: Longer pre-tokens are cut alone, and so many of their bytes at a time.
 LONG, STRETCH = 256, 1 << 16
+#: Words whose counts a task remembers.
+KEPT = 1 << 18
 
 
 @dataclass
@@ -194,22 +199,35 @@ def counts(df: DataFrame, model: Model, text_col: str = "text", keys: tuple[str,
     shared = df.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_words", "n_tokens")] + [T.StructField("log_prob", T.DoubleType())])
 
+    def counted(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        order = sorted(range(len(words)), key=words.__getitem__)
+        ranked = [words[i] for i in order]
+        short = np.array([len(w) <= LONG for w in ranked], bool)
+        tokens, best = np.zeros(len(ranked), np.int64), np.zeros(len(ranked))
+        tokens[short], best[short] = count_tokens([w for w in ranked if len(w) <= LONG], shared.value)
+        for i in np.flatnonzero(~short):
+            tokens[i], best[i] = count_long(ranked[i], shared.value)
+        back = np.empty(len(words), np.int64)
+        back[order] = np.arange(len(words))
+        return tokens[back], best[back]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, known_tokens, known_best = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)  # sorted by hash
         for b in pieces(batches, text_col):
             p = Piece(b.column(text_col), SPACED)
-            _, one, which = np.unique(p.hash, return_index=True, return_inverse=True)
-            words = [p.word(i) for i in one]
-            order = sorted(range(len(words)), key=words.__getitem__)
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            ranked = [words[i] for i in order]
-            short = np.array([len(w) <= LONG for w in ranked], bool)
-            tokens, best = np.zeros(len(ranked), np.int64), np.zeros(len(ranked))
-            tokens[short], best[short] = count_tokens([w for w in ranked if len(w) <= LONG], shared.value)
-            for i in np.flatnonzero(~short):
-                tokens[i], best[i] = count_long(ranked[i], shared.value)
-            per = place[which]
-            sums = [np.bincount(p.doc, x[per], p.n) if len(per) else np.zeros(p.n) for x in (tokens, best)]
+            distinct, one, which = np.unique(p.hash, return_index=True, return_inverse=True)
+            at = np.searchsorted(known, distinct)
+            new = np.flatnonzero(known[np.minimum(at, len(known) - 1)] != distinct) if len(known) else np.arange(len(distinct))
+            if len(new):
+                tokens, best = counted([p.word(i) for i in one[new]])
+                if len(known) + len(new) > KEPT:  # of what is forgotten, this piece's words stay
+                    own = np.delete(at, new)
+                    known, known_tokens, known_best = known[own], known_tokens[own], known_best[own]
+                place = np.searchsorted(known, distinct[new])
+                known, known_tokens, known_best = (np.insert(x, place, y) for x, y in ((known, distinct[new]), (known_tokens, tokens), (known_best, best)))
+                at = np.searchsorted(known, distinct)
+            per = at[which]
+            sums = [np.bincount(p.doc, x[per], p.n) if len(per) else np.zeros(p.n) for x in (known_tokens, known_best)]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(np.diff(p.at)), pa.array(p.counts.astype(np.int64)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=schema.names)
 
     return df.select(*dict.fromkeys([*keys, text_col])).mapInArrow(run, schema)

@@ -127,7 +127,9 @@ def brute_tokens(word, scores):
     return best[-1][1], best[-1][0]
 
 
-def test_token_counts(spark):
+@pytest.mark.parametrize("kept", [1 << 18, 5])
+def test_token_counts(spark, kept, monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", kept)
     scores = {b"w": -2.0, b"w1": -2.5, b"edit": -3.0, b"1": -1.0, b"12": -1.5, b"the": -1.0, b"x": -1.0, b"\xc3\x9f": -4.0, b"tra": -2.0, b"ame": -2.0, b"same": -2.0}
     model = tokens.Model(scores)
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_words, r.n_tokens, round(r.log_prob, 6)) for r in tokens.counts(with_clashes(frame(spark)), model).collect())
@@ -139,6 +141,24 @@ def test_token_counts(spark):
     assert tokens.counts(frame(spark, []), model).count() == 0
 
 
+def test_token_counts_of_many_pieces(spark, monkeypatch):
+    """Words that are forgotten and counted again count alike."""
+    import random
+
+    rnd = random.Random(5)
+    some = ["".join(rnd.choice("abcde") for _ in range(rnd.randrange(1, 12))) for _ in range(3000)]
+    rows = [(i, " ".join(rnd.choice(some[i * 300 :]) for _ in range(90_000))) for i in range(6)]
+    model = tokens.Model({x.encode(): -float(len(x)) / 3 for x in some[::40]} | {b"a": -1.0, b"b": -2.0})
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = []
+    for kept in (1 << 18, 100):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        found.append(sorted((r.doc_id, r.n_tokens, round(r.log_prob, 4)) for r in tokens.counts(df, model).collect()))
+    distinct = sorted({w.encode() for _, t in rows for w in t.split()})
+    n = dict(zip(distinct, tokens.count_tokens(distinct, model)[0].tolist(), strict=True))
+    assert found[0] == found[1] and [x[1] for x in found[0]] == [sum(n[w.encode()] for w in t.split()) for _, t in rows]
+
+
 def test_token_count_of_one_long_word(spark):
     df = spark.createDataFrame([(1, "ab" * 3000), (2, "ab" * 400_000 + " ab")], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in tokens.counts(df, tokens.Model({b"ab": -1.0})).collect()}
