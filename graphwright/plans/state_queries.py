@@ -48,6 +48,18 @@ def s31_repo_roots(t):
     return files.repo_roots(inner)
 
 
+LAYERS = [
+    ("repo{n}", 0, "depth = 1\n[me]\nname = \"n{n}\"\nmail = \"m\"\n[[links]]\nto = \"a{n}\"\n"), ("repo{n}", 1, "depth = {n}\n[me]\nmail = \"x\"\n[[links]]\nto = \"b\"\n[[links]]\nto = \"c\"\n"), ("repo{n}", 2, "broken ="),
+    ("bare{n}", 0, ""),
+]
+
+
+@query(facts_sql(["repo", "config"], [("repo{n}", '{"depth":{n},"links":[{"to":"a{n}"},{"to":"b"},{"to":"c"}],"me":{"mail":"x","name":"n{n}"}}'), ("bare{n}", "{}")]))
+def u8_config_layers(t):
+    rows = texts(t, [(r, str(i), x) for r, i, x in LAYERS], ["repo", "layer", "text"])
+    return records.configs_of(rows.withColumn("layer", F.col("layer").cast("int")))
+
+
 @query(facts_sql(["path"], [("Cargo.toml{n}",), ("a/b{n}/package.json",)]))
 def s30_manifest_files(t):
     return records.manifest_files(texts(t, [("Cargo.toml{n}",), ("a/b{n}/package.json",), ("a/b/c{n}/package.json",)], ["path"]))

@@ -87,6 +87,27 @@ def merged_config(layers: list[str]) -> dict:
     return out | ({"links": links} if links else {})
 
 
+def configs_of(layers: DataFrame) -> DataFrame:
+    """layers(repo, layer, text) of TOML to (repo, config), the merged settings as JSON with sorted keys; a layer that can't be read is left out."""
+
+    def run(parts):
+        import json
+        import tomllib
+
+        def readable(text: str) -> bool:
+            try:
+                tomllib.loads(text)
+            except tomllib.TOMLDecodeError:
+                return False
+            return True
+
+        for f in parts:
+            yield f.assign(config=[json.dumps(merged_config([t for t in texts if readable(t)]), sort_keys=True, separators=(",", ":"), default=str) for texts in f["texts"]])[["repo", "config"]]
+
+    rows = layers.filter("text is not null").groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("layer", "text"))), lambda x: x["text"]).alias("texts"))
+    return rows.mapInPandas(run, "repo string, config string")
+
+
 def manifest_files(paths: DataFrame, depth: int = 3) -> DataFrame:
     """The paths(path) of at most so many segments."""
     return paths.filter(F.size(F.split("path", "/")) <= depth)
