@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -47,10 +45,15 @@ def fnv1a(text: pd.Series) -> pd.Series:
     return text.map(found)
 
 
-@F.pandas_udf(StringType())
-def repo_uuid(canonical_remote: pd.Series) -> pd.Series:
+#: Fixed value: the URL namespace of name-based UUIDs.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+
+
+def repo_uuid(canonical_remote: Column) -> Column:
     """The UUID (version 5, URL namespace) of a canonical remote."""
-    return canonical_remote.map(lambda x: None if x is None else str(uuid.uuid5(uuid.NAMESPACE_URL, x)))
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), canonical_remote.cast("binary")))
+    variant = F.get(F.array(*map(F.lit, "89ab")), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4)
+    return F.when(h.isNotNull(), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)))
 
 
 def forge_id(host: Column, number: Column) -> Column:

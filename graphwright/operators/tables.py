@@ -196,7 +196,8 @@ def as_yaml(df: DataFrame, name: str = "yaml") -> DataFrame:
     def value(c: str):
         kind = df.schema[c].dataType.simpleString()
         if kind != "string":
-            return F.coalesce(F.to_json(F.struct(F.col(f"`{c}`").alias("x"))).substr(6, 1_000_000) if kind.startswith(("array", "struct", "map")) else F.col(f"`{c}`").cast("string"), F.lit("null"))
+            nested = F.when(F.col(f"`{c}`").isNotNull(), F.to_json(F.col(f"`{c}`")))
+            return F.coalesce(nested if kind.startswith(("array", "struct", "map")) else F.col(f"`{c}`").cast("string"), F.lit("null"))
         plain = F.col(f"`{c}`").rlike(r"^[A-Za-z_/][A-Za-z0-9_ ./@-]*$") & ~F.lower(f"`{c}`").isin("true", "false", "null", "yes", "no", "on", "off", "y", "n") & ~F.col(f"`{c}`").endswith(" ")
         quoted = F.concat(F.lit('"'), F.replace(F.replace(F.replace(F.col(f"`{c}`"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
         return F.coalesce(F.when(plain, F.col(f"`{c}`")).otherwise(quoted), F.lit("null"))

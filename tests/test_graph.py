@@ -1,3 +1,4 @@
+import json
 import random
 from collections import deque
 
@@ -168,6 +169,21 @@ def test_sinks(spark, tmp_path):
     assert tables.same_rows(old, old.select("*")) and not tables.same_rows(old, new)
 
 
+def test_graph_page(spark):
+    nodes = spark.createDataFrame([("1", "</script>", "function", "a"), ("2", "b", "function", "a")], "id string, name string, kind string, file string")
+    edges = spark.createDataFrame([("1", "2", "calls", "extracted")], "src string, dst string, kind string, confidence string")
+    page = tables.graph_html(tables.graph_elements(nodes, edges), "a <b>")
+    assert page.count("</script>") == 2 and "<title>a &lt;b&gt;</title>" in page
+    data = json.loads(page.split('type="application/json">')[1].split("</script>")[0].replace("<\\/", "</"))
+    assert {x["data"].get("name") for x in data} == {"</script>", "b", None} and len(data) == 3
+
+
+def test_yaml_rows(spark):
+    rows = spark.createDataFrame([("yes", 'a "b"\nc', 1, [1, 2]), (None, "plain text", None, None)], "s string, t string, n int, l array<int>")
+    got = [r.yaml for r in tables.as_yaml(rows).collect()]
+    assert got == ['- l: [1,2]\n  n: 1\n  s: "yes"\n  t: "a \\"b\\"\\nc"', "- l: null\n  n: null\n  s: null\n  t: plain text"]
+
+
 def test_staleness(spark):
     rows = spark.createDataFrame([("a", "a", False, True), ("a", "b", True, True), ("a", None, False, True), (None, "b", False, True), ("a", "a", True, True)], "indexed_head string, head string, dirty boolean, schema_ok boolean")
     assert [r.state for r in atlas.staleness(rows).collect()] == ["fresh", "stale", "unknown", "stale", "stale"]
