@@ -6,7 +6,7 @@ splits where a node has very many links.  The links stay on the cluster; each ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphwright.plans.scratch import Settled
@@ -25,21 +25,21 @@ def _small(e: DataFrame) -> DataFrame:
     return down.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> Settled:
-    """From links (u, v) of longs, a settled table (node, component) of all nodes that have links; component: the smallest node."""
-    now = Settled(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def _mark() -> dict[str, Column]:
+    """What tells one round's links from the next one's."""
+    return {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
 
-    def mark(t: Settled) -> tuple:
-        return tuple(t.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = mark(now)
-    while True:
-        after = Settled(_small(_large(now.df)))
+def components(links: DataFrame) -> Settled:
+    """From links (u, v) of longs, a settled table (node, component) of all nodes that have links; component: the smallest node."""
+    now = Settled(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), observed=_mark())
+    while now.seen["n"]:
+        after = Settled(_small(_large(now.df)), observed=_mark())
         now.drop()
-        now, then = after, mark(after)
-        if then == before:
+        done, now = after.seen == now.seen, after
+        if done:
             break
-        before = then
-    out = Settled(now.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    own = F.explode(F.array("u", "v")).alias("node")
+    out = Settled(now.df.select(own, F.col("v").alias("component")).distinct())
     now.drop()
     return out

@@ -13,7 +13,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -54,20 +54,13 @@ def own_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-class Settled:
-    """A table written to the shared folder; ``df`` reads it again, and ``drop`` removes it when nothing needs it any more."""
+class Folder:
+    """A new folder in the shared one; ``drop`` removes it when nothing needs it any more."""
 
-    def __init__(self, df: DataFrame, spark: SparkSession | None = None, counted: bool = False):
-        self.spark = spark or df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/graphwright-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark)}/graphwright-{uuid.uuid4().hex}"
         _paths.append(self)
-        seen = Observation() if counted else None
-        rows = df.observe(seen, F.count(F.lit(1)).alias("n")) if counted else df
-        with own_shuffles(self.spark):
-            rows.write.parquet(self.path)
-        #: The number of rows, counted as they were written.
-        self.rows = seen.get["n"] if counted else None
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         if self in _paths:
@@ -75,8 +68,24 @@ class Settled:
             delete(self.spark, self.path)
 
 
+class Settled(Folder):
+    """A table written to a folder; ``df`` reads it again."""
+
+    def __init__(self, df: DataFrame, spark: SparkSession | None = None, counted: bool = False, observed: dict[str, Column] | None = None):
+        super().__init__(spark or df.sparkSession)
+        wanted = (observed or {}) | ({"n": F.count(F.lit(1))} if counted else {})
+        seen = Observation() if wanted else None
+        rows = df.observe(seen, *[x.alias(name) for name, x in wanted.items()]) if wanted else df
+        with own_shuffles(self.spark):
+            rows.write.parquet(self.path)
+        #: Aggregates of the rows as they were written, and their number.
+        self.seen = seen.get if wanted else {}
+        self.rows = self.seen.get("n")
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+
 @contextlib.contextmanager
-def lifetime() -> Iterator[list[Settled]]:
+def lifetime() -> Iterator[list[Folder]]:
     """Settled tables that are made inside are dropped at the end, but for those put in the list; what is lazy must have been written by then."""
     before, kept = set(_paths), []
     try:
@@ -87,7 +96,7 @@ def lifetime() -> Iterator[list[Settled]]:
 
 
 #: Bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's default of 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -113,7 +122,7 @@ def stable(df: DataFrame) -> DataFrame:
     return df if all(x in _CHEAP for x in _steps(plan)) else Settled(df).df
 
 
-_paths: list[Settled] = []
+_paths: list[Folder] = []
 
 
 @atexit.register
