@@ -10,13 +10,16 @@ without the first term where v wasn't seen.  V is the number of words and two ma
 All counts are over all documents and whole texts, and exact for every word and bigram (by 64-bit hashes).  Documents are
 dealt to chunks by a hash of id and text.  A chunk counts its distinct words, contexts and bigrams and asks for them:
 packed rows, dealt by key, so that a bigram that all texts have comes once from each chunk.  A part adds up its keys' counts
-and answers each chunk, and a chunk scores its documents with the answers.  The number of chunks and parts grows with the
-texts; nothing is gathered or broadcast.  Target documents are known by a join of ids alone.  A vocabulary of the most
+and answers each chunk that has any of them; the answers are settled, and a chunk scores its documents with them.  The number
+of chunks and parts grows with the texts, and the rows between them with the keys.  Of the models only their sizes reach the
+driver; nothing is broadcast.  Target documents are known by a join of ids alone.  A vocabulary of the most
 frequent words and hash slots for bigrams can be given instead; words outside the vocabulary are the rest then.
 
 Words are runs of letters (ASCII lower-cased), digits and non-ASCII characters.  Texts without words (or null) have no
-scores.  Repeated rows count as often as they are there.  Rows without an id are background.  An empty target gives
-a target model that is uniform; empty tables give no rows.
+scores.  Whole texts count, however long; one longer than a chunk is in it with others, or alone.  Repeated rows count as
+often as they are there and have the same scores (no ties are broken anywhere).  Rows without an id are background.  An empty
+target gives a target model that is uniform; empty tables give no rows.  Only the named columns are read, so extra ones don't
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphwright.llm.words import ALNUM, LOWER, Piece, among, mix, pieces
+from graphwright.plans.scratch import Settled
 
 #: Bytes of text in a chunk, on average.
 CHUNK = 8 << 20
@@ -120,6 +124,7 @@ class Chunk:
 
 
 ASKED = "part int, chunk long, asks boolean, n int, keys binary, background binary, target binary"
+#: Rows without a chunk have a part's totals.
 ANSWERED = "chunk long, part int, background binary, target binary, words long, n_background long, n_target long"
 
 
@@ -155,10 +160,11 @@ def _ask(shared, parts: int, counts: bool, asks: bool):
         n = len(c.keys)
         flag = pa.compute.is_in(docs.column("id"), value_set=flagged.column("good").combine_chunks()).to_numpy(zero_copy_only=False).astype(bool)
         whole, own = (c.sums(np.ones(len(flag), bool)), c.sums(flag)) if counts else (np.zeros(n, np.int64),) * 2
-        cut = [slice(a, b) for a, b in zip(c.edge[:-1], c.edge[1:], strict=True)]
+        full = np.flatnonzero(np.diff(c.edge))
+        cut = [slice(c.edge[x], c.edge[x + 1]) for x in full]
         keys = c.keys[c.order]
         chunk = docs.column("chunk")[0].as_py() if docs.num_rows else None
-        columns = [pa.array(range(parts), pa.int32()), pa.array([chunk] * parts, pa.int64()), pa.array([asks] * parts), pa.array(np.diff(c.edge).astype(np.int32)), pa.array([_packed_keys(keys[x]) for x in cut], pa.binary())]
+        columns = [pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.int64()), pa.array([asks] * len(full), pa.bool_()), pa.array(np.diff(c.edge)[full].astype(np.int32)), pa.array([_packed_keys(keys[x]) for x in cut], pa.binary())]
         columns += [pa.array([_packed(y[x]) for x in cut], pa.binary()) for y in (whole, own)]
         return pa.table(columns, names=["part", "chunk", "asks", "n", "keys", "background", "target"])
 
@@ -166,7 +172,7 @@ def _ask(shared, parts: int, counts: bool, asks: bool):
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a part to the whole counts of each row's keys, and the part's words: distinct ones, and all in either corpus."""
+    """All rows of a part to the whole counts of each row's keys, and a row of the part's words: distinct ones, and all in either corpus."""
     rows = [r for b in batches for r in b.to_pylist()]
     if not rows:
         return
@@ -178,12 +184,18 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total.append(sums.astype(np.int64))  # exact below 2^53
     word = (distinct & np.uint64(1)).astype(bool)
     known = [int((total[0][word] > 0).sum()), *(int(t[word].sum()) for t in total)]
+    names = ["chunk", "part", "background", "target", "words", "n_background", "n_target"]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=names)
+
+    yield row(None, rows[0]["part"], None, None, *known)
     at = 0
     for r, k in zip(rows, keys, strict=True):
         own, at = back[at : at + len(k)], at + len(k)
         if r["asks"]:
-            values = [r["chunk"], r["part"], *(_packed(t[own]) for t in total), *known]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["chunk", "part", "background", "target", "words", "n_background", "n_target"])
+            yield row(r["chunk"], r["part"], *(_packed(t[own]) for t in total), None, None, None)
 
 
 def _losses(word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int, size: int) -> np.ndarray:
@@ -246,23 +258,25 @@ def score(docs: DataFrame, models: tuple[Bigrams, Corpus], text_col: str = "text
     asked = counted.groupBy("chunk").cogroup(flagged.groupBy("near")).applyInArrow(_ask(shared, parts, True, same), ASKED)
     if not same:
         asked = asked.unionByName(dealt.groupBy("chunk").cogroup(flagged.limit(0).groupBy("near")).applyInArrow(_ask(shared, parts, False, True), ASKED))
-    answered = asked.repartitionById(parts, "part").mapInArrow(_answer, ANSWERED)
+    answered = Settled(asked.repartitionById(parts, "part").mapInArrow(_answer, ANSWERED))
+    totals = answered.df.filter("chunk is null").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("words", "n_background", "n_target")]).first().asDict()
+    answers = answered.df.filter("chunk is not null").select("chunk", "part", "background", "target")
     schema = T.StructType([docs.schema[k] for k in keys] + [T.StructField("n_tokens", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in ("target_loss", "background_loss", "score")])
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(docs.column("text"), shared.value, parts)
         found = answers.to_pylist()
-        size = (sum(r["words"] for r in found) if shared.value.vocabulary is None else len(shared.value.vocabulary)) + 2
+        size = (totals["words"] if shared.value.vocabulary is None else len(shared.value.vocabulary)) + 2
         losses = []
         for model in ("target", "background"):
             count = np.zeros(len(c.keys), np.int64)
             for r in found:
                 at = c.order[c.edge[r["part"]] : c.edge[r["part"] + 1]]
                 count[at] = _unpacked(r[model], len(at))
-            losses.append(_losses(*(count[x] for x in c.places), sum(r[f"n_{model}"] for r in found), size))
+            losses.append(_losses(*(count[x] for x in c.places), totals[f"n_{model}"], size))
         t, g = losses
         none, n = c.counts == 0, np.maximum(c.counts, 1)
         mean = [pa.array(np.bincount(c.doc, x, len(n)) / n if len(x) else np.zeros(len(n)), mask=none) for x in (t, g, t - g)]
         return pa.table([*(docs.column(f"k{i}") for i in range(len(keys))), pa.array(c.counts.astype(np.int64)), *mean], names=schema.names)
 
-    return dealt.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)

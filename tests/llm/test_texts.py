@@ -347,6 +347,17 @@ def test_lm_counts_are_exact(spark):
             assert have == pytest.approx(loss / r.n_tokens, abs=1e-9)
 
 
+def test_lm_scores_are_the_same_in_many_chunks(spark, monkeypatch):
+    """Chunks and parts that share no keys send each other nothing."""
+    good = spark.createDataFrame([(i,) for i in range(10)], "doc_id long")
+    found = []
+    for chunk in (8 << 20, 400):
+        monkeypatch.setattr(lm_score, "CHUNK", chunk)
+        rows = lm_score.score(frame(spark), lm_score.train(frame(spark), good)).collect()
+        found.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, *(None if x is None else round(x, 9) for x in (r.target_loss, r.background_loss))) for r in rows if r.n_tokens))
+    assert found[0] == found[1] and len(found[0]) > 40
+
+
 def test_lm_separates(spark):
     import random
 
