@@ -190,8 +190,8 @@ def as_json(df: DataFrame, name: str = "json") -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias(name))
 
 
-def as_yaml(df: DataFrame, name: str = "yaml") -> DataFrame:
-    """Rows as items of a YAML list, keys sorted; texts are quoted where YAML would read them as something else."""
+def yaml_of(df: DataFrame) -> Column:
+    """A row as an item of a YAML list, keys sorted; texts are quoted where YAML would read them as something else."""
 
     def value(c: str):
         kind = df.schema[c].dataType.simpleString()
@@ -203,7 +203,11 @@ def as_yaml(df: DataFrame, name: str = "yaml") -> DataFrame:
         return F.coalesce(F.when(plain, F.col(f"`{c}`")).otherwise(quoted), F.lit("null"))
 
     lines = [F.concat(F.lit(f"{'- ' if i == 0 else '  '}{c}: "), value(c)) for i, c in enumerate(sorted(df.columns))]
-    return df.select(F.concat_ws("\n", *lines).alias(name))
+    return F.concat_ws("\n", *lines)
+
+
+def as_yaml(df: DataFrame, name: str = "yaml") -> DataFrame:
+    return df.select(yaml_of(df).alias(name))
 
 
 def graph_html(elements: DataFrame, title: str = "Graph") -> str:

@@ -63,7 +63,8 @@ def impact(edges: DataFrame, seeds: DataFrame, tokens: list[str] | None = None,
         seen = reduce(DataFrame.unionByName, [x.df.select("id") for x in found])
         ahead = found[-1].df.join(step.withColumnsRenamed({"r": "er", "kind": "ek"}), F.col("id") == F.col("at"))
         ahead = ahead.select(F.col("to").alias("id"), F.least("r", "er").alias("r"), "pos", "ek", F.concat("path", F.array("ek")).alias("path"))
-        best = ahead.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct((-F.col("r")).alias("r"), "pos", "ek", "path")).alias("b"), F.min("pos").alias("first"))
+        # aggregated first: partial minima before the shuffle, whose partitions the anti-join uses again
+        best = ahead.groupBy("id").agg(F.min(F.struct((-F.col("r")).alias("r"), "pos", "ek", "path")).alias("b"), F.min("pos").alias("first")).join(seen, "id", "left_anti")
         level = best.select("id", (-F.col("b.r")).alias("r"), F.col("b.path").alias("path"), F.concat("first", F.array("id")).alias("pos"), F.lit(depth).alias("distance"))
         found.append(Settled(level, counted=True))
         if not found[-1].rows:

@@ -13,7 +13,7 @@ from graphwright.plans import cypher
 from graphwright.plans import sqltext as Q
 from graphwright.plans.extract_queries import facts_sql, texts
 from graphwright.plans.queries import HINT_ROWS, HINTS, IMPACT, ITEMS, LEVEL, PENDING, _impact, graph, query
-from graphwright.plans.scratch import Settled
+from graphwright.plans.scratch import Folder, Settled
 from graphwright.sources import code, files, history, manifests, records, schemas
 from graphwright.streaming import incremental
 
@@ -87,12 +87,13 @@ def s10_cypher_files(t):
 
 SCHEMAS = [
     ("openapi{n}.json", '{"openapi": "3.0.0", "paths": {"/a{n}/{id}": {"get": {}, "delete": {}, "parameters": []}, "/b": {"post": {}}}}', [("rest", "GET", "/a{n}/{id}"), ("rest", "DELETE", "/a{n}/{id}"), ("rest", "POST", "/b")]),
-    ("v2/swagger{n}.json", '{"swagger": "2.0", "basePath": "/v{n}", "paths": {"/c": {"put": {}}}}', [("rest", "PUT", "/v{n}/c")]),
+    ("v2/swagger{n}.json", '{"swagger": "2.0", "paths": {"/c{n}": {"PUT": {}, "summary": "s"}, "/ref": {"$ref": "#/x"}}}', [("rest", "PUT", "/c{n}")]),
     ("api{n}/openapi.yaml", "openapi: 3.0.0\npaths:\n  /d{n}:\n    get:\n      summary: x\n    patch:\n      summary: y\n", [("rest", "GET", "/d{n}"), ("rest", "PATCH", "/d{n}")]),
     ("g{n}.graphql", "schema { query: Root mutation: Change }\n# type Root { no: Int }\ntype Root {\n  user{n}(id: ID): User\n  items: [Item]\n}\ntype Change {\n  make{n}: Item\n}\ntype User { id: ID }\n", [("graphql", None, "Query.user{n}"), ("graphql", None, "Query.items"), ("graphql", None, "Mutation.make{n}")]),
     ("introspection{n}.json", '{"data": {"__schema": {"queryType": {"name": "Q"}, "types": [{"name": "Q", "fields": [{"name": "me{n}"}]}, {"name": "X", "fields": [{"name": "no"}]}]}}}', [("graphql", None, "Query.me{n}")]),
-    ("metadata{n}.json", '{"sources": [{"tables": [{"table": {"schema": "public", "name": "t{n}"}, "configuration": {"custom_root_fields": {"select": "all{n}"}}}]}], "rest_endpoints": [{"url": "r{n}", "methods": ["GET"]}], "actions": [{"name": "act{n}", "definition": {"type": "query"}}]}',
-     [("graphql", None, x) for x in ("Query.all{n}", "Query.t{n}_by_pk", "Query.t{n}_aggregate", "Mutation.insert_t{n}", "Mutation.insert_t{n}_one", "Mutation.update_t{n}", "Mutation.delete_t{n}", "Query.act{n}")] + [("rest", "GET", "/api/rest/r{n}")]),
+    ("metadata{n}.json", '{"sources": [{"tables": [{"table": {"schema": "public", "name": "t{n}"}, "configuration": {"custom_root_fields": {"select": "all{n}"}}}]}], "rest_endpoints": [{"url": "r{n}", "methods": ["GET"]}, {"url": "/s"}], "actions": [{"name": "act{n}", "definition": {"type": "query", "handler": "{{BASE}}/now{n}"}}, {"name": "do", "definition": {"handler": "http://h:3000/do/it"}}], "remote_schemas": [{"name": "pay{n}"}]}',
+     [("graphql", None, x) for x in ("Query.all{n}", "Query.t{n}_by_pk", "Query.t{n}_aggregate", "Mutation.insert_t{n}", "Mutation.update_t{n}", "Mutation.delete_t{n}", "Subscription.all{n}", "Query.act{n}", "Mutation.do", "RemoteSchema.pay{n}")] + [("rest", "GET", "/api/rest/r{n}"), ("rest", "GET", "/api/rest/s"), ("rest", "POST", "/now{n}"), ("rest", "POST", "/do/it")]),
+    ("metadata/tables{n}.yaml", "- table: posts{n}\n- table: { name: tags, schema: public }\n  configuration:\n    custom_name: label\n", [("graphql", None, x.format(b)) for b in ("posts{n}", "label") for x in ("Query.{}", "Query.{}_by_pk", "Query.{}_aggregate", "Mutation.insert_{}", "Mutation.update_{}", "Mutation.delete_{}", "Subscription.{}")]),
     ("svc{n}.proto", "syntax = \"proto3\";\npackage a.v{n};\n// service No {}\nservice S{n} {\n  rpc Get (A) returns (B);\n  rpc Put (A) returns (B) { option x = 1; }\n}\n", [("grpc", None, "a.v{n}.S{n}/Get"), ("grpc", None, "a.v{n}.S{n}/Put")]),
     ("broken/openapi{n}.json", "{", []),
 ]
@@ -106,10 +107,10 @@ def _schema(name: str, wanted: list[int]) -> None:
         return schemas.schema_operations(texts(t, [x[:2] for x in samples], ["path", "text"]))
 
 
-_schema("s11_openapi", [0, 1, 2, 7])
+_schema("s11_openapi", [0, 1, 2, 8])
 _schema("s13_graphql", [3, 4])
-_schema("s14_tracked_tables", [5])
-_schema("s15_schema_operations", list(range(8)))
+_schema("s14_tracked_tables", [5, 6])
+_schema("s15_schema_operations", list(range(9)))
 
 MANIFESTS = [
     ("p{n}/package.json", '{"name": "app{n}", "version": "1.{n}.0", "description": "App {n}", "keywords": ["Web", "tool{n}"], "dependencies": {"left{n}": "^1"}, "devDependencies": {"test": "2"}}', [("npm", "package", "app{n}", "1.{n}.0", None), ("npm", "dependencies", "left{n}", "^1", "registry"), ("npm", "devDependencies", "test", "2", "registry")]),
@@ -197,11 +198,6 @@ def _written(df: DataFrame) -> str:
     return Settled(df).path
 
 
-def _json(t, rows: DataFrame) -> DataFrame:
-    """Rows of JSON (json) written as text, as a reader would find them."""
-    return t.spark.read.parquet(_written(rows))
-
-
 @query("SELECT concat('repo', CAST(n_nationkey AS VARCHAR)) AS name, concat('/r/', CAST(n_regionkey AS VARCHAR)) AS root, 'public' AS visibility FROM nation")
 def s25_registry(t):
     one = t.nation.agg(F.sort_array(F.collect_list(F.struct(F.concat(F.lit("repo"), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("/r/"), F.col("n_regionkey").cast("string")).alias("root"), F.lit("public").alias("visibility")))).alias("repos"))
@@ -256,9 +252,7 @@ def _totals(rows: DataFrame) -> DataFrame:
 
 @query(VECTOR_SQL)
 def s28_k9_embedding_lines(t):
-    from graphwright.plans.scratch import shared_dir
-
-    path = f"{shared_dir(t.spark)}/lines-{id(t)}"
+    path = Folder(t.spark).path
     records.write_embeddings(_embedded(t), path)
     return _totals(records.read_embeddings(t.spark, path))
 
@@ -280,9 +274,7 @@ def k8_backup_manifest(t):
 
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation")
 def s33_load_from(t):
-    from graphwright.plans.scratch import shared_dir
-
-    path = f"{shared_dir(t.spark)}/nation-{id(t)}.csv"
+    path = f"{Folder(t.spark).path}/nation.csv"
     t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).write.option("header", True).csv(path)
     return records.load_from(t.spark, path, "id int, name string")
 
@@ -447,7 +439,7 @@ def k10_markdown_report(t):
 @query("SELECT concat('{\"repo\":\"', repo, '\",\"health\":\"', health, '\"}') AS json, concat('- health: ', health, chr(10), '  repo: ', repo) AS yaml FROM repos")
 def k10_json_and_yaml(t):
     rows = t.repos.select("repo", "health")
-    return tables.as_yaml(rows, "yaml").join(tables.as_json(rows), F.col("json").contains(F.concat(F.lit('"'), F.regexp_extract("yaml", "repo: (.*)$", 1), F.lit('"')))).select("json", "yaml")
+    return rows.select(F.to_json(F.struct("*")).alias("json"), tables.yaml_of(rows).alias("yaml"))
 
 
 @query("SELECT q.vec_id AS query_id, e.vec_id AS id, place FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, LATERAL (SELECT vec_id, row_number() OVER (ORDER BY round(list_cosine_similarity(x.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) DESC, vec_id)::INT AS place FROM embeddings x WHERE x.vec_id <> q.vec_id AND x.label % 3 <> 0) e WHERE place <= 10")

@@ -14,7 +14,7 @@ SCHEMA = "path string, protocol string, method string, operation string"
 
 
 def _yaml(text: str):
-    """JSON, or YAML where a reader is installed, or the part of YAML that path tables need."""
+    """JSON, or YAML where a reader is installed, or the part of YAML that schemas need."""
     try:
         return json.loads(text)
     except ValueError:
@@ -22,38 +22,79 @@ def _yaml(text: str):
     try:
         import yaml
     except ImportError:
-        return _indented(text)
+        return block_yaml(text)
     try:
         return yaml.safe_load(text)
     except yaml.YAMLError as e:
         raise ValueError(str(e)) from e
 
 
-def _indented(text: str):
-    """Nested mappings of block YAML by indentation (lists and flow values stay text)."""
-    root: dict = {}
-    stack = [(-1, root)]
-    for line in text.splitlines():
-        m = re.match(r"""^(\s*)(?:"([^"]*)"|'([^']*)'|([^\s#'":][^:#]*?|/[^\s:]*))\s*:(?:\s+(.*))?$""", line)
-        if not m or line.lstrip().startswith("- "):
-            continue
-        depth, key, value = len(m[1]), next(x for x in (m[2], m[3], m[4]) if x is not None), (m[5] or "").strip()
-        while stack[-1][0] >= depth:
-            stack.pop()
-        if value and not value.startswith("#"):
-            stack[-1][1][key] = value.strip("\"'")
-        else:
-            stack[-1][1][key] = {}
-            stack.append((depth, stack[-1][1][key]))
-    return root
+_KEY = re.compile(r"""(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^\s#'"\[\]{},&*!|>%@`-][^#]*?|-[^\s#][^#]*?))\s*:(?:\s+|$)""")
+_SCALAR = re.compile(r"""\s*(?:"((?:[^"\\]|\\.)*)"|'((?:[^']|'')*)'|([^,\[\]{}]*))\s*""")
+
+
+def _flow(text: str, at: int = 0) -> tuple[object, int]:
+    """A flow value ([a, b], {k: v}, a scalar) and where it ends."""
+    at += len(text[at:]) - len(text[at:].lstrip())
+    if text[at : at + 1] in ("[", "{"):
+        close, out = ("]", []) if text[at] == "[" else ("}", {})
+        at += 1
+        while at < len(text) and text[at:].lstrip()[:1] != close:
+            if close == "}":
+                m = re.compile(r"""\s*(?:"([^"]*)"|'([^']*)'|([^:,{}]+?))\s*:\s*""").match(text, at)
+                if not m:
+                    raise ValueError("a flow mapping without a key")
+                out[next(x for x in m.groups() if x is not None)], at = _flow(text, m.end())
+            else:
+                value, at = _flow(text, at)
+                out.append(value)
+            at = text.index(text[at:].lstrip()[:1] or close, at)
+            at += text[at] == ","
+        return out, text.index(close, at) + 1
+    m = _SCALAR.match(text, at)
+    plain = m[3].strip() if m[3] is not None else None
+    return next((x for x in (m[1], m[2]) if x is not None), None if plain in ("", "null", "~") else plain), m.end()
+
+
+def block_yaml(text: str):
+    """Block mappings and lists with flow values and plain or quoted scalars, which stay text; anchors, tags and block scalars aren't read."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith(("#", "---"))]
+
+    def value(rest: str, i: int, indent: int) -> tuple[object, int]:
+        rest = re.sub(r"\s+#.*$", "", rest).strip()
+        if rest:
+            return _flow(rest)[0], i
+        deeper = i < len(lines) and (lines[i][0] > indent or lines[i][0] == indent and lines[i][1].startswith("- "))
+        return block(i) if deeper else (None, i)
+
+    def block(i: int) -> tuple[object, int]:
+        indent = lines[i][0]
+        if lines[i][1] == "-" or lines[i][1].startswith("- "):
+            items = []
+            while i < len(lines) and lines[i][0] == indent and (lines[i][1] == "-" or lines[i][1].startswith("- ")):
+                inner = lines[i][1][1:].lstrip()
+                if _KEY.match(inner):
+                    lines[i] = (indent + len(lines[i][1]) - len(inner), inner)
+                    item, i = block(i)
+                else:
+                    item, i = value(inner, i + 1, indent)
+                items.append(item)
+            return items, i
+        found: dict = {}
+        while i < len(lines) and lines[i][0] == indent and (m := _KEY.match(lines[i][1])):
+            key = next(x for x in m.groups() if x is not None).strip()
+            found[key], i = value(lines[i][1][m.end() :], i + 1, indent)
+        if not found:
+            raise ValueError(f"not a mapping: {lines[i][1]!r}")
+        return found, i
+
+    return block(0)[0] if lines else None
 
 
 def openapi(text: str) -> list[tuple[str, str | None, str]]:
     doc = _yaml(text)
-    if not isinstance(doc, dict) or not ("openapi" in doc or "swagger" in doc):
-        return []
-    base = doc.get("basePath") if isinstance(doc.get("basePath"), str) else ""
-    return [("rest", verb.upper(), base.rstrip("/") + path) for path, item in (doc.get("paths") or {}).items() if isinstance(item, dict) for verb in VERBS if verb in item]
+    paths = doc.get("paths") if isinstance(doc, dict) else None
+    return [("rest", key.strip().upper(), path) for path, item in (paths or {}).items() if isinstance(item, dict) for key in item if key.strip().lower() in VERBS]
 
 
 def protobuf(text: str) -> list[tuple[str, str | None, str]]:
@@ -94,26 +135,38 @@ def graphql(text: str) -> list[tuple[str, str | None, str]]:
     return out
 
 
+def handler_path(url: str) -> str | None:
+    """The path of a handler's URL, absolute, behind a template, or relative; null if there is none."""
+    m = re.search(r"/.*", re.sub(r"^\s*[^/{]*://[^/]*", "", url).strip(), re.S)
+    return m[0] if m else None
+
+
 def tracked_tables(text: str) -> list[tuple[str, str | None, str]]:
-    """Operations of a table-tracking GraphQL server's metadata: seven for every table, REST endpoints and actions."""
+    """Operations of a table-tracking GraphQL server's metadata: seven for every table, REST endpoints, actions with their handlers, remote schemas."""
     doc = _yaml(text)
-    doc = doc.get("metadata", doc) if isinstance(doc, dict) else {}
+    doc = {"tables": doc} if isinstance(doc, list) else doc.get("metadata", doc) if isinstance(doc, dict) else {}
+    listed = [*(t for source in doc.get("sources") or [] for t in source.get("tables") or []), *(doc.get("tables") or [])]
     out = []
-    for source in doc.get("sources") or [{"tables": doc.get("tables") or []}]:
-        for t in source.get("tables") or []:
-            table = t.get("table") or {}
-            schema, name = table.get("schema", "public"), table.get("name")
-            if not name:
-                continue
-            custom = (t.get("configuration") or {}).get("custom_root_fields") or {}
-            base = (t.get("configuration") or {}).get("custom_name") or (name if schema == "public" else f"{schema}_{name}")
-            fields = [("Query", "select", base), ("Query", "select_by_pk", f"{base}_by_pk"), ("Query", "select_aggregate", f"{base}_aggregate"), ("Mutation", "insert", f"insert_{base}"), ("Mutation", "insert_one", f"insert_{base}_one"), ("Mutation", "update", f"update_{base}"), ("Mutation", "delete", f"delete_{base}")]
-            out += [("graphql", None, f"{kind}.{custom.get(key) or field}") for kind, key, field in fields]
+    for t in listed:
+        table, how = t.get("table"), t.get("configuration") or {}
+        name = table.get("name") if isinstance(table, dict) else table
+        if not name:
+            continue
+        base, custom = how.get("custom_name") or name, how.get("custom_root_fields") or {}
+        fields = {"select": base, "select_by_pk": f"{base}_by_pk", "select_aggregate": f"{base}_aggregate", "insert": f"insert_{base}", "update": f"update_{base}", "delete": f"delete_{base}"}
+        fields |= {k: v for k, v in custom.items() if isinstance(v, str)}
+        roots = {"Query": ["select", "select_by_pk", "select_aggregate"], "Mutation": ["insert", "update", "delete"], "Subscription": ["select"]}
+        out += [("graphql", None, f"{root}.{fields[key]}") for root, keys in roots.items() for key in keys]
     for e in doc.get("rest_endpoints") or []:
-        out += [("rest", m.upper(), f"/api/rest/{e.get('url', '').lstrip('/')}") for m in e.get("methods") or []]
+        if e.get("url"):
+            out += [("rest", m.upper(), f"/api/rest/{e['url'].lstrip('/')}") for m in e.get("methods") or ["GET"]]
     for a in doc.get("actions") or []:
-        kind = "Query" if (a.get("definition") or {}).get("type") == "query" else "Mutation"
-        out.append(("graphql", None, f"{kind}.{a.get('name')}"))
+        if a.get("name"):
+            how = a.get("definition") or {}
+            out.append(("graphql", None, f"{'Query' if how.get('type') == 'query' else 'Mutation'}.{a['name']}"))
+            if path := handler_path(how.get("handler") or ""):
+                out.append(("rest", "POST", path))
+    out += [("graphql", None, f"RemoteSchema.{r['name']}") for r in doc.get("remote_schemas") or [] if r.get("name")]
     return out
 
 

@@ -23,8 +23,13 @@ def clean(sql: str) -> str:
     return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), sql)
 
 
+def unquoted(name: str) -> str:
+    return ".".join(part.strip('"`[]') for part in name.split("."))
+
+
 def table_name(name: str) -> str:
-    return ".".join(part.strip('"`[]') for part in name.split(".")).lower()
+    """A table's identity: dotted parts without quotes, lower case."""
+    return unquoted(name).lower()
 
 
 def tables(sql: str) -> list[dict]:
@@ -54,7 +59,7 @@ def tables(sql: str) -> list[dict]:
                 words = _TOKEN.findall(part)
                 found["refers"] += [table_name(r) for r in re.findall(r"\breferences\s+([\w.\"`]+)", part, re.I)]
                 if words and words[0].lower() not in CONSTRAINTS and words[0] not in "(),;":
-                    found["columns"].append({"name": table_name(words[0]), "type": words[1].lower() if len(words) > 1 and words[1] not in "(),;" else None})
+                    found["columns"].append({"name": unquoted(words[0]), "type": words[1].lower() if len(words) > 1 and words[1] not in "(),;" else None})
             found["refers"] = sorted(set(found["refers"]))
         out.append(found)
     for m in re.finditer(r"\balter\s+table\s+(?:if\s+exists\s+)?(?:only\s+)?([\w.\"`]+)[^;]*?\breferences\s+([\w.\"`]+)", text, re.I):

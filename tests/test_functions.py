@@ -146,6 +146,49 @@ def test_similarity_graph_in_blocks(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_nearest_against_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    x = rnd.normal(size=(300, 6)).round(2)
+    x[7] = x[8] = x[9]  # ties go by id
+    x[20] = 0
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(1000, [1.0, 2.0]), (None, [0.0] * 6), (1001, None)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>").repartition(5)
+    q = df.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    unit = x.astype(np.float32).astype(np.float64)
+    norm = np.sqrt((unit**2).sum(axis=1, keepdims=True))
+    unit = np.divide(unit, norm, out=np.zeros_like(unit), where=norm > 0)
+    for most in (10_000, 4):
+        monkeypatch.setattr(vectors, "MAX_QUERIES", most)
+        got = {(r.query_id, r.place): r.id for r in vectors.nearest(df, q, 5).collect()}
+        for i in range(0, 300, 20):
+            score = np.round(unit @ unit[i], 12)
+            order = [j for j in sorted([*range(300), 1000, 1001], key=lambda j: (-(score[j] if j < 300 else 0.0), j)) if j != i]
+            assert [got[i, p] for p in range(1, 6)] == order[:5]
+    assert vectors.nearest(df.limit(0), q).count() == 0 and vectors.nearest(df, q.limit(0)).count() == 0
+
+
+def test_index_finds_most_neighbours(spark, tmp_path):
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    centres = rnd.normal(size=(12, 8))
+    rows = [(i, [float(v) for v in centres[i % 12] + 0.3 * rnd.normal(size=8)]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, vector array<float>")
+    q = df.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    index = vectors.Index(df, cells=12, sample=500)
+    assert index.rows.count() == 1200
+    found = index.search(q, probes=3).collect()
+    exact = vectors.nearest(df, q)
+    assert vectors.recall(spark.createDataFrame(found), exact).first().recall >= 0.9
+    index.write(str(tmp_path / "cells"))
+    assert spark.read.parquet(str(tmp_path / "cells")).count() == 1200
+    edges = vectors.similarity_graph(df, 3, index).count()
+    assert 0.9 < edges / vectors.similarity_graph(df, 3).count() < 1.1
+    assert vectors.Index(df.limit(0)).search(q).count() == 0
+
+
 def test_settled_tables_have_lifetimes(spark, tmp_path):
     from pathlib import Path
 

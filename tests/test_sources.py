@@ -140,12 +140,27 @@ def test_schemas(spark):
     openapi = json.dumps({"openapi": "3.0", "paths": {"/u/{id}": {"get": {}, "post": {}}, "/r": {"$ref": "x"}}})
     rows = [("openapi.json", openapi), ("swagger.yaml", "swagger: '2.0'\nbasePath: /v1\npaths:\n  /ping:\n    get:\n      summary: x\n"), ("a.proto", "package p;\nservice S {\n  rpc Do (A) returns (B);\n}\nmessage A {}\n"), ("s.graphql", "schema { query: Root }\ntype Root { user(id: ID!): User }\ntype Mutation { save: User }"), ("broken.graphql", "type"), ("openapi.yaml", "{not")]
     got = {(r.protocol, r.method, r.operation) for r in schemas.schema_operations(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert got == {("rest", "GET", "/u/{id}"), ("rest", "POST", "/u/{id}"), ("rest", "GET", "/v1/ping"), ("grpc", None, "p.S/Do"), ("graphql", None, "Query.user"), ("graphql", None, "Mutation.save")}
+    assert got == {("rest", "GET", "/u/{id}"), ("rest", "POST", "/u/{id}"), ("rest", "GET", "/ping"), ("grpc", None, "p.S/Do"), ("graphql", None, "Query.user"), ("graphql", None, "Mutation.save")}
     meta = {"sources": [{"tables": [{"table": {"schema": "public", "name": "u"}, "configuration": {"custom_root_fields": {"select": "users"}}}]}], "rest_endpoints": [{"url": "x", "methods": ["GET"]}]}
     ops = schemas.tracked_tables(json.dumps(meta))
     assert len(ops) == 8 and ("graphql", None, "Query.users") in ops and ("rest", "GET", "/api/rest/x") in ops
 
 
+def test_schema_yaml_without_a_reader(monkeypatch):
+    """The small reader of YAML: nested lists of mappings, flow values, quotes, comments."""
+    monkeypatch.setattr(schemas, "_yaml", schemas.block_yaml)
+    tables_ = "- table: posts\n- table: { name: tags, schema: public }  # bare\n  configuration:\n    custom_name: 'label'\n"
+    assert {o for _, _, o in schemas.tracked_tables(tables_)} >= {"Query.posts", "Mutation.insert_label", "Subscription.label", "Query.label_by_pk"}
+    meta = "version: 3\nsources:\n  - name: default\n    tables:\n      - table:\n          name: users\n          schema: public\nrest_endpoints:\n  - url: get_user\n    methods: [GET, POST]\nactions:\n- name: make\n  definition:\n    handler: \"{{BASE}}/m\"\nremote_schemas:\n  - name: pay\n"
+    ops = schemas.tracked_tables(meta)
+    assert len(ops) == 12 and {("rest", "POST", "/api/rest/get_user"), ("rest", "POST", "/m"), ("graphql", None, "Mutation.make"), ("graphql", None, "RemoteSchema.pay")} <= set(ops)
+    spec = "paths:\n  /users:\n    get: {}\n    POST:\n      summary: 'a: b'\n  \"/users/{id}\":\n    parameters: []\n    delete: {}\n"
+    assert schemas.openapi(spec) == [("rest", "GET", "/users"), ("rest", "POST", "/users"), ("rest", "DELETE", "/users/{id}")]
+    assert [schemas.handler_path(x) for x in ("http://h:3000/x/y", "{{B}}/c", "/a", "none", "http://h")] == ["/x/y", "/c", "/a", None, None]
+    with pytest.raises(ValueError, match="not a mapping"):
+        schemas.block_yaml("plain text")
+
+
 def test_manifests(spark):
     rows = [
         ("Cargo.toml", '[package]\nname = "a"\nkeywords = ["X", "y"]\ndescription = "d"\n[dependencies]\nserde = "1"\nb = { path = "b" }\nz = { package = "real", git = "u" }\n'),
