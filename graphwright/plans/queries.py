@@ -64,9 +64,9 @@ def f5_export_kinds(t):
     return graph(t).export(["function", "endpoint"], ["calls", "handles"])[1].select("src", "dst", "kind")
 
 
-@query("WITH p AS (SELECT id FROM nodes WHERE kind = 'method' ORDER BY id LIMIT 100) SELECT src, dst, kind, confidence FROM edges WHERE src IN (SELECT id FROM p) AND dst IN (SELECT id FROM p)")
+@query("WITH p AS (SELECT id FROM nodes WHERE kind IN ('function', 'method', 'struct') ORDER BY id LIMIT 700) SELECT src, dst, kind, confidence FROM edges WHERE src IN (SELECT id FROM p) AND dst IN (SELECT id FROM p)")
 def f6_view_trim(t):
-    return graph(t).export(["method"], None, 100)[1]
+    return graph(t).export(["function", "method", "struct"], None, 700)[1]
 
 
 @query("SELECT protocol, kind, count(*) AS n FROM operations WHERE protocol = 'rest' GROUP BY ALL")

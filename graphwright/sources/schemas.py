@@ -179,7 +179,8 @@ def reader_of(path: str) -> str | None:
         return "proto"
     if name.endswith((".graphql", ".graphqls", ".gql")) or "introspection" in name:
         return "graphql"
-    if "metadata" in name and name.endswith((".json", ".yaml", ".yml")):
+    split = re.search(r"(?i)(?:^|/)metadata/(?:.*/)?(?:tables|actions|remote_schemas|rest_endpoints)[^/]*[.]ya?ml$", path)
+    if split or "metadata" in name and name.endswith((".json", ".yaml", ".yml")):
         return "hasura"
     if ("openapi" in name or "swagger" in name) and name.endswith((".json", ".yaml", ".yml")):
         return "openapi"
