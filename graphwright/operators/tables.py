@@ -6,6 +6,7 @@ pointer is moved.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -126,58 +127,88 @@ def merge_spilled(table: DataFrame, spilled: DataFrame, keys: list[str], order:
     return both.withColumn("_n", first).filter("_n = 1").drop("_n", "_o")
 
 
+#: The file of a table that names the folders of its present version.
+POINTER = "_current"
+#: Parts of a table that upsert_table() keeps, by a hash of the keys.
+BUCKETS = 256
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replaces a table: a new version is written beside the old one, then the pointer to it is replaced; read_table() follows it.
 
     Readers see the old or the new version, and a writer that fails leaves the old one in place.  The version before is kept
     for those who still read it, until the next write.
     """
-    spark = df.sparkSession
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path.rstrip('/')}/{version}")
-    before = current_version(spark, path)
+    _point(df.sparkSession, path, {"all": version})
+
+
+def upsert_table(new: DataFrame, path: str, keys: list[str], order: Column | None = None) -> None:
+    """upsert() of a stored table, which is kept in BUCKETS parts by its keys: only parts with new rows are read and written.
+
+    A table that write_table() wrote is divided first.  It becomes visible at once, as in write_table().
+    """
+    spark = new.sparkSession
+    folders = current_folders(spark, path) or {}
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("string")
+    if "all" in folders:
+        kept, touched = spark.read.schema(new.schema).parquet(f"{path.rstrip('/')}/{folders['all']}"), None
+        folders = {}
+    else:
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]  # at most BUCKETS
+        there = [f"{path.rstrip('/')}/{folders[b]}" for b in touched if b in folders]
+        kept = spark.read.schema(new.schema).parquet(*there) if there else new.limit(0)
+    version = f"v-{uuid.uuid4().hex}"
+    merged = upsert(kept, new, keys, order).withColumn("_bucket", bucket)
+    merged.write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{path.rstrip('/')}/{version}")
+    if touched is None:
+        touched = [r[0] for r in merged.select("_bucket").distinct().collect()]
+    _point(spark, path, folders | {b: f"{version}/_bucket={b}" for b in touched})
+
+
+def _point(spark: SparkSession, path: str, folders: dict[str, str]) -> None:
+    """Moves a table's pointer to these folders, and removes versions that neither it nor the pointer before names."""
+    before = current_folders(spark, path) or {}
     jvm = spark._jvm
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     pointer = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
-    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), hadoop)
-    aside = pointer.suffix(f".{version}")
-    out = aside.getFileSystem(hadoop).create(aside)
-    out.write(bytearray(version.encode()))
+    aside = pointer.suffix(f".{uuid.uuid4().hex}")
+    fs = pointer.getFileSystem(hadoop)
+    fs.mkdirs(pointer.getParent())
+    out = fs.create(aside)
+    out.write(bytearray(json.dumps(folders).encode()))
     out.close()
     overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    files.rename(aside, pointer, overwrite)
-    fs = pointer.getFileSystem(hadoop)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), hadoop).rename(aside, pointer, overwrite)
+    named = {x.split("/")[0] for x in (*before.values(), *folders.values())}
     for status in fs.listStatus(pointer.getParent()):
-        if status.getPath().getName() not in (POINTER, version, before):
+        if status.getPath().getName() not in {POINTER, *named}:
             fs.delete(status.getPath(), True)
 
 
-#: The file of a table that names its version.
-POINTER = "_current"
-
-
-def current_version(spark: SparkSession, path: str) -> str | None:
-    """The name of a table's version; None if there is no table."""
+def current_folders(spark: SparkSession, path: str) -> dict[str, str] | None:
+    """The folders of a table's present version, by part; None if there is no table."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return None
     stream = fs.open(at)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
-    """The present version of a table that write_table() wrote; None if there is none."""
-    version = current_version(spark, path)
-    if version is None:
+    """The present version of a stored table; None if there is none."""
+    folders = current_folders(spark, path)
+    if folders is None:
         return None
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{path.rstrip('/')}/{version}")
+    return reader.parquet(*[f"{path.rstrip('/')}/{x}" for x in folders.values()])
 
 
 def backup_manifest(embeddings: DataFrame) -> DataFrame:
@@ -213,7 +244,6 @@ def as_yaml(df: DataFrame, name: str = "yaml") -> DataFrame:
 def graph_html(elements: DataFrame, title: str = "Graph") -> str:
     """A page that shows the elements of graph_elements(), which must be few: a view, not an export."""
     import html
-    import json
 
     rows = [r.element for r in elements.select("element").toLocalIterator()]
     data = "[" + ",".join(rows).replace("</", "<\\/") + "]"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphwright.operators.tables import changed_files, delete_files, read_table, upsert, upsert_edges, write_table
+from graphwright.operators.tables import changed_files, delete_files, upsert, upsert_edges, upsert_table
 
 
 def update_graph(nodes: DataFrame, edges: DataFrame, files: DataFrame, current: DataFrame, new_nodes: DataFrame, new_edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -78,13 +78,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 hou
 
 
 def upsert_stream(spark: SparkSession, source: DataFrame, path: str, keys: list[str], checkpoint: str, order: str):
-    """A streaming query that upserts each batch of source into a table of write_table(); batches that are replayed change nothing.
+    """A streaming query that upserts each batch of source into a stored table; batches that are replayed change nothing.
 
-    Every batch writes the table anew: for tables whose changes are a fair part of them.
+    A batch writes the parts of the table that its keys are in, and no others.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        existing = read_table(batch.sparkSession, path, batch.schema)
-        write_table(upsert(batch.limit(0) if existing is None else existing, batch, keys, F.col(order)), path)
+        if not batch.isEmpty():
+            upsert_table(batch, path, keys, F.col(order))
 
     return source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -241,6 +241,24 @@ def test_table_versions(spark, tmp_path):
     assert sum(x.name.startswith("v-") for x in tmp_path.joinpath("t").iterdir()) == 2
 
 
+def test_upsert_writes_the_touched_parts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame([*x], "id string, v int")
+    have = lambda: {tuple(r) for r in tables.read_table(spark, path).collect()}
+    tables.write_table(rows(("a", 1), ("b", 1), ("c", 1)), path)
+    tables.upsert_table(rows(("b", 2), ("b", 3)), path, ["id"], F.col("v"))
+    assert have() == {("a", 1), ("b", 3), ("c", 1)}
+    before = tables.current_folders(spark, path)
+    tables.upsert_table(rows(("c", 5), ("d", 1)), path, ["id"], F.col("v"))
+    after = tables.current_folders(spark, path)
+    assert have() == {("a", 1), ("b", 3), ("c", 5), ("d", 1)}
+    assert sum(after.get(k) == v for k, v in before.items()) == 2 and len(after) == 4
+    fresh = str(tmp_path / "new")
+    tables.upsert_table(rows(("a", 1)), fresh, ["id"])
+    tables.upsert_table(rows(("a", 2)), fresh, ["id"])
+    assert [tuple(r) for r in tables.read_table(spark, fresh).collect()] == [("a", 2)]
+
+
 def test_nested_ignore_files(spark):
     rows = [(".gitignore", "*.log\n!keep.log\n/top/\n"), ("a.log", ""), ("keep.log", ""), ("sub/b.log", ""), ("sub/.aiignore", "secret*\n!b.log\n# c\n"), ("sub/secret.py", ""), ("secret.py", ""), ("top/x.py", ""), ("sub/top/y.py", "")]
     df = spark.createDataFrame([(p, t.encode()) for p, t in rows], "path string, content binary")
