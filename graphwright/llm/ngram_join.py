@@ -449,38 +449,47 @@ def _block(table: pa.Table) -> pa.Table:
 
 #: Lengths that may link are at most one step apart.
 STEP = 1.05 * 100 / PERCENT
+#: Places that the classes of a group are dealt to when they meet a row of the group's.
+SALTS = 16
+
+
+def _dealt(rows: DataFrame, one: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(class, ...) joined with a table that has one row for each key; a key that many rows have is dealt to SALTS places, and nothing is broadcast."""
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS))).join(one.withColumn("salt", each).hint("merge"), [*keys, "salt"]).drop("salt")
 
 
 def _across(labelled: DataFrame, leaders: DataFrame, bags: Settled) -> DataFrame:
     """Links between classes that share a second-order token, and so its leader's group, but aren't in one part.
 
-    In each group the classes outside its largest part (side a) meet all of similar length (side b), in blocks.
+    In each group the classes outside its largest part (side a) meet all of similar length (side b), in blocks.  Sets join the
+    classes when their blocks are known.
     """
     rows = labelled.join(leaders, "token").withColumn("step", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(STEP))))
     members = Settled(rows.groupBy("leader", "class", "part", "n", "common", "step").agg(F.collect_list("token").alias("tokens")))
     parts = members.df.groupBy("leader", "part").agg(F.count(F.lit(1)).alias("c"))
     torn = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("c", "part")).alias("most")).filter("parts > 1").select("leader", F.col("most.part").alias("largest"))
-    member = members.df.join(torn, "leader")
+    member = Settled(_dealt(members.df, torn, ["leader"]))
+    members.drop()
     outer = F.col("part") != F.col("largest")
 
     def blocks(n: Column, tokens: Column) -> Column:
         return F.ceil(F.greatest(n / BLOCK, tokens / BLOCK_TOKENS))
 
     count = F.count(F.lit(1))
-    sizes = member.groupBy("leader", "step").agg(blocks(F.count(F.when(outer, 1)), F.sum(F.when(outer, F.col("n")).otherwise(0))).alias("na"), blocks(count, F.sum("n")).alias("nb"))
-    sizes = Settled(sizes)
-    member = member.join(bags.df.select("class", "bag"), "class").join(sizes.df, ["leader", "step"])
-    near = F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)]))
-    place = F.xxhash64("class")
-    keep = ["class", "part", "n", "common", "tokens", "bag"]
+    sizes = Settled(member.df.groupBy("leader", "step").agg(blocks(F.count(F.when(outer, 1)), F.sum(F.when(outer, F.col("n")).otherwise(0))).alias("na"), blocks(count, F.sum("n")).alias("nb")))
+    placed = _dealt(member.df, sizes.df, ["leader", "step"]).withColumn("with", F.explode(F.array(*[F.col("step") + d for d in (-1, 0, 1)])))
     other = sizes.df.select("leader", F.col("step").alias("with"), F.col("na").alias("other_a"), F.col("nb").alias("other_b"))
+    place = F.xxhash64("class")
+    keep = ["class", "part", "n", "common", "tokens"]
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = member.filter(outer).withColumn("with", near).join(other, ["leader", "with"])
+    a = _dealt(placed.filter(outer), other, ["leader", "with"])
     a = a.select("leader", F.col("step").alias("of_a"), F.col("with").alias("of_b"), F.pmod(place, F.col("na")).alias("i"), each("other_b").alias("j"), F.lit("a").alias("side"), *keep)
-    b = member.withColumn("with", near).join(other.filter("other_a > 0"), ["leader", "with"])
+    b = _dealt(placed, other.filter("other_a > 0"), ["leader", "with"])
     b = b.select("leader", F.col("with").alias("of_a"), F.col("step").alias("of_b"), each("other_a").alias("i"), F.pmod(place, F.col("nb")).alias("j"), F.lit("b").alias("side"), *keep)
-    out = Settled(a.unionByName(b).groupBy("leader", "of_a", "of_b", "i", "j").applyInArrow(_block, "u long, v long"))
-    members.drop()
+    filled = a.unionByName(b).join(bags.df.select("class", "bag"), "class")
+    out = Settled(filled.groupBy("leader", "of_a", "of_b", "i", "j").applyInArrow(_block, "u long, v long"))
+    member.drop()
     sizes.drop()
     return out
 
