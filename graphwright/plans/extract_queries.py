@@ -217,7 +217,7 @@ def g11_containment(t):
     nodes, edges, _ = code.graph_of(code.facts(_files(t)), "r")
     outer = nodes.select(F.col("id").alias("src"), F.when(F.col("kind") != "file", F.col("name")).alias("outer_name"))
     inner = nodes.filter("kind not in ('file', 'comment')").select(F.col("id").alias("dst"), F.col("file").alias("path"), "name")
-    return edges.filter("kind = 'contains'").join(outer, "src").join(inner, "dst").select("path", "name", "outer_name")
+    return edges.filter("kind = 'contains'").join(outer.hint("merge"), "src").join(inner.hint("merge"), "dst").select("path", "name", "outer_name")
 
 
 DOCUMENTED = "// First {n}.\n// Second.\nfn f{n}(\n    a: u8,\n) -> u8 { a }\n\n// TODO: alone {n}\n\nstruct S{n};\n"

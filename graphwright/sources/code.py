@@ -10,6 +10,7 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Callable, Iterator
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from graphwright.functions.hashing import node_id
 from graphwright.functions.text import MARKERS
+from graphwright.plans.scratch import stable
 from graphwright.sources.dialects import DIALECTS
 from graphwright.sources.sqltext import access, cypher_labels, tables
 
@@ -24,6 +26,9 @@ FACTS = "path string, language string, fact string, kind string, name string, qu
 COLUMNS = [c.split()[0] for c in FACTS.split(", ")]
 _ARROW = pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in FACTS.split(", ")])
 
+#: Facts, and characters of text they are read from, after which a batch leaves the worker; a file is never split.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 20
+
 #: Patterns by language: (fact kind, pattern with the name as group 1).
 PATTERNS: dict[str, list[tuple[str, str]]] = {
     "rust": [("function", r"\bfn\s+(\w+)"), ("struct", r"\bstruct\s+(\w+)"), ("enum", r"\benum\s+(\w+)"), ("trait", r"\btrait\s+(\w+)"), ("module", r"\bmod\s+(\w+)\s*\{"), ("constant", r"\b(?:const|static)\s+([A-Z]\w*)"), ("import", r"\buse\s+([^;]+);"), ("implements", r"\bimpl(?:<[^>]*>)?\s+(?:\w+::)*(\w+)(?:<[^>]*>)?\s+for\b")],
@@ -67,6 +72,7 @@ _BLOCKS = {"lua": ("--[[", "]]"), "haskell": ("{-", "-}"), "ocaml": ("(*", "*)")
 _QUOTES = {"rust": '"', "haskell": '"', "ocaml": '"', "vbnet": '"', "vb6": '"', "merlin6502": '"', "pascal": "'", "go": "\"`'", "javascript": "\"'`", "typescript": "\"'`", "tsx": "\"'`"}
 
 
+@cache
 def _lexer(language: str) -> re.Pattern:
     """One pattern for a language's comments (group c) and strings."""
     line, block = _COMMENT.get(language, "//"), _BLOCKS.get(language, ("/*", "*/"))
@@ -88,19 +94,16 @@ def _lexer(language: str) -> re.Pattern:
     return re.compile(f"(?P<c>{'|'.join(comments)})|{'|'.join(found)}", re.S | re.M)
 
 
-_lexers: dict[str, re.Pattern] = {}
-
-
+@lru_cache(maxsize=2)  # the two forms of one text, which patterns and dialects read
 def masked(language: str, text: str, strings: bool = True) -> str:
     """The text with blanks instead of comments and, if asked, of what is in strings; of the same length, lines kept."""
-    lexer = _lexers.setdefault(language, _lexer(language))
     blank = lambda x: re.sub(r"[^\n]", " ", x)
 
     def shown(m: re.Match) -> str:
         x = m[0]
         return blank(x) if m["c"] is not None else x if not strings else x[0] + blank(x[1:-1]) + x[-1]
 
-    return lexer.sub(shown, text)
+    return _lexer(language).sub(shown, text)
 
 
 def _line(text: str, at: int) -> int:
@@ -155,13 +158,18 @@ _MERLIN_CALL = re.compile(r"^\s+(?:JSR|JMP)\s+()(\w+)", re.M)
 _CALLS = {"haskell": _HASKELL_CALL, "merlin6502": _MERLIN_CALL, "ocaml": re.compile(r"(?<=[=;(])\s*()([a-z_]\w*)\s+(?=[\w(\"])"), "bash": re.compile(r"^\s+()([A-Za-z_]\w*)(?=\s|$)", re.M)}
 
 
+@cache
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(pattern, re.M)
+
+
 def by_patterns(language: str, text: str) -> Iterator[dict]:
     lines = text.split("\n")
     code, quoted = masked(language, text), masked(language, text, strings=False)
     code_lines = code.split("\n")
     found = []
     for kind, pattern in PATTERNS.get(language, []):
-        for m in re.finditer(pattern, quoted if kind == "import" else code, re.M):
+        for m in _compiled(pattern).finditer(quoted if kind == "import" else code):
             start = _line(text, m.start(1))
             if kind in ("import", "extends", "implements"):
                 yield {"fact": kind, "name": m[1].strip(), "start_line": start, "at": m.start()}
@@ -346,22 +354,37 @@ def extract_file(path: str, language: str | None, text: str, extra: dict | None
     return [{"path": path, "language": language} | r for r in rows]
 
 
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], _ARROW.field(c).type) for c in COLUMNS], schema=_ARROW)
+
+
 def facts(files: DataFrame) -> DataFrame:
     """Facts of files(path, language, text)."""
     extra, dialects = dict(EXTRACTORS), dict(DIALECTS)  # what is registered now goes along to the workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, read = [], 0  # of several files, as a batch for each costs more than many a file
             for p, g, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if t is not None:
-                    rows = extract_file(p, g, t, extra, dialects)
-                    yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in COLUMNS} for r in rows], schema=_ARROW)
+                    rows += extract_file(p, g, t, extra, dialects)
+                    read += len(t)
+                    if len(rows) >= BATCH_ROWS or read >= BATCH_CHARS:
+                        yield _batch(rows)
+                        rows, read = [], 0
+            if rows:
+                yield _batch(rows)
 
     return files.select("path", "language", "text").mapInArrow(run, FACTS)
 
 
 def graph_of(rows: DataFrame, repo: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """facts to nodes, edges inside files, and pending links (link, anchor, anchor_file, name, scope, kind) to be resolved."""
+    """facts to nodes, edges inside files, and pending links (link, anchor, anchor_file, name, scope, kind) to be resolved.
+
+    All three read the facts several times, so facts that are still to be extracted are settled first.  Joins ask for a merge:
+    the planner takes the size of what comes out of an extractor for that of what goes in, and would broadcast all definitions.
+    """
+    rows = stable(rows)
     path = F.col("path")
     file_node = node_id(F.lit(repo), F.lit("file"), path)
     defs = rows.filter("fact = 'def'").withColumn("id", node_id(F.lit(repo), F.col("kind"), path, F.col("qualified_name"), F.col("start_line")))
@@ -376,7 +399,7 @@ def graph_of(rows: DataFrame, repo: str) -> tuple[DataFrame, DataFrame, DataFram
     edge = lambda a, b, kind: (a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"), F.lit("extracted").alias("confidence"))
     scope = F.when(F.col("qualified_name").contains("::"), F.regexp_extract("qualified_name", "^(.*)::", 1))
     child, parent = defs.withColumn("outer", scope).alias("c"), defs.alias("p")
-    within = child.join(parent, (F.col("c.path") == F.col("p.path")) & (F.col("c.outer") == F.col("p.qualified_name")) & (F.col("p.start_line") <= F.col("c.start_line")) & (F.col("c.end_line") <= F.col("p.end_line")), "left")
+    within = child.join(parent.hint("merge"), (F.col("c.path") == F.col("p.path")) & (F.col("c.outer") == F.col("p.qualified_name")) & (F.col("p.start_line") <= F.col("c.start_line")) & (F.col("c.end_line") <= F.col("p.end_line")), "left")
     contains = within.groupBy("c.id", "c.path").agg(F.min_by("p.id", F.col("p.end_line") - F.col("p.start_line")).alias("p")).select(*edge(F.coalesce(F.col("p"), node_id(F.lit(repo), F.lit("file"), F.col("path"))), F.col("id"), "contains"))
 
     sites = rows.filter("fact in ('call', 'extends', 'implements')").select("path", "language", "fact", "name", "scope", F.col("start_line").alias("at"))
@@ -384,11 +407,11 @@ def graph_of(rows: DataFrame, repo: str) -> tuple[DataFrame, DataFrame, DataFram
     line = F.col("language").isin(list(LINE_ORIENTED))
     covers = (F.col("path") == F.col("dp")) & (F.col("s") <= F.col("at")) & (line | (F.col("at") <= F.col("e")))
     best = F.min_by("anchor", F.when(line, F.col("at") - F.col("s")).otherwise(F.col("e") - F.col("s")))
-    owned = sites.join(callers, covers, "left").groupBy("path", "fact", "name", "scope", "at").agg(best.alias("anchor"))
+    owned = sites.join(callers.hint("merge"), covers, "left").groupBy("path", "fact", "name", "scope", "at").agg(best.alias("anchor"))
     owned = owned.withColumn("anchor", F.coalesce("anchor", node_id(F.lit(repo), F.lit("file"), F.col("path"))))
     kinds = F.when(F.col("fact") == "call", "calls").otherwise(F.col("fact"))
     local = defs.groupBy(F.col("path").alias("dp"), F.col("name").alias("dn")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("target")).filter("n = 1")
-    linked = owned.withColumn("kind", kinds).join(local, (F.col("path") == F.col("dp")) & (F.col("name") == F.col("dn")), "left")
+    linked = owned.withColumn("kind", kinds).join(local.hint("merge"), (F.col("path") == F.col("dp")) & (F.col("name") == F.col("dn")), "left")
     inside = linked.filter("target is not null and target <> anchor").select(F.col("anchor").alias("src"), F.col("target").alias("dst"), "kind", F.lit("extracted").alias("confidence"))
     documents = notes.select(*edge(F.col("id"), file_node, "documents"))
     edges = contains.unionByName(inside).unionByName(documents).distinct()

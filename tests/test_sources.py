@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphwright.operators import resolve, tables
-from graphwright.plans import cypher
+from graphwright.plans import cypher, extract_queries, source_queries  # noqa: F401  register their queries
+from graphwright.plans import queries as core
 from graphwright.sources import code, dialects, files, history, manifests, records, schemas, sqltext
 from graphwright.streaming import incremental
 
@@ -61,6 +62,35 @@ def test_registered_extractor(spark):
         code.EXTRACTORS.clear()
 
 
+def test_facts_are_extracted_once(spark, tmp_path):
+    """However often a graph reads them; and a file's facts stay together with those of others in a batch."""
+    seen = str(tmp_path / "seen")
+
+    def toy(path, text):
+        with open(seen, "a") as f:
+            f.write(path + "\n")
+        return [{"fact": "def", "kind": "function", "name": text, "start_line": 1, "end_line": 2}, {"fact": "call", "name": "x", "start_line": 2}]
+
+    code.register("toy", toy)
+    try:
+        df = spark.range(40).selectExpr("concat('f', id, '.toy') as path", "'toy' as language", "concat('n', id) as text")
+        nodes, edges, pending = code.graph_of(code.facts(df), "r")
+        assert nodes.count() == 80 and edges.count() == 40
+        calls = pending.join(nodes.selectExpr("id as anchor", "name as caller"), "anchor").select("anchor_file", "caller").collect()
+        assert {(r.anchor_file, r.caller) for r in calls} == {(f"f{i}.toy", f"n{i}") for i in range(40)}
+    finally:
+        code.EXTRACTORS.clear()
+    with open(seen) as f:
+        assert sorted(f.read().split()) == sorted(f"f{i}.toy" for i in range(40))
+
+
+@pytest.mark.parametrize("name", ["g11_containment"])
+def test_extracted_tables_are_not_broadcast(spark, name):
+    """A few keys make many files: the size of the table with the keys says nothing about what is extracted."""
+    plan = core.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def found(language, text, fact="endpoint"):
     return {(f["method"], f["path"], f["name"]) for d in dialects.DIALECTS.values() for f in d(language, text) if f["fact"] == fact}
 
