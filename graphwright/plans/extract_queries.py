@@ -208,8 +208,8 @@ def x1_callers_by_language(t):
     nodes, edges, pending = code.graph_of(code.facts(_files(t)), "r")
     anchors = nodes.select(F.col("id").alias("anchor"), F.col("file").alias("path"), F.when(F.col("kind") != "file", F.col("name")).alias("caller"))
     open_ = pending.filter("kind = 'calls'").select("anchor", F.col("name").alias("callee"))
-    closed = edges.filter("kind = 'calls'").join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("callee")), "dst").select(F.col("src").alias("anchor"), "callee")
-    return open_.unionByName(closed).join(anchors, "anchor").select("path", "caller", "callee").distinct()
+    closed = edges.filter("kind = 'calls'").join(nodes.select(F.col("id").alias("dst"), F.col("name").alias("callee")).hint("merge"), "dst").select(F.col("src").alias("anchor"), "callee")
+    return open_.unionByName(closed).join(anchors.hint("merge"), "anchor").select("path", "caller", "callee").distinct()
 
 
 @query(facts_sql(["path", "name", "outer_name"], [(PLACE + x["ending"], r[1].rsplit("::", 1)[-1], r[1].rsplit("::", 1)[0].rsplit("::", 1)[-1] if "::" in r[1] else None) for x in LANGUAGES.values() for r in x["defs"]]))
