@@ -24,7 +24,9 @@ RUST = "concat('// part ', CAST(p_partkey AS STRING), chr(10), 'pub fn ', replac
 
 
 def _rust_files(t):
-    return t.sql(f"SELECT concat('src/f', CAST(p_partkey AS STRING), '.rs') AS path, 'rust' AS language, concat({RUST}, 'struct S', CAST(p_partkey AS STRING), ';', chr(10)) AS text FROM part")
+    """Dealt out, as a table of parts is small for the work on its files."""
+    rows = t.sql(f"SELECT concat('src/f', CAST(p_partkey AS STRING), '.rs') AS path, 'rust' AS language, concat({RUST}, 'struct S', CAST(p_partkey AS STRING), ';', chr(10)) AS text FROM part")
+    return rows.repartition("path")
 
 
 @query("""
@@ -37,7 +39,7 @@ def s6_extract_definitions(t):
 @query("SELECT concat(replace(p_name, ' ', '_'), '_', CAST(p_partkey AS VARCHAR)) AS caller, concat('helper_', CAST(p_partkey % 50 AS VARCHAR)) AS callee FROM part")
 def x1_calls_by_span(t):
     nodes, _, pending = code.graph_of(code.facts(_rust_files(t)), "r")
-    return pending.filter("kind = 'calls'").join(nodes.select(F.col("id").alias("anchor"), F.col("name").alias("caller")), "anchor").select("caller", F.col("name").alias("callee"))
+    return pending.filter("kind = 'calls'").join(nodes.select(F.col("id").alias("anchor"), F.col("name").alias("caller")).hint("merge"), "anchor").select("caller", F.col("name").alias("callee"))
 
 
 ROUTE = "concat('@app.', CASE p_partkey % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'delete' END, '(\"/', replace(p_name, ' ', '/'), '/{id}\")', chr(10), 'def h', CAST(p_partkey AS STRING), '(id):', chr(10), '    return requests.get(\"https://', lower(p_brand), '.example/x/\" + id)', chr(10))"

@@ -84,7 +84,7 @@ def test_facts_are_extracted_once(spark, tmp_path):
         assert sorted(f.read().split()) == sorted(f"f{i}.toy" for i in range(40))
 
 
-@pytest.mark.parametrize("name", ["g11_containment", "x1_callers_by_language"])
+@pytest.mark.parametrize("name", ["g11_containment", "x1_callers_by_language", "x1_calls_by_span"])
 def test_extracted_tables_are_not_broadcast(spark, name):
     """A few keys make many files: the size of the table with the keys says nothing about what is extracted."""
     plan = core.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
